@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +107,11 @@ def plateau_tops(df: DataFrame, height: Column, keys: Sequence[str] = SET) -> Da
 
 STAIR, OPEN, TOTAL, DONE = 0, 1, 2, 3
 _FIELDS = ["unit", "kind", "side", "pos", "height", "low"]
+_ARROW = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
 _TYPES = "unit long, kind int, side int, pos long, height double, low double"
 
 
-def _look_in_block(pos: np.ndarray, z: np.ndarray, top: np.ndarray, side: int, unit: int) -> list[tuple]:
+def _look_in_block(pos: np.ndarray, z: list[float], top: np.ndarray, side: int, unit: int) -> list[tuple]:
     """Answer looks towards lower (-1) or higher (+1) positions in one block."""
     out: list[tuple] = []
     order = range(len(z)) if side < 0 else range(len(z) - 1, -1, -1)
@@ -135,7 +137,7 @@ def _look_in_block(pos: np.ndarray, z: np.ndarray, top: np.ndarray, side: int, u
         low = min(low, own)
         out.append((unit, STAIR, side, -1, h, low))
         low = min(low, h)
-    out.append((unit, TOTAL, side, -1, float(z.max()), float(z.min())))
+    out.append((unit, TOTAL, side, -1, max(z), min(z)))
     return out
 
 
@@ -186,42 +188,49 @@ def prominences(df: DataFrame, tops: DataFrame, height: Column, keys: Sequence[s
     )
     marks = tops.select(*keys, "pos", block_of("pos").alias("unit"), F.lit(True).alias("top"))
     flagged = samples.join(marks, [*keys, "unit", "pos"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flagged.select(*keys).schema)
-    schema = f"{key_types}, {_TYPES}, part long, lane long"
-
-    # Live rows of a group share lane -1; finished looks ride along in lanes
-    # of their own, so that no group grows with the number of tops of a set.
-    def frame(group: tuple, rows: Iterable[tuple], part: int, done_lane: int) -> pd.DataFrame:
-        made = pd.DataFrame(list(rows), columns=_FIELDS)
-        for at, name in enumerate(keys):
-            made.insert(at, name, group[at])
-        return made.assign(part=part, lane=np.where(made.kind == DONE, done_lane, -1))
-
-    def in_block(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        z, top = rows.height.to_numpy(), rows.top.to_numpy(dtype=bool)
+    key_fields = flagged.select(*keys).schema
+    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
+    schema = f"{key_types}, {_TYPES}, part long"
+
+    def table(group: tuple, rows: list[tuple], part: int) -> pa.Table:
+        columns = list(zip(*rows)) if rows else [[] for _ in _FIELDS]
+        made = {name: pa.array([g.as_py()] * len(rows), g.type) for name, g in zip(keys, group)}
+        made |= {name: pa.array(list(c), t) for name, c, t in zip(_FIELDS, columns, _ARROW)}
+        return pa.table(made | {"part": pa.array([part] * len(rows), pa.int64())})
+
+    def in_block(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        z = rows["height"].to_numpy()
+        top = rows["top"].to_numpy(zero_copy_only=False).astype(bool)
         keep = _turning_points(z, top)
-        pos, z, top = rows.pos.to_numpy()[keep], z[keep], top[keep]
-        unit = int(group[-1])
+        pos, z, top = rows["pos"].to_numpy()[keep], z[keep].tolist(), top[keep]
+        unit = group[-1].as_py()
         made = [r for side in (-1, 1) for r in _look_in_block(pos, z, top, side, unit)]
-        return frame(group, made, unit // UNITS_PER_PART, unit)
-
-    def in_part(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        part, lane = int(group[-2]), int(group[-1])
-        if lane >= 0:
-            return rows
-        made = [r for side in (-1, 1) for r in _merge_units(rows[rows.side == side], side, part)]
-        return frame(group, made, part, part)
-
-    def in_set(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if int(group[-1]) >= 0:
-            return rows
-        made = [r for side in (-1, 1) for r in _merge_units(rows[rows.side == side], side, 0)]
-        return frame(group, [r for r in made if r[1] in (OPEN, DONE)], 0, 0)
-
-    by_block = flagged.groupBy(*keys, "unit").applyInPandas(in_block, schema)
-    by_part = by_block.groupBy(*keys, "part", "lane").applyInPandas(in_part, schema)
-    answers = by_part.groupBy(*keys, "lane").applyInPandas(in_set, schema)
+        return table(group, made, unit // UNITS_PER_PART)
+
+    def in_part(group: tuple, rows: pa.Table) -> pa.Table:
+        part, live = group[-1].as_py(), rows.to_pandas()
+        made = [r for side in (-1, 1) for r in _merge_units(live[live.side == side], side, part)]
+        return table(group, made, part)
+
+    def in_set(group: tuple, rows: pa.Table) -> pa.Table:
+        live = rows.to_pandas()
+        made = [r for side in (-1, 1) for r in _merge_units(live[live.side == side], side, 0)]
+        return table(group, [r for r in made if r[1] in (OPEN, DONE)], 0)
+
+    # A set of one block is finished by its block; only longer sets go on.
+    by_block = cut_lineage(flagged.groupBy(*keys, "unit").applyInArrow(in_block, schema), "looks")
+    longer = by_block.groupBy(*keys).agg(F.max("unit").alias("_last")).filter("_last > 0").select(*keys)
+    live = by_block.filter(F.col("kind") != DONE).join(longer, keys, "left_semi")
+    by_part = cut_lineage(live.groupBy(*keys, "part").applyInArrow(in_part, schema), "looks")
+    by_set = by_part.filter(F.col("kind") != DONE).groupBy(*keys).applyInArrow(in_set, schema)
+    ended = by_block.filter(F.col("kind") == OPEN).join(longer, keys, "left_anti")
+    answers = (
+        by_block.filter(F.col("kind") == DONE)
+        .unionByName(ended)
+        .unionByName(by_part.filter(F.col("kind") == DONE))
+        .unionByName(by_set)
+    )
     lows = answers.groupBy(*keys, "pos").agg(
         F.min(F.when(F.col("side") == -1, F.col("low"))).alias("left_low"),
         F.min(F.when(F.col("side") == 1, F.col("low"))).alias("right_low"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import snap
 from . import tracks
-from .tracks import SET, block_window, bracket, with_halo
+from .tracks import SET, block_of, block_window, bracket, with_halo
 
 SMALL_BLOCK = 1024
 

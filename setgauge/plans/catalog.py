@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import signal_queries  # noqa: F401
+from . import posture_queries, signal_queries  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
