@@ -16,7 +16,7 @@ DEFAULT_MOVEMENT_CODE = 1
 
 def file_stem(name: Column) -> Column:
     """File name without its last extension, trimmed; null gives ''."""
-    return F.coalesce(F.trim(F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(name, r"(?<=[^./])\.[^./]*$", "")), F.lit(""))
 
 
 def first_number(name: Column) -> Column:

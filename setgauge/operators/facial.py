@@ -119,12 +119,16 @@ JAW = {"left": 234, "right": 454}
 MESH_POINTS = sorted({*LEFT_EYE.values(), *RIGHT_EYE.values(), *BROWS.values(), *FACE.values(), *LIPS.values(), *JAW.values()})
 
 
-def strain_metrics(points: Column) -> list[Column]:
-    """Five strain metrics from an array (or map) of landmark points."""
+def strain_metrics(points: Column, by_number: bool = False) -> list[Column]:
+    """Five strain metrics from landmark points.
+
+    ``points`` is the array of all points in mesh order or, with
+    ``by_number``, a map from landmark number to point.
+    """
     tiny = 1e-6
 
     def at(i: int) -> Column:
-        return F.element_at(points, F.lit(i))
+        return F.element_at(points, F.lit(i if by_number else i + 1))
 
     def gap(i: int, j: int) -> Column:
         return F.sqrt(F.pow(at(i)["x"] - at(j)["x"], 2) + F.pow(at(i)["y"] - at(j)["y"], 2))

@@ -14,11 +14,11 @@ def failed_sets(features: DataFrame) -> DataFrame:
     return features.filter(F.col("error").isNotNull())
 
 
-def _donor_means(donors: DataFrame, by: Sequence[str], columns: Sequence[str], level: str) -> DataFrame:
-    means = donors.dropDuplicates(["video_name", *by]).groupBy(*by).agg(
+def _donor_means(good: DataFrame, tagged: DataFrame, by: Sequence[str], columns: Sequence[str], level: str) -> DataFrame:
+    donors = good.join(tagged.select("video_name", *by).distinct(), "video_name")
+    return donors.groupBy(*by).agg(
         F.count(F.lit(1)).alias(f"{level}_n"), F.struct(*[F.avg(c).alias(c) for c in columns]).alias(f"{level}_mean")
     )
-    return means
 
 
 def _method(n1: Column, n2: Column, n3: Column) -> Column:
@@ -41,14 +41,13 @@ def impute_by_group_mean(features: DataFrame, labels: DataFrame) -> DataFrame:
     tagged = labels.select("video_name", F.lower("exercise_type").alias("_exercise"), F.col("rpe").alias("_rpe"))
     failed = failed_sets(features)
     good = features.join(failed.select("video_name"), "video_name", "left_anti")
-    donors = good.join(tagged, "video_name")
     first_label = tagged.groupBy("video_name").agg(F.min(F.struct("_exercise", "_rpe")).alias("_l"))
     wanted = failed.join(first_label, "video_name", "left").select(
         *features.columns, F.col("_l._exercise").alias("_exercise"), F.col("_l._rpe").alias("_rpe")
     )
     levels = {"both": ["_exercise", "_rpe"], "rpe": ["_rpe"], "lift": ["_exercise"]}
     for level, by in levels.items():
-        wanted = wanted.join(_donor_means(donors, by, columns, level), by, "left")
+        wanted = wanted.join(_donor_means(good, tagged, by, columns, level), by, "left")
     n1, n2, n3 = (F.coalesce(F.col(f"{level}_n"), F.lit(0)) for level in levels)
     means = F.when(n1 >= 2, F.col("both_mean")).when(n2 >= 1, F.col("rpe_mean")).when(n3 >= 1, F.col("lift_mean"))
     count = F.when(n1 >= 2, n1).when(n2 >= 1, n2).when(n3 >= 1, n3)
@@ -61,7 +60,7 @@ def impute_by_group_mean(features: DataFrame, labels: DataFrame) -> DataFrame:
         for c in features.columns
     ]
     filled = picked.select(*cells, hit.alias("imputed"), "imputation_method", "donor_count", "_exercise", "_rpe")
-    untouched = good.select(
+    untouched = features.filter(F.col("error").isNull()).select(
         *features.columns,
         F.lit(False).alias("imputed"),
         F.lit(None).cast("string").alias("imputation_method"),
