@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import posture_queries, set_queries, signal_queries, source_queries  # noqa: F401
+from . import posture_queries, set_queries, signal_queries, source_queries, stateful_queries  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401

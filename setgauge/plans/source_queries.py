@@ -52,13 +52,10 @@ def au_frame_reader(spark, sf):
     ),
 )
 def rebuilt_face_features(spark, sf):
-    frames = fx.au_frame(spark, sf)
     path = fresh_path(spark, "au_cache")
-    parts = frames.withColumn("part", F.col("set_id"))
-    parts.write.partitionBy("part").option("header", True).csv(path)
-    read = fr.read_au_frames(spark, path, ["face_id", *facial.MINIMAL_COLUMNS, "set_id"])
-    keyed = read.withColumn("set_id", F.regexp_extract(F.input_file_name(), r"part=(\d+)", 1))
-    out = facial.facial_summary(keyed, 400).withColumn("video_name", F.concat("set_id", F.lit(".mp4")))
+    fx.au_frame(spark, sf).write.partitionBy("set_id").option("header", True).csv(path)
+    by_folder = F.regexp_extract("_metadata.file_path", r"set_id=(\d+)", 1)
+    out = fr.rebuild_facial_features(spark, path, 400, by_folder)
     return out.select("video_name", "total_frames", "error", *[r6(F.col(c)).alias(c) for c in AU_MAX])
 
 

@@ -33,21 +33,28 @@ def stem_of_path(path: Column, suffix: str = "") -> Column:
 
 
 def read_au_frames(
-    spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = MINIMAL_COLUMNS, suffix: str = "_pose_guided"
+    spark: SparkSession,
+    path: str | Sequence[str],
+    columns: Sequence[str] | None = MINIMAL_COLUMNS,
+    suffix: str = "_pose_guided",
+    set_id: Column | None = None,
 ) -> DataFrame:
     """AU frame CSVs of any number of sets, pruned to ``columns``.
 
     Header names may be padded with blanks, so the header line is read once to
     build the schema; every value is then parsed by that schema. Columns that
-    a file set lacks are left out, as is nothing else.
+    a file set lacks are left out, as is nothing else. ``set_id`` overrides
+    how the set is read from ``_metadata.file_path`` (default: file stem).
     """
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path).limit(0).columns
+    nested = spark.read.option("recursiveFileLookup", True)
+    header = nested.option("header", True).option("inferSchema", False).csv(path).columns
     names = [c.strip() for c in header]
     schema = T.StructType(
         [T.StructField(n, T.LongType() if n in WHOLE_NUMBERS else T.DoubleType()) for n in names]
     )
     frames = (
         spark.read.schema(schema)
+        .option("recursiveFileLookup", True)
         .option("header", True)
         .option("enforceSchema", True)
         .option("ignoreLeadingWhiteSpace", True)
@@ -55,12 +62,15 @@ def read_au_frames(
         .csv(path)
     )
     wanted = [c for c in (columns or names) if c in names]
-    return frames.select(stem_of_path(F.col("_metadata.file_path"), suffix).alias("set_id"), *wanted)
+    key = stem_of_path(F.col("_metadata.file_path"), suffix) if set_id is None else set_id
+    return frames.select(key.alias("set_id"), *wanted)
 
 
-def rebuild_facial_features(spark: SparkSession, path: str, min_valid: int = 10) -> DataFrame:
+def rebuild_facial_features(
+    spark: SparkSession, path: str, min_valid: int = 10, set_id: Column | None = None
+) -> DataFrame:
     """Per-set facial features of all cached frame files in one job."""
-    frames = read_au_frames(spark, path)
+    frames = read_au_frames(spark, path, set_id=set_id)
     return facial_summary(frames, min_valid).withColumn("video_name", F.concat("set_id", F.lit(".mp4")))
 
 
