@@ -7,52 +7,36 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.pose_cleaning import CleaningProfile, PoseCleaner
 from ..session import fresh_path
 
-STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BATCH_FILES = 30
 CLEANED = "set_id int, frame_index int, x array<double>, y array<double>, used boolean"
 
 
-class StreamingCleaner(StatefulProcessor):
-    """Holds one set's cleaning state between micro-batches."""
-
-    def __init__(self, profile: CleaningProfile):
-        self.profile = profile
+def clean_pose_stream(frames: DataFrame, profile: CleaningProfile) -> DataFrame:
+    """Cleaned poses of a stream of candidate frames (set_id, frame_index, cands).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pose", T.StructType([T.StructField("bytes", T.BinaryType())]))
+    Frames of a set must arrive in order of their micro-batches; inside a
+    batch they are sorted. The state kept per set between batches is one pose
+    and its counters.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("frame_index")
-        cleaner = PoseCleaner(self.profile)
-        cleaner.restore(bytes(self.state.get()[0]) if self.state.exists() else None)
-        made = [cleaner.step(r) for r in batch.itertuples(index=False)]
-        self.state.update((cleaner.save(),))
-        out = batch[["set_id", "frame_index"]].reset_index(drop=True)
+    def clean(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("frame_index")
+        cleaner = PoseCleaner(profile)
+        cleaner.restore(bytes(state.get[0]) if state.exists else None)
+        made = [cleaner.step(r) for r in rows.itertuples(index=False)]
+        state.update((cleaner.save(),))
+        out = rows[["set_id", "frame_index"]].reset_index(drop=True)
         for at, name in enumerate(("x", "y", "used")):
             out[name] = [m[at] for m in made]
         yield out
 
-    def close(self) -> None:
-        pass
-
-
-def clean_pose_stream(frames: DataFrame, profile: CleaningProfile) -> DataFrame:
-    """Cleaned poses of a stream of candidate frames (set_id, frame_index, cands).
-
-    Frames of a set must arrive in order of their micro-batches; inside a
-    batch they are sorted. The state of a set is one pose and its counters.
-    """
-    return frames.groupBy("set_id").transformWithStateInPandas(
-        statefulProcessor=StreamingCleaner(profile),
-        outputStructType=CLEANED,
-        outputMode="append",
-        timeMode="none",
+    return frames.groupBy("set_id").applyInPandasWithState(
+        clean, CLEANED, "bytes binary", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -71,7 +55,6 @@ def drain(stream: DataFrame, path: str, checkpoint: str, form: str = "parquet")
 
 def run_clean_poses(spark: SparkSession, source: str, schema: T.StructType, profile: CleaningProfile, files: int = 1) -> DataFrame:
     """Clean candidate frames stored as parquet below ``source``, file by file."""
-    spark.conf.set(STATE_STORE_KEY, STATE_STORE)
     frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     out, mark = fresh_path(spark, "cleaned"), fresh_path(spark, "cleaned_marks")
     drain(clean_pose_stream(frames, profile), out, mark)
