@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .tracks import BLOCK, SET, block_of, block_window, bracket, neighbours, with_halo
+from . import tracks
+from .tracks import SET, block_of, block_window, bracket, neighbours, with_halo
 
 UNITS_PER_PART = 4096
 
@@ -32,7 +33,7 @@ def thin_by_distance(
         return tops
     tie = F.col("pos") if later_first else -F.col("pos")
     ranked = tops.withColumn("_rank", F.struct(F.col("height").alias("h"), tie.alias("t")))
-    size = max(BLOCK, 8 * min_dist)
+    size = max(tracks.BLOCK, 8 * min_dist)
     halo = with_halo(ranked, 4 * min_dist, 4 * min_dist, size)
     near = block_window(keys).rangeBetween(-(min_dist - 1), min_dist - 1)
     state = halo.withColumn("_kept", F.lit(False)).withColumn("_open", F.lit(True))
@@ -188,6 +189,7 @@ def prominences(df: DataFrame, tops: DataFrame, height: Column, keys: Sequence[s
     )
     marks = tops.select(*keys, "pos", block_of("pos").alias("unit"), F.lit(True).alias("top"))
     flagged = samples.join(marks, [*keys, "unit", "pos"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
+    per_part = UNITS_PER_PART
     key_fields = flagged.select(*keys).schema
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
     schema = f"{key_types}, {_TYPES}, part long"
@@ -206,7 +208,7 @@ def prominences(df: DataFrame, tops: DataFrame, height: Column, keys: Sequence[s
         pos, z, top = rows["pos"].to_numpy()[keep], z[keep].tolist(), top[keep]
         unit = group[-1].as_py()
         made = [r for side in (-1, 1) for r in _look_in_block(pos, z, top, side, unit)]
-        return table(group, made, unit // UNITS_PER_PART)
+        return table(group, made, unit // per_part)
 
     def in_part(group: tuple, rows: pa.Table) -> pa.Table:
         part, live = group[-1].as_py(), rows.to_pandas()

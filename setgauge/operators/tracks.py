@@ -25,9 +25,9 @@ BLOCK = 8192
 SET = ("set_id",)
 
 
-def block_of(pos: Column | str, size: int = BLOCK) -> Column:
+def block_of(pos: Column | str, size: int | None = None) -> Column:
     pos = F.col(pos) if isinstance(pos, str) else pos
-    return F.floor(pos / F.lit(size)).cast("long")
+    return F.floor(pos / F.lit(size or BLOCK)).cast("long")
 
 
 def number_rows(
@@ -67,11 +67,12 @@ def frame_positions(df: DataFrame, keys: Sequence[str] = SET, order: str = "fram
     return number_rows(df, keys, [order], block_of(order))
 
 
-def with_halo(df: DataFrame, left: int, right: int, size: int = BLOCK, pos: str = "pos") -> DataFrame:
+def with_halo(df: DataFrame, left: int, right: int, size: int | None = None, pos: str = "pos") -> DataFrame:
     """Assign rows to blocks, copying rows near an edge to the neighbour block.
 
     Adds ``block`` and ``home``; keep ``home`` rows after the windows ran.
     """
+    size = size or BLOCK
     if max(left, right) > size:
         raise ValueError("halo wider than a block")
     own = block_of(pos, size)

@@ -1,4 +1,12 @@
 """All registered queries."""
 
-from . import posture_queries, set_queries, signal_queries, source_queries, stateful_queries  # noqa: F401
+from . import (  # noqa: F401
+    model_queries,
+    posture_queries,
+    report_queries,
+    set_queries,
+    signal_queries,
+    source_queries,
+    stateful_queries,
+)
 from .registry import CHECKS, QUERIES  # noqa: F401
