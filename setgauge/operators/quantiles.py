@@ -9,6 +9,7 @@ read off the few values inside it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from .tracks import spread
 
 ACCURACY = 10_000
-BELOW, INSIDE, ABOVE = 0, 1, 2
 
 
 def exact_percentiles(
@@ -32,7 +32,7 @@ def exact_percentiles(
     without values give no row. ``block`` numbers bounded pieces of a group
     from 0, so that a large group is joined in many tasks.
     """
-    names = list(probs)
+    names = sorted(probs, key=probs.get)
     reach = 2.0 / ACCURACY
     marks = [m for n in names for m in (max(0.0, probs[n] - reach), min(1.0, probs[n] + reach))]
     rows = df.select(*keys, value.cast("double").alias("_v"), block.alias("block")).filter(F.col("_v").isNotNull())
@@ -41,58 +41,40 @@ def exact_percentiles(
         F.max("block").alias("last_block"),
         F.percentile_approx("_v", marks, ACCURACY).alias("_marks"),
     )
-    ranges = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.col("_marks")[2 * i].alias("lo"),
-                F.col("_marks")[2 * i + 1].alias("hi"),
-                F.lit(float(probs[n])).alias("p"),
-            )
-            for i, n in enumerate(names)
-        ]
-    )
-    bounds = spread(sketch.select(*keys, "_total", "last_block", ranges.alias("_ranges")))
-    side = (
-        F.when(F.col("_v") < F.col("r.lo"), F.lit(BELOW))
-        .when(F.col("_v") > F.col("r.hi"), F.lit(ABOVE))
-        .otherwise(F.lit(INSIDE))
-    )
+    lows = [F.col("_marks")[2 * i] for i in range(len(names))]
+    highs = [F.col("_marks")[2 * i + 1] for i in range(len(names))]
+    v = F.col("_v")
+    inside = reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi in zip(lows, highs)])
+    gap = reduce(lambda a, b: a + b, [(v > hi).cast("int") for hi in highs])
     cells = (
-        rows.join(bounds, [*keys, "block"])
-        .withColumn("r", F.explode("_ranges"))
-        .groupBy(
-            *keys,
-            F.col("r.i").alias("_i"),
-            F.col("r.p").alias("_p"),
-            "_total",
-            side.alias("_side"),
-            F.when(side == INSIDE, F.col("_v")).alias("_cell"),
-        )
+        rows.join(spread(sketch), [*keys, "block"])
+        .withColumn("_cell", F.when(inside, v))
+        .withColumn("_gap", F.when(F.col("_cell").isNull(), gap))
+        .groupBy(*keys, "_total", "_gap", "_cell")
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
-    order = Window.partitionBy(*keys, "_i").orderBy("_side", "_cell").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        cells.withColumn("_upto", F.sum("_c").over(order))
-        .withColumn("_at", F.col("_p") * (F.col("_total") - 1))
-        .withColumn("_first", F.floor("_at") + 1)
-        .withColumn("_second", F.least(F.col("_first") + 1, F.col("_total")))
-    )
+    # Cells are disjoint value ranges: a single value inside a wanted range,
+    # everything else one cell per gap between ranges.
+    order = Window.partitionBy(*keys).orderBy("_min").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("_upto", F.sum("_c").over(order)).withColumn("_from", F.col("_upto") - F.col("_c") + 1)
 
-    def at(rank: str) -> Column:
-        covers = (F.col("_upto") >= F.col(rank)) & (F.col("_upto") - F.col("_c") < F.col(rank))
+    def at(rank: Column) -> Column:
         pick = (
-            F.when(F.col("_side") == INSIDE, F.col("_cell"))
-            .when((F.col("_side") == BELOW) & (F.col("_upto") == F.col(rank)), F.col("_max"))
-            .when((F.col("_side") == ABOVE) & (F.col("_upto") - F.col("_c") + 1 == F.col(rank)), F.col("_min"))
+            F.when(F.col("_cell").isNotNull(), F.col("_cell"))
+            .when(F.col("_upto") == rank, F.col("_max"))
+            .when(F.col("_from") == rank, F.col("_min"))
             .otherwise(F.raise_error(F.lit("percentile rank outside its sketch range")).cast("double"))
         )
-        return F.max(F.when(covers, pick))
+        return F.max(F.when((rank >= F.col("_from")) & (rank <= F.col("_upto")), pick))
 
-    per_rank = ranked.groupBy(*keys, "_i").agg(
-        at("_first").alias("_a"), at("_second").alias("_b"), F.max(F.col("_at") - F.floor("_at")).alias("_f")
-    )
-    result = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
-    return per_rank.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, result)).alias(n) for i, n in enumerate(names)]
-    )
+    picks = []
+    for n in names:
+        first = F.floor(F.lit(float(probs[n])) * (F.col("_total") - 1)) + 1
+        picks += [at(first).alias(f"_{n}_a"), at(F.least(first + 1, F.col("_total"))).alias(f"_{n}_b")]
+    found = ranked.groupBy(*keys, "_total").agg(*picks)
+
+    def between(n: str) -> Column:
+        place = F.lit(float(probs[n])) * (F.col("_total") - 1)
+        return F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * (place - F.floor(place))
+
+    return found.select(*keys, *[between(n).alias(n) for n in probs])

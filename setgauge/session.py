@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (tests, local runs) a temporary folder
     is made and set for the rest of the session.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="setgauge-")
         spark.conf.set(CHECKPOINT_KEY, base)
