@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -88,10 +88,10 @@ def carried_fold(
     if not cut.filter("chunk > 0").isEmpty():
         ends = cut_lineage(ends_of(None), "fold_ends")
         while True:
-            before = F.lag("end").over(Window.partitionBy("set_id").orderBy("chunk"))
+            before = ends.select("set_id", (F.col("chunk") + 1).alias("chunk"), F.col("end").alias("_before"))
+            incoming = F.when(F.col("chunk") == 0, F.col("used")).otherwise(F.coalesce("_before", empty))
             due = cut_lineage(
-                ends.withColumn("state", F.when(F.col("chunk") == 0, F.col("used")).otherwise(F.coalesce(before, empty))),
-                "fold_due",
+                ends.join(before, ["set_id", "chunk"], "left").withColumn("state", incoming).drop("_before"), "fold_due"
             )
             stale = due.filter("state <> used")
             starts = due.select("set_id", "chunk", "state")

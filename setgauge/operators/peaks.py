@@ -16,6 +16,7 @@ from . import tracks
 from .tracks import SET, block_of, block_window, bracket, neighbours, with_halo
 
 UNITS_PER_PART = 4096
+ISLAND_LIMIT = 2048
 
 
 def thin_by_distance(
@@ -51,34 +52,74 @@ def thin_by_distance(
     rest = neighbours(settled.filter("_open").drop("_kept", "_open"), [], keys)
     starts = F.col("prev").isNull() | (F.col("pos") - F.col("prev.pos") >= min_dist)
     flagged = rest.withColumn("_start", starts).drop("prev", "next")
-    islands = bracket(flagged, [], F.col("_start"), keys).withColumn("_island", F.col("prev.pos"))
+    placed = bracket(flagged, [], F.col("_start"), keys).withColumn("_island", F.col("prev.pos"))
+    islands = cut_lineage(placed.drop("prev", "next", "_start", "n_valid"), "islands")
+    largest = islands.groupBy(*keys, "_island").count().agg(F.max("count")).first()[0] or 0
+    if largest <= ISLAND_LIMIT:
+        folded = _best_first(islands, [*keys, "_island"], min_dist, later_first, keys)
+    else:
+        folded = _fold_by_blocks(islands, min_dist, later_first, keys)
+    return sure.unionByName(folded.select(*sure.columns))
+
+
+def _ranked(row: Column, later_first: bool) -> Column:
+    at = -row["pos"] if later_first else row["pos"]
+    return F.struct((-row["height"]).alias("h"), at.alias("t"))
+
+
+def _best_first(
+    tops: DataFrame, group: Sequence[str], min_dist: int, later_first: bool, keys: Sequence[str], rivals: DataFrame | None = None
+) -> DataFrame:
+    """Greedy choice inside each group; ``rivals`` are tops kept elsewhere that
+    beat lower ones within reach. Groups hold a bounded number of rows."""
     columns = [c for c in tops.columns if c not in keys]
-    best_first = F.array_sort(
-        F.collect_list(
-            F.struct(
-                (-F.col("height")).alias("h"),
-                (-F.col("pos") if later_first else F.col("pos")).alias("t"),
-                F.struct(*columns).alias("row"),
-            )
-        )
+    row = F.struct(*columns)
+    grouped = tops.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct(_ranked(row, later_first).alias("rank"), row.alias("row")))).alias("_ordered")
     )
-    folded = (
-        islands.groupBy(*keys, "_island")
-        .agg(best_first.alias("_ordered"))
-        .withColumn(
-            "_chosen",
-            F.aggregate(
-                "_ordered",
-                F.slice(F.transform("_ordered", lambda c: c["row"]), 1, 0),
-                lambda kept, c: F.when(
-                    F.forall(kept, lambda k: F.abs(k["pos"] - c["row"]["pos"]) >= min_dist),
-                    F.concat(kept, F.array(c["row"])),
-                ).otherwise(kept),
-            ),
-        )
-        .select(*keys, F.inline("_chosen"))
+    none = F.slice(F.transform("_ordered", lambda c: F.struct(c["row"]["pos"].alias("pos"), c["rank"].alias("rank"))), 1, 0)
+    if rivals is not None:
+        grouped = grouped.join(rivals, list(group), "left").withColumn("_rivals", F.coalesce("_rivals", none))
+    else:
+        grouped = grouped.withColumn("_rivals", none)
+
+    def clear(taken, c):
+        return F.forall(taken, lambda k: (F.abs(k["pos"] - c["row"]["pos"]) >= min_dist) | (k["rank"] > c["rank"]))
+
+    def next_kept(kept, c):
+        free = clear(F.transform(kept, lambda k: F.struct(k["row"]["pos"].alias("pos"), k["rank"].alias("rank"))), c)
+        return F.when(free & clear(F.col("_rivals"), c), F.concat(kept, F.array(c))).otherwise(kept)
+
+    chosen = F.aggregate("_ordered", F.slice("_ordered", 1, 0), next_kept)
+    return grouped.withColumn("_chosen", F.transform(chosen, lambda c: c["row"])).select(
+        *[k for k in keys], F.inline("_chosen")
     )
-    return sure.unionByName(folded.select(*sure.columns))
+
+
+def _fold_by_blocks(tops: DataFrame, min_dist: int, later_first: bool, keys: Sequence[str]) -> DataFrame:
+    """Greedy choice of long islands, block by block until nothing changes.
+
+    Each block chooses against the tops its neighbours kept last time. A choice
+    in which every block agrees with its neighbours is the greedy choice: a top
+    is kept exactly if no better kept one is within reach.
+    """
+    size = 32 * min_dist
+    blocked = tops.withColumn("block", block_of("pos", size))
+    group = [*keys, "block"]
+    kept = None
+    while True:
+        rivals = None
+        if kept is not None:
+            near_edge = with_halo(kept.drop("block"), min_dist, min_dist, size).filter(~F.col("home"))
+            rival = F.struct("pos", _ranked(F.struct("pos", "height"), later_first).alias("rank"))
+            rivals = near_edge.groupBy(*group).agg(F.collect_list(rival).alias("_rivals"))
+        chosen = cut_lineage(_best_first(blocked, group, min_dist, later_first, keys, rivals), "chosen")
+        if kept is not None:
+            both = [*keys, "pos"]
+            same = chosen.join(kept, both, "left_anti").isEmpty() and kept.join(chosen, both, "left_anti").isEmpty()
+            if same:
+                return chosen
+        kept = chosen
 
 
 def plateau_tops(df: DataFrame, height: Column, keys: Sequence[str] = SET) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .tracks import spread
 
 ACCURACY = 10_000
+STEPS = 4096
 
 
 def exact_percentiles(
@@ -44,19 +45,34 @@ def exact_percentiles(
     lows = [F.col("_marks")[2 * i] for i in range(len(names))]
     highs = [F.col("_marks")[2 * i + 1] for i in range(len(names))]
     v = F.col("_v")
-    inside = reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi in zip(lows, highs)])
-    gap = reduce(lambda a, b: a + b, [(v > hi).cast("int") for hi in highs])
+    # Number of ranges wholly below the value; if the next range holds the
+    # value it is kept, else it only counts for the gap before that range.
+    passed = reduce(lambda a, b: a + b, [(v > hi).cast("int") for hi in highs])
+    low, high = F.get(F.array(*lows), F.col("_i")), F.get(F.array(*highs), F.col("_i"))
+    inside = F.coalesce(v >= low, F.lit(False))
+    step = F.coalesce(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * STEPS), F.lit(0))
     cells = (
         rows.join(spread(sketch), [*keys, "block"])
-        .withColumn("_cell", F.when(inside, v))
-        .withColumn("_gap", F.when(F.col("_cell").isNull(), gap))
-        .groupBy(*keys, "_total", "_gap", "_cell")
+        .withColumn("_i", passed)
+        .withColumn("_slab", F.col("_i") * (STEPS + 2) + F.when(inside, step + 1).otherwise(0))
+        .groupBy(*keys, "_total", "_slab", F.when(inside, v).alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
-    # Cells are disjoint value ranges: a single value inside a wanted range,
-    # everything else one cell per gap between ranges.
-    order = Window.partitionBy(*keys).orderBy("_min").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("_upto", F.sum("_c").over(order)).withColumn("_from", F.col("_upto") - F.col("_c") + 1)
+    # Cells are disjoint value ranges in slab order. Running counts go slab by
+    # slab, then inside a slab, so no window holds all kept values of a group.
+    start = Window.unboundedPreceding
+    slabs = cells.groupBy(*keys, "_slab").agg(F.sum("_c").alias("_s")).select(
+        *keys,
+        "_slab",
+        F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_slab").rowsBetween(start, -1)), F.lit(0)).alias("_base"),
+    )
+    order = Window.partitionBy(*keys, "_slab").orderBy("_min").rowsBetween(start, 0)
+    ranked = (
+        cells.withColumn("_run", F.sum("_c").over(order))
+        .join(slabs, [*keys, "_slab"])
+        .withColumn("_upto", F.col("_base") + F.col("_run"))
+        .withColumn("_from", F.col("_upto") - F.col("_c") + 1)
+    )
 
     def at(rank: Column) -> Column:
         pick = (

@@ -18,12 +18,17 @@ FATIGUE = r"Fatigue \(Last - First\): (-?[\d.]+)s"
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of each log with their number: path, line_no, line.
 
-    A log is one file whose line order matters, so each file is read whole;
-    parallelism is over files.
+    Files are read in splits; a line's place is its split's offset in the
+    file and its order inside the split.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n")
-    return text.select("path", F.posexplode(lines).alias("line_no", "line"))
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_order"),
+        F.col("value").alias("line"),
+    )
+    numbered = tracks.number_rows(text, ["path"], ["_start", "_order"], F.col("_start"), "line_no")
+    return numbered.drop("_start", "_order")
 
 
 def _group(line: Column, pattern: str, i: int) -> Column:

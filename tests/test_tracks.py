@@ -100,9 +100,11 @@ def greedy(pos, height, dist, later):
 
 @pytest.mark.parametrize("kind", ["noise", "ramp", "ties"])
 @pytest.mark.parametrize("later", [False, True])
-def test_thinning_is_the_greedy_choice(spark, small_blocks, kind, later):
+@pytest.mark.parametrize("limit", [2048, 3])
+def test_thinning_is_the_greedy_choice(spark, small_blocks, monkeypatch, kind, later, limit):
+    monkeypatch.setattr(peaks, "ISLAND_LIMIT", limit)
     rng = np.random.default_rng(5)
-    pos = np.flatnonzero(rng.random(900) < 0.3)
+    pos = np.flatnonzero(rng.random(1500) < 0.3)
     height = {"noise": rng.random(len(pos)), "ramp": np.arange(len(pos)) * 1.0, "ties": rng.integers(0, 4, len(pos)) * 1.0}[kind]
     df = spark.createDataFrame([(7, int(p), float(h)) for p, h in zip(pos, height)], "set_id int, pos long, height double")
     got = sorted(r["pos"] for r in peaks.thin_by_distance(df, 9, later_first=later).collect())
