@@ -14,12 +14,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .tracks import spread
 
 ACCURACY = 10_000
 STEPS = 4096
 
 
+def _nth(columns: list[Column]) -> Column:
+    """The column numbered ``_i``, null past the last."""
+    out = F.when(F.col("_i") == 0, columns[0])
+    for i, c in enumerate(columns[1:], 1):
+        out = out.when(F.col("_i") == i, c)
+    return out
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -48,7 +57,7 @@ def exact_percentiles(
     # Number of ranges wholly below the value; if the next range holds the
     # value it is kept, else it only counts for the gap before that range.
     passed = reduce(lambda a, b: a + b, [(v > hi).cast("int") for hi in highs])
-    low, high = F.get(F.array(*lows), F.col("_i")), F.get(F.array(*highs), F.col("_i"))
+    low, high = _nth(lows), _nth(highs)
     inside = F.coalesce(v >= low, F.lit(False))
     step = F.coalesce(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * STEPS), F.lit(0))
     cells = (
@@ -58,6 +67,7 @@ def exact_percentiles(
         .groupBy(*keys, "_total", "_slab", F.when(inside, v).alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
+    cells = cut_lineage(cells, "cells")
     # Cells are disjoint value ranges in slab order. Running counts go slab by
     # slab, then inside a slab, so no window holds all kept values of a group.
     start = Window.unboundedPreceding
