@@ -65,7 +65,10 @@ def stratified_folds(spark, sf):
     )
 
 
-@query("plain_folds__M2")
+@query(
+    "plain_folds__M2",
+    with_steps({}, "SELECT CAST(fold AS INT) AS fold, n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS count FROM (SELECT count(*) AS n FROM set_label) t, range(5) f(fold)", "set_label"),
+)
 def plain_folds(spark, sf):
     return model.with_folds(fx.set_label(spark, sf), "set_id", folds=model.PLAIN_FOLDS).groupBy("fold").count()
 
@@ -75,7 +78,19 @@ def train_test_split(spark, sf):
     return model.with_split(fx.set_label(spark, sf), "set_id", {"train": 0.8, "test": 0.2}).select("set_id", "part")
 
 
-@query("stratified_split__M3")
+@query(
+    "stratified_split__M3",
+    with_steps(
+        {
+            "b": """SELECT set_id, CASE WHEN rpe <= 2.5 THEN NULL WHEN rpe <= 3.5 THEN 0 WHEN rpe <= 4.5 THEN 1 WHEN rpe <= 5.5 THEN 2 WHEN rpe <= 6.5 THEN 3
+  WHEN rpe <= 7.5 THEN 4 WHEN rpe <= 8.5 THEN 5 WHEN rpe <= 10.5 THEN 6 END AS bin FROM set_label""",
+            "n": """SELECT bin, (row_number() OVER (PARTITION BY bin ORDER BY set_id) - 0.5) / CAST(count(*) OVER (PARTITION BY bin) AS DOUBLE) AS place FROM b""",
+        },
+        """SELECT CASE WHEN place <= CAST(0.7 AS DOUBLE) THEN 'train' WHEN place <= CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE) THEN 'validation' ELSE 'test' END AS part,
+  bin, count(*) AS count FROM n GROUP BY ALL""",
+        "set_label",
+    ),
+)
 def stratified_split(spark, sf):
     bins = model.target_bin(F.col("rpe"), model.FINE_EDGES)
     parts = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -238,8 +253,8 @@ def booster_predictions(spark, sf):
 
 @query("out_of_fold_metrics__M10")
 def out_of_fold_metrics(spark, sf):
-    table = _training_table(spark, sf)
-    scored = model.out_of_fold(table, "set_id", a=QUICK_A, b=QUICK_B)
+    table = _training_table(spark, sf).withColumn("fold", F.col("fold") % 3)
+    scored = model.out_of_fold(table, "set_id", a=QUICK_A, b=QUICK_B, folds=3)
     return model.blend_metrics(cut_lineage(scored, "out_of_fold"))
 
 

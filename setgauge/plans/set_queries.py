@@ -217,7 +217,10 @@ def flattened_metadata(spark, sf):
     return asm.flatten_struct(nested, "metadata")
 
 
-@query("history_id__P22")
+@query(
+    "history_id__P22",
+    with_steps({}, "SELECT id, concat(CAST(epoch(timestamp) AS BIGINT), '.000000_', video_name) AS record_id FROM history", "history"),
+)
 def history_id(spark, sf):
     past = fx.history(spark, sf)
     return past.select("id", keys.history_id(F.col("timestamp").cast("timestamp"), F.col("video_name")).alias("record_id"))
@@ -915,7 +918,14 @@ def top_units(spark, sf):
     return out.select("video_name", "place", "au", r6(F.col("value")).alias("value"))
 
 
-@query("sorted_results__R4")
+@query(
+    "sorted_results__R4",
+    with_steps(
+        {},
+        """SELECT CASE WHEN video_name LIKE 'Bench%' THEN 'bench_press' WHEN video_name LIKE 'Squat%' THEN 'squat' ELSE 'deadlift' END AS exercise, video_name FROM posture_set""",
+        "posture_set",
+    ),
+)
 def sorted_results(spark, sf):
     tagged = fx.posture_set(spark, sf).withColumn("exercise", keys.exercise(F.col("video_name")))
     return tagged.orderBy("exercise", keys.first_number(F.col("video_name")), "video_name").select("exercise", "video_name")

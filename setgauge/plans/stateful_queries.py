@@ -37,7 +37,21 @@ def cleaned_poses_bench_v2(spark, sf):
     return _cleaned(spark, sf, pc.BENCH_V2_CLEANING.with_(min_size=0.1), "cand_score_sized")
 
 
-@query("lifter_track__T2")
+TRACK = cte("pose_joint", extra=PIXELS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+valued AS (SELECT set_id, frame_index, max({'v': greatest(1.0, (x2 - x1) * (y2 - y1)), 'np': -person, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) AS b
+  FROM extent WHERE frame_index = 0 GROUP BY set_id, frame_index),
+followed AS (SELECT set_id, frame_index, b FROM valued
+  UNION ALL
+  SELECT t.set_id, t.frame_index + 1, max({'v':
+    greatest(0.0, least(e.x2, t.b.x2) - greatest(e.x1, t.b.x1)) * greatest(0.0, least(e.y2, t.b.y2) - greatest(e.y1, t.b.y1))
+    / ((e.x2 - e.x1) * (e.y2 - e.y1) + (t.b.x2 - t.b.x1) * (t.b.y2 - t.b.y1)
+       - greatest(0.0, least(e.x2, t.b.x2) - greatest(e.x1, t.b.x1)) * greatest(0.0, least(e.y2, t.b.y2) - greatest(e.y1, t.b.y1))),
+    'np': -e.person, 'x1': e.x1, 'y1': e.y1, 'x2': e.x2, 'y2': e.y2})
+  FROM followed t JOIN extent e ON e.set_id = t.set_id AND e.frame_index = t.frame_index + 1 GROUP BY t.set_id, t.frame_index)
+SELECT set_id, frame_index, -b.np AS person, round(b.v, 4) + 0.0 AS rank_value FROM followed"""
+
+
+@query("lifter_track__T2", TRACK)
 def lifter_track(spark, sf):
     out = pc.follow_lifter(_person_boxes(spark, sf))
     return out.select("set_id", "frame_index", "person", r6(F.col("rank_value"), 4).alias("rank_value"))
