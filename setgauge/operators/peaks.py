@@ -263,17 +263,21 @@ def prominences(df: DataFrame, tops: DataFrame, height: Column, keys: Sequence[s
 
     # A set of one block is finished by its block; only longer sets go on.
     by_block = cut_lineage(flagged.groupBy(*keys, "unit").applyInArrow(in_block, schema), "looks")
-    longer = by_block.groupBy(*keys).agg(F.max("unit").alias("_last")).filter("_last > 0").select(*keys)
-    live = by_block.filter(F.col("kind") != DONE).join(longer, keys, "left_semi")
-    by_part = cut_lineage(live.groupBy(*keys, "part").applyInArrow(in_part, schema), "looks")
-    by_set = by_part.filter(F.col("kind") != DONE).groupBy(*keys).applyInArrow(in_set, schema)
-    ended = by_block.filter(F.col("kind") == OPEN).join(longer, keys, "left_anti")
-    answers = (
-        by_block.filter(F.col("kind") == DONE)
-        .unionByName(ended)
-        .unionByName(by_part.filter(F.col("kind") == DONE))
-        .unionByName(by_set)
-    )
+    last = by_block.agg(F.max("unit")).first()[0]
+    if not last:
+        answers = by_block.filter(F.col("kind").isin(DONE, OPEN))
+    else:
+        longer = by_block.groupBy(*keys).agg(F.max("unit").alias("_last")).filter("_last > 0").select(*keys)
+        live = by_block.filter(F.col("kind") != DONE).join(longer, keys, "left_semi")
+        by_part = cut_lineage(live.groupBy(*keys, "part").applyInArrow(in_part, schema), "looks")
+        by_set = by_part.filter(F.col("kind") != DONE).groupBy(*keys).applyInArrow(in_set, schema)
+        ended = by_block.filter(F.col("kind") == OPEN).join(longer, keys, "left_anti")
+        answers = (
+            by_block.filter(F.col("kind") == DONE)
+            .unionByName(ended)
+            .unionByName(by_part.filter(F.col("kind") == DONE))
+            .unionByName(by_set)
+        )
     lows = answers.groupBy(*keys, "pos").agg(
         F.min(F.when(F.col("side") == -1, F.col("low"))).alias("left_low"),
         F.min(F.when(F.col("side") == 1, F.col("low"))).alias("right_low"),
