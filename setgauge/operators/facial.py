@@ -83,7 +83,7 @@ def long_units(frames: DataFrame, *keep: str) -> DataFrame:
 def unit_statistics(units: DataFrame, frame: str = "frame") -> DataFrame:
     """Full statistics of each action unit of each set."""
     v = F.col("value")
-    plain = units.groupBy("set_id", "au").agg(
+    plain = [
         F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("std"),
         F.max(v).alias("max"),
@@ -92,11 +92,11 @@ def unit_statistics(units: DataFrame, frame: str = "frame") -> DataFrame:
         F.skewness(v).alias("skew"),
         F.kurtosis(v).alias("kurtosis"),
         F.avg((v > 0.5).cast("int")).alias("activation_ratio"),
-    )
+    ]
     marks = {"q10": 0.10, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.90}
-    ranks = exact_percentiles(units, ["set_id", "au"], v, marks, block_of(frame))
+    stats = exact_percentiles(units, ["set_id", "au"], v, marks, block_of(frame), plain)
     ratio = F.when(F.col("q10") > 0.01, F.col("q90") / F.col("q10")).otherwise(F.lit(0.0))
-    return plain.join(ranks, ["set_id", "au"]).withColumn("peak_baseline_ratio", ratio)
+    return stats.withColumn("peak_baseline_ratio", ratio)
 
 
 def overall_units(units: DataFrame) -> DataFrame:
@@ -164,14 +164,12 @@ def strain_summary(metrics: DataFrame) -> DataFrame:
 
 def describe_column(metrics: DataFrame, name: str, frame: str = "frame") -> DataFrame:
     """Count, mean, std, min, quartiles and max of one column per set."""
-    plain = metrics.groupBy("set_id").agg(
+    plain = [
         F.count(name).alias("count"),
         F.avg(name).alias("mean"),
         F.stddev_samp(name).alias("std"),
         F.min(name).alias("min"),
         F.max(name).alias("max"),
-    )
-    ranks = exact_percentiles(
-        metrics, ["set_id"], F.col(name), {"p25": 0.25, "p50": 0.5, "p75": 0.75}, block_of(frame)
-    )
-    return plain.join(ranks, "set_id")
+    ]
+    marks = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    return exact_percentiles(metrics, ["set_id"], F.col(name), marks, block_of(frame), plain)

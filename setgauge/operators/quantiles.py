@@ -35,22 +35,29 @@ def exact_percentiles(
     value: Column,
     probs: dict[str, float],
     block: Column,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> p).
 
     Linear interpolation between order statistics; nulls are ignored. Groups
-    without values give no row. ``block`` numbers bounded pieces of a group
+    without values give no row. ``extra`` aggregates are computed in the
+    sketch's pass over the non-null rows. ``block`` numbers bounded pieces of a group
     from 0, so that a large group is joined in many tasks.
     """
     names = sorted(probs, key=probs.get)
     reach = 2.0 / ACCURACY
     marks = [m for n in names for m in (max(0.0, probs[n] - reach), min(1.0, probs[n] + reach))]
-    rows = df.select(*keys, value.cast("double").alias("_v"), block.alias("block")).filter(F.col("_v").isNotNull())
-    sketch = rows.groupBy(*keys).agg(
+    valued = df.withColumns({"_v": value.cast("double"), "block": block}).filter(F.col("_v").isNotNull())
+    rows = valued.select(*keys, "_v", "block")
+    per_group = valued.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_total"),
         F.max("block").alias("last_block"),
         F.percentile_approx("_v", marks, ACCURACY).alias("_marks"),
+        *extra,
     )
+    if extra:
+        per_group = cut_lineage(per_group, "sketch")
+    sketch = per_group.select(*keys, "_total", "last_block", "_marks")
     lows = [F.col("_marks")[2 * i] for i in range(len(names))]
     highs = [F.col("_marks")[2 * i + 1] for i in range(len(names))]
     v = F.col("_v")
@@ -103,4 +110,5 @@ def exact_percentiles(
         place = F.lit(float(probs[n])) * (F.col("_total") - 1)
         return F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * (place - F.floor(place))
 
-    return found.select(*keys, *[between(n).alias(n) for n in probs])
+    result = found.select(*keys, *[between(n).alias(n) for n in probs])
+    return result.join(per_group.drop("_total", "last_block", "_marks"), list(keys)) if extra else result

@@ -19,6 +19,21 @@ def with_steps(steps: dict[str, str], select: str, *views: str) -> str:
     return cte(*views, extra=steps) + select
 
 
+def grid_sql(expr: str, name: str) -> str:
+    """Comparison on a binary grid: products of short decimals often sit
+    exactly between two decimal places, never between two grid points."""
+    return f"floor(CAST({expr} AS DOUBLE) * 1048576 + 0.5) / 1048576 AS {name}"
+
+
+def _gridded(df: DataFrame, names, *keep) -> DataFrame:
+    return df.select(*keep, *[snap(F.col(c).cast("double"), 20).alias(c) for c in names])
+
+
+
+def _rounded(df: DataFrame, names, *keep) -> DataFrame:
+    return df.select(*keep, *[r6(F.col(c)).alias(c) for c in names])
+
+
 # --- keys and scalars ----------------------------------------------------------------
 
 NAMES = {
@@ -280,7 +295,7 @@ UNITS = {
   quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.9) AS q90 FROM units GROUP BY set_id, au""",
 }
 STAT_NAMES = ["mean", "std", "max", "min", "range", "median", "q25", "q75", "q90"]
-_stat = ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in STAT_NAMES)
+_stat = ", ".join(grid_sql(f'"{c}"', f'"{c}"') for c in STAT_NAMES)
 
 
 def _units(spark, sf):
@@ -289,8 +304,7 @@ def _units(spark, sf):
 
 @query("au_statistics__F3", with_steps(UNITS, f"SELECT set_id, au, {_stat} FROM stats", "au_frame"))
 def au_statistics(spark, sf):
-    out = facial.unit_statistics(_units(spark, sf))
-    return out.select("set_id", "au", *[r6(F.col(c)).alias(c) for c in STAT_NAMES])
+    return _gridded(facial.unit_statistics(_units(spark, sf)), STAT_NAMES, "set_id", "au")
 
 
 @query(
@@ -572,24 +586,9 @@ ENGINEERED = MASTER | {
 FEATURES = features.MODEL_FEATURES
 
 
-def grid_sql(expr: str, name: str) -> str:
-    """Comparison on a binary grid: products of short decimals often sit
-    exactly between two decimal places, never between two grid points."""
-    return f"floor(CAST({expr} AS DOUBLE) * 1048576 + 0.5) / 1048576 AS {name}"
-
-
 _feat_out = ", ".join(grid_sql(c, c) for c in FEATURES)
 
 
-def _gridded(df: DataFrame, names, *keep) -> DataFrame:
-    return df.select(*keep, *[snap(F.col(c).cast("double"), 20).alias(c) for c in names])
-
-
-
-def _rounded(df: DataFrame, names, *keep) -> DataFrame:
-    return df.select(*keep, *[r6(F.col(c)).alias(c) for c in names])
-
-
 @query("engineered_features__E1_E6", with_steps(ENGINEERED, f"SELECT set_id, {_feat_out} FROM feat", *VIEWS))
 def engineered_features(spark, sf):
     return _gridded(features.engineer(_extended(spark, sf)), FEATURES, "set_id")
