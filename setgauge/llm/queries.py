@@ -57,7 +57,7 @@ def license_sql() -> str:
         f"CASE WHEN regexp_matches(p, '{template_pattern(license_scan.parts(markup))}') THEN '{label}' END"
         for label, markup in license_scan.TEMPLATES.items()
     )
-    texts = lambda items: f"array_to_string(list_sort(list_distinct(list_filter([{items}], x -> x IS NOT NULL))), ',')"
+    texts = lambda items: f"array_to_string(list_sort(list_distinct([{items}])), ',')"
     return f"""
     WITH words AS (
         SELECT doc_id, regexp_extract_all(
