@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setgauge.llm import bpe, license_scan, simhash
+from setgauge.llm import bpe, license_scan, mixing, simhash
 from setgauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,38 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+MIXING_SQL = """
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+           md5(coalesce(doc_id::VARCHAR, '')) AS place
+    FROM documents),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM sized GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][((nr - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS cap FROM sources),
+levels AS (
+    SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS demand, cap / weight AS ratio FROM weighed),
+sums AS (
+    SELECT *, demand - coalesce(sum(cap) OVER (ORDER BY ratio RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0)::DOUBLE AS rest,
+           sum(weight) OVER (ORDER BY ratio RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS weights
+    FROM levels),
+level AS (SELECT rest, weights FROM sums WHERE rest / weights <= ratio ORDER BY ratio LIMIT 1),
+targets AS (
+    SELECT w.source, w.source_size, CASE WHEN l.rest * w.weight / l.weights > w.cap THEN w.cap::DOUBLE ELSE l.rest * w.weight / l.weights END AS target
+    FROM weighed w, level l),
+placed AS (
+    SELECT d.doc_id, d.size, t.source_size, t.target,
+           coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(least(floor(target) - ahead, size), 0) + greatest(least(floor(target) - ahead - source_size, size), 0))::BIGINT AS taken
+FROM placed"""
+
+
+@query("op8_mixing", MIXING_SQL)
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
