@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setgauge.llm import bpe, chat, embedding_dedup, license_scan, mixing, quality, simhash, toxicity
+from setgauge.llm import bpe, chat, embedding_dedup, license_scan, mixing, quality, simhash, toxicity, weighted_sampling
 from setgauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_weighted_sampling")
+def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 EMBEDDING_SQL = """
 WITH RECURSIVE good AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
