@@ -139,6 +139,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_texts(docs, work, T.StructType([*MEASURED.fields, T.StructField("score", T.DoubleType())]))
 
 
+def accepted(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score less than ``below``, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            folded = [fold(t or "") for t in batch.column("text").to_pylist()]
+            scores = curve([weigh(w, model) for w in folded], [len(w) for w in folded], model.curve)
+            yield batch.filter(pa.array([x < below for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sketch(words: list[str]) -> int:
     """Least hash of the five-word shingles: mostly equal for near copies."""
     if not words:
