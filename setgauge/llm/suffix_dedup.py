@@ -181,23 +181,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, batches
         found.append(family.add(rows.where(batch_of == b)))
     family.drop()
     release(spark)
-    shared = reduce(DataFrame.union, found).distinct()
+    # tables of their own, so that adaptive execution can split a hot key on the other side of the join
+    shared = cut(reduce(DataFrame.union, found).distinct(), "shared-keys")
     met = cut(rows.join(shared, "key", "left_semi"), "shared-suffixes")
-    discard(rows, *found)
+    discard(rows, shared, *found)
     release(spark)
     least = F.min(F.struct("doc_id", "check", "start", "strings")).alias("one")
     classes = cut(met.groupBy("key", "class").agg(F.count("*").alias("n"), least), "suffix-classes")
     whole = met.join(classes.where("n > 1").select("key", "class"), ["key", "class"], "left_semi")
     stretches = cut(whole.select("doc_id", "check", "start", (F.col("start") + F.col("strings") - 1 + length).alias("stop")).distinct(), "stretches")
-    several = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
+    several = cut(classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key"), "several-classes")
     runs = classes.join(several, "key", "left_semi").select("one.*", (F.col("n") > 1).alias("twice"))
     strings = cut(spelled_out(docs, runs, length), "strings")
-    discard(met, classes)
+    discard(met, classes, several)
     release(spark)
-    again = strings.groupBy("hash").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("hash")
+    again = cut(strings.groupBy("hash").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("hash"), "again")
     single = strings.where("NOT twice").join(again, "hash", "left_semi").select("doc_id", "check", "start", (F.col("start") + length).alias("stop"))
     out = cut(stretches.union(single), "repeats")
-    discard(stretches, strings)
+    discard(stretches, strings, again)
     release(spark)
     return out
 
