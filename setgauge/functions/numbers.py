@@ -25,6 +25,9 @@ def nan_to_null(value: Column) -> Column:
 
 
 def snap(value: Column, bits: int = 30) -> Column:
-    """Nearest multiple of 2**-bits, so that rounding noise decides no comparison."""
+    """Nearest multiple of 2**-bits, so that rounding noise decides no comparison.
+
+    Doubles of 2**(52 - bits) and more have no finer digits and stay as they are.
+    """
     scale = float(2**bits)
-    return F.floor(value * scale + 0.5) / scale
+    return F.when(F.abs(value) >= float(2 ** (52 - bits)), value).otherwise(F.floor(value * scale + 0.5) / scale)

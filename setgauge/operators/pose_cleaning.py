@@ -255,7 +255,7 @@ def candidate_frames(described: DataFrame, frames: DataFrame | None = None, scor
     return tracks.frame_positions(packed)
 
 
-def _boot_states(described: DataFrame, profile: CleaningProfile, min_comp: float, score: str) -> DataFrame:
+def bootstrap_states(described: DataFrame, profile: CleaningProfile, min_comp: float = 0.5, score: str = "cand_score") -> DataFrame:
     """Start states holding the best pose around the middle of each set."""
     best = bootstrap_pick(described, min_comp, score).drop("score")
     poses = best.join(described.select("set_id", "frame_index", "person", "x", "y"), ["set_id", "frame_index", "person"])
@@ -291,7 +291,7 @@ def clean_poses(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Cleaned pose of every frame of every set, in frame order per set."""
-    initial = _boot_states(described, profile, min_comp, score) if bootstrap else None
+    initial = bootstrap_states(described, profile, min_comp, score) if bootstrap else None
     return carried_fold(candidate_frames(described, frames, score), lambda: PoseCleaner(profile), POSE_OUTPUT, initial, chunk)
 
 

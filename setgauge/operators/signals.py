@@ -84,26 +84,40 @@ def centred_median(value: Column, taps: int, window, pos: str = "pos") -> Column
 
 def ema_reach(alpha: float) -> int:
     """Rows after which an older sample weighs less than 2**-60."""
-    return math.ceil(-60 * math.log(2) / math.log(1 - alpha))
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    return math.ceil(-60 * math.log(2) / math.log1p(-alpha)) if alpha < 1 else 0
 
 
-def ema(df: DataFrame, value: str, alpha: float, out: str, keys: Sequence[str] = SET) -> DataFrame:
-    """Exponential moving average inside haloed blocks of ``SMALL_BLOCK`` rows.
+def ema_block(alpha: float, extra: int = 0) -> int:
+    """Block size that holds the reach of ``alpha`` and ``extra`` more rows as a halo."""
+    return max(SMALL_BLOCK, ema_reach(alpha) + extra)
 
-    The fold ``y = a*x + (1-a)*y`` is the running sum of samples scaled by
-    growing powers, scaled back at the row. It starts at the first row of the
-    block: the set's first sample, or a halo row at least ``ema_reach`` before
-    the first home row, whose weight is then below double precision.
-    Results sit on a grid of 2**-30: two orders of evaluation agree on it.
+
+def ema(df: DataFrame, value: str, alpha: float, out: str, keys: Sequence[str] = SET, grid_bits: int | None = 30) -> DataFrame:
+    """Exponential moving average inside haloed blocks of ``ema_block`` rows, for 0 < alpha <= 1.
+
+    The fold ``y = a*x + (1-a)*y`` is the running sum of samples scaled by growing powers, scaled back
+    at the row. Powers grow inside stretches so short that they stay below 2**600; a stretch takes over
+    the last value of the one before, and what came earlier weighs less than 2**-600. The fold starts at
+    the first row of the block: the set's first sample, or a halo row at least ``ema_reach`` before the
+    first home row, whose weight is then below double precision.
+    Results sit on a grid of 2**-grid_bits, so that two orders of evaluation agree on them; None leaves
+    them as they are, and values too large for the grid stay as they are in any case.
     """
+    if alpha == 1:
+        return df.withColumn(out, F.col(value).cast("double"))
     keep = 1.0 - alpha
-    order = block_window(keys)
-    step = F.row_number().over(order) - 1
-    scaled = df.withColumn("_j", step.cast("double")).withColumn(
-        "_w", F.when(F.col("_j") == 0, F.col(value)).otherwise(F.lit(alpha) * F.col(value)) * F.pow(F.lit(keep), -F.col("_j"))
-    )
-    running = F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return scaled.withColumn(out, snap(running * F.pow(F.lit(keep), F.col("_j")))).drop("_j", "_w")
+    stretch = max(1, int(600 * math.log(2) / -math.log1p(-alpha)))
+    step = F.row_number().over(block_window(keys)) - 1
+    numbered = df.withColumn("_j", step).withColumn("_part", F.floor(F.col("_j") / stretch)).withColumn("_i", (F.col("_j") % stretch).cast("double"))
+    weighed = F.when(F.col("_j") == 0, F.col(value)).otherwise(F.lit(alpha) * F.col(value)) * F.pow(F.lit(keep), -F.col("_i"))
+    inside = Window.partitionBy(*keys, "block", "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = numbered.withColumn("_w", weighed).withColumn("_z", F.sum("_w").over(inside) * F.pow(F.lit(keep), F.col("_i")))
+    ended = F.last(F.when(F.col("_i") == stretch - 1, F.col("_z")), ignorenulls=True)
+    before = ended.over(block_window(keys).rowsBetween(Window.unboundedPreceding, -1))
+    mixed = F.col("_z") + F.coalesce(F.pow(F.lit(keep), F.col("_i") + 1) * before, F.lit(0.0))
+    return summed.withColumn(out, mixed if grid_bits is None else snap(mixed, grid_bits)).drop("_j", "_part", "_i", "_w", "_z")
 
 
 def rise_over_valley(value: Column, half: int, window) -> Column:
@@ -149,6 +163,7 @@ def smooth_signal(
     keys: Sequence[str] = SET,
     extra: int = 0,
     home_only: bool = True,
+    grid_bits: int | None = 30,
 ) -> DataFrame:
     """Fill, centred median, exponential average: the rep-signal chain.
 
@@ -156,15 +171,17 @@ def smooth_signal(
     windows the caller adds before filtering on ``home``.
     """
     filled = fill_gaps(df, value, out, keys)
-    halo = with_halo(filled, ema_reach(alpha) + taps + extra, taps + extra, SMALL_BLOCK)
+    halo = with_halo(filled, ema_reach(alpha) + taps + extra, taps + extra, ema_block(alpha, taps + extra))
     medians = halo.withColumn("_m", centred_median(F.col(out), taps, block_window(keys)))
-    smooth = ema(medians, "_m", alpha, out, keys).drop("_m")
+    smooth = ema(medians, "_m", alpha, out, keys, grid_bits).drop("_m")
     return smooth.filter("home").drop("block", "home") if home_only else smooth
 
 
-def ema_signal(df: DataFrame, value: str, out: str, alpha: float = 0.35, keys: Sequence[str] = SET) -> DataFrame:
-    halo = with_halo(df, ema_reach(alpha), 0, SMALL_BLOCK)
-    return ema(halo, value, alpha, out, keys).filter("home").drop("block", "home")
+def ema_signal(
+    df: DataFrame, value: str, out: str, alpha: float = 0.35, keys: Sequence[str] = SET, grid_bits: int | None = 30
+) -> DataFrame:
+    halo = with_halo(df, ema_reach(alpha), 0, ema_block(alpha))
+    return ema(halo, value, alpha, out, keys, grid_bits).filter("home").drop("block", "home")
 
 
 def local_tops(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded as r6
 from ..operators import peaks, reps, signals
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import cte
 from .registry import query
@@ -156,6 +159,30 @@ def exponential_average(spark, sf):
     return signals.ema_signal(filled, "y", "z").select("set_id", "pos", F.col("z").alias("y_ema"))
 
 
+ALPHAS = (0.03, 0.28, 0.5, 0.9, 1.0)
+
+
+@query(
+    "exponential_averages__S4",
+    check(
+        FILLED
+        | {
+            f"ema{i}": f"""SELECT set_id, pos, {a} AS alpha,
+  list_reduce(list(yf) {W}, lambda a, x: CAST({a} AS DOUBLE) * x + CAST({1.0 - a!r} AS DOUBLE) * a) AS z FROM filled"""
+            for i, a in enumerate(ALPHAS)
+        },
+        " UNION ALL ".join(f"SELECT set_id, pos, CAST(alpha AS DOUBLE) AS alpha, round(z, 6) + 0.0 AS y_ema FROM ema{i}" for i in range(len(ALPHAS))),
+    ),
+)
+def exponential_averages(spark, sf):
+    filled = cut_lineage(signals.fill_gaps(fx.frame_signal(spark, sf), "y").select("set_id", "pos", "y"), "filled")
+    parts = [
+        signals.ema_signal(filled, "y", "z", alpha, grid_bits=None).select("set_id", "pos", F.lit(alpha).alias("alpha"), r6(F.col("z")).alias("y_ema"))
+        for alpha in ALPHAS
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("smooth_signal__S1_S3_S4", check(SMOOTH, "SELECT set_id, pos, z AS y_smooth FROM smooth"))
 def smooth_signal(spark, sf):
     out = signals.smooth_signal(fx.frame_signal(spark, sf), "y", "z")

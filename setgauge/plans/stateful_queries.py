@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded as r6
+from ..operators import facial
 from ..operators import pose_cleaning as pc
-from ..session import fresh_path
+from ..session import cut_lineage, fresh_path
 from ..streaming import pose_stream as ps
 from . import fixtures as fx
 from .fixtures import cte
 from .posture_queries import PIXELS, _described, _person_boxes, _pixels
 from .registry import query
+from .set_queries import AU_MAX, AU_ROUNDED, DETECTION, DETECTION_OUT, FACE_STATS, with_steps
 
 
 def _cleaned(spark, sf, profile, score="cand_score"):
@@ -86,35 +88,41 @@ def reseeded_trace(spark, sf):
     return out.select("set_id", "pos", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "reseeded")
 
 
+SLABS = 4
+
+
 @query("streamed_clean_poses__T1")
 def streamed_clean_poses(spark, sf):
-    frames = pc.candidate_frames(_described(spark, sf)).drop("pos")
+    described = cut_lineage(_described(spark, sf), "described")
+    frames = cut_lineage(pc.candidate_frames(described).drop("pos"), "frames")
     path = fresh_path(spark, "candidate_frames")
-    frames.write.parquet(path)
-    out = ps.run_clean_poses(spark, path, frames.schema, pc.SQUAT_CLEANING, files=100)
+    last = frames.agg(F.max("frame_index")).first()[0] or 0
+    width = last // SLABS + 1
+    for slab in range(SLABS):  # recorded one after the other, so files of later frames are newer
+        frames.filter(F.floor(F.col("frame_index") / width) == slab).repartition("set_id").write.mode("append").parquet(path)
+    initial = cut_lineage(pc.bootstrap_states(described, pc.SQUAT_CLEANING), "start_states")  # read by every micro-batch
+    out = ps.run_clean_poses(spark, path, frames.schema, pc.SQUAT_CLEANING, files=3, initial=initial)
     return out.select("set_id", "frame_index", F.posexplode(F.arrays_zip("x", "y")).alias("joint", "p")).select(
         "set_id", "frame_index", "joint", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y")
     )
 
 
+def _facial_features(frames):
+    out = facial.facial_summary(frames, with_error=False)
+    return out.select("set_id", "detection_count", "total_frames", *[r6(F.col(c)).alias(c) for c in (*FACE_STATS, *AU_MAX)], "au_highly_active_count")
+
+
 @query(
     "incremental_facial_features__T7",
-    """SELECT l_suppkey AS set_id, CAST(count(*) AS BIGINT) AS total_frames, count(*) FILTER (WHERE l_returnflag <> 'R') AS detection_count
-  FROM lineitem GROUP BY l_suppkey""",
+    with_steps(DETECTION, f"SELECT set_id, {DETECTION_OUT}, {AU_ROUNDED}, au_highly_active_count FROM face", "au_frame"),
 )
 def incremental_facial_features(spark, sf):
     path, out, marks = (fresh_path(spark, n) for n in ("new_frames", "face_batches", "face_marks"))
-    frames = fx.au_frame(spark, sf, frames=False).select("set_id", "success")
-    frames.repartition("set_id").write.parquet(path)
-
-    def summary(batch):
-        return batch.groupBy("set_id").agg(
-            F.count(F.lit(1)).alias("total_frames"), F.count(F.when(F.col("success") == 1, 1)).alias("detection_count")
-        )
-
+    frames = fx.au_frame(spark, sf, frames=False)
+    frames.repartition(12).write.parquet(path)  # every set is in many files
     for _ in range(2):  # the second run finds nothing new
-        ps.process_new_files(spark, path, frames.schema, summary, out, marks)
-    return spark.read.parquet(out).drop("batch")
+        ps.process_new_files(spark, path, frames.schema, _facial_features, out, marks, files=5)
+    return ps.latest(spark, out)
 
 
 @query(
@@ -124,8 +132,8 @@ def incremental_facial_features(spark, sf):
 def streamed_history(spark, sf):
     source, out, marks = (fresh_path(spark, n) for n in ("records", "history", "history_marks"))
     past = fx.history(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    twice = past.unionByName(past.filter("id % 3 = 0"))
-    twice.write.parquet(source)
-    stream = spark.readStream.schema(twice.schema).parquet(source)
-    ps.append_history_stream(stream, out, marks)
+    newer, older = past.filter("id % 2 = 0"), past.filter("id % 2 = 1")
+    for sent in (newer.unionByName(newer.filter("id % 3 = 0")), older.unionByName(newer.filter("id % 5 = 0"))):
+        sent.write.mode("append").parquet(source)  # the second delivery is older, and repeats records
+        ps.append_history_stream(spark.readStream.schema(past.schema).parquet(source), out, marks)
     return spark.read.parquet(out).select("id", "lift_type", "predicted_rpe")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Open scratch blocks, each with the paths handed out in it.
+SCOPES: list[list[str]] = []
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -25,25 +29,51 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get(CHECKPOINT_KEY, None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="setgauge-"))  # one machine: its own folder is shared
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster.
-
-    Only where the session names none (tests, local runs) a temporary folder
-    is made and set for the rest of the session.
-    """
+    """Folder every executor can reach, as named by the cluster."""
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="setgauge-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        raise ValueError(
+            f"no shared folder: start the session with {CHECKPOINT_KEY}, or call SparkContext.setCheckpointDir, "
+            "naming a folder that the driver and all executors reach"
+        )
     return base.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; an open :func:`scratch` removes it at its end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in SCOPES:
+        scope.append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete what was written below the shared folder, on whatever file system it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        where = hadoop(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, every intermediate table written in it.
+
+    Operators return DataFrames that still read such tables: collect or write their results inside.
+    """
+    scope: list[str] = []
+    SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        SCOPES.pop(next(i for i, s in enumerate(SCOPES) if s is scope))
+        remove(spark, *scope)
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,27 +17,42 @@ BATCH_FILES = 30
 CLEANED = "set_id int, frame_index int, x array<double>, y array<double>, used boolean"
 
 
-def clean_pose_stream(frames: DataFrame, profile: CleaningProfile) -> DataFrame:
+def clean_pose_stream(frames: DataFrame, profile: CleaningProfile, initial: DataFrame | None = None, forget: int | None = None) -> DataFrame:
     """Cleaned poses of a stream of candidate frames (set_id, frame_index, cands).
 
-    Frames of a set must arrive in order of their micro-batches; inside a
-    batch they are sorted. The state kept per set between batches is one pose
-    and its counters.
+    A micro-batch may hold any number of files; the frames of a set are sorted inside it. Frames of a
+    set that come after a later one of an earlier micro-batch can no longer be cleaned in order, and
+    stop the stream with an error instead of changing results. ``initial`` (set_id, state) gives sets
+    a start state, as ``pose_cleaning.bootstrap_states`` does for the batch job. The state of a set is
+    one pose, its counters and the last frame. A stream that runs on drops it when nothing came for
+    ``forget`` milliseconds; with such a timeout Spark keeps running batches, so a job that stops by
+    itself must leave it out.
     """
+    started = frames.withColumn("boot", F.lit(None).cast("binary"))
+    if initial is not None:
+        started = frames.join(initial.withColumnRenamed("state", "boot"), "set_id", "left")
 
     def clean(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("frame_index")
+        held, last = state.get if state.exists else (rows["boot"].iloc[0], None)
+        if last is not None and rows["frame_index"].iloc[0] <= last:
+            raise ValueError(f"set {key[0]}: frame {rows['frame_index'].iloc[0]} arrived after frame {last}")
         cleaner = PoseCleaner(profile)
-        cleaner.restore(bytes(state.get[0]) if state.exists else None)
+        cleaner.restore(bytes(held) if held is not None else None)
         made = [cleaner.step(r) for r in rows.itertuples(index=False)]
-        state.update((cleaner.save(),))
+        state.update((cleaner.save(), int(rows["frame_index"].iloc[-1])))
+        if forget:
+            state.setTimeoutDuration(forget)
         out = rows[["set_id", "frame_index"]].reset_index(drop=True)
         for at, name in enumerate(("x", "y", "used")):
             out[name] = [m[at] for m in made]
         yield out
 
-    return frames.groupBy("set_id").applyInPandasWithState(
-        clean, CLEANED, "bytes binary", "append", GroupStateTimeout.NoTimeout
+    return started.groupBy("set_id").applyInPandasWithState(
+        clean, CLEANED, "bytes binary, last int", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
     )
 
 
@@ -53,11 +69,18 @@ def drain(stream: DataFrame, path: str, checkpoint: str, form: str = "parquet")
     query.awaitTermination()
 
 
-def run_clean_poses(spark: SparkSession, source: str, schema: T.StructType, profile: CleaningProfile, files: int = 1) -> DataFrame:
-    """Clean candidate frames stored as parquet below ``source``, file by file."""
+def run_clean_poses(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    profile: CleaningProfile,
+    files: int = BATCH_FILES,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """Clean candidate frames stored as parquet below ``source``, ``files`` files per micro-batch, oldest first."""
     frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     out, mark = fresh_path(spark, "cleaned"), fresh_path(spark, "cleaned_marks")
-    drain(clean_pose_stream(frames, profile), out, mark)
+    drain(clean_pose_stream(frames, profile, initial), out, mark)
     return spark.read.schema(CLEANED).parquet(out)
 
 
@@ -69,15 +92,19 @@ def process_new_files(
     out: str,
     checkpoint: str,
     files: int = BATCH_FILES,
+    key: str = "set_id",
 ) -> None:
-    """Run ``work`` on files not seen before, ``files`` per batch.
+    """Keep ``work`` (one row per ``key``) up to date with files not seen before, ``files`` per batch.
 
-    The checkpoint remembers processed files; a batch that is run again
-    overwrites its own folder, so results appear once.
+    A set may be spread over files and batches: each batch recomputes the sets that it touches from
+    all their files. Read the results with :func:`latest`. The checkpoint remembers processed files; a
+    batch that is run again overwrites its own folder, so results appear once.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        touched = batch.select(key).distinct()
+        whole = spark.read.schema(schema).parquet(source).join(touched, key, "left_semi")
+        work(whole).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
         spark.readStream.schema(schema)
@@ -91,7 +118,27 @@ def process_new_files(
     query.awaitTermination()
 
 
-def append_history_stream(records: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Append prediction records once each, however often they are sent."""
-    once = records.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])
-    drain(once, path, checkpoint)
+def latest(spark: SparkSession, out: str, key: str = "set_id") -> DataFrame:
+    """Of each set, the row that its last batch gave."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"]).drop("batch")
+
+
+def append_history_stream(records: DataFrame, path: str, checkpoint: str) -> None:
+    """Append prediction records once each, however often and however late they are sent."""
+    spark = records.sparkSession
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(["id"])
+        if exists(spark, path):
+            new = new.join(spark.read.schema(records.schema).parquet(path).select("id"), "id", "left_anti")
+        new.select(*records.columns).write.mode("append").parquet(path)
+
+    query = records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
