@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setgauge.llm.common import cut, ranked
+from setgauge.llm.common import cut, discard, ranked, release
 
 #: Samples of a fingerprint; a sample is its bin and CODE_BITS bits of the hash of term and level.
 BINS, CODE_BITS = 64, 16
@@ -128,12 +128,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     begun = rows.join(wanted, F.col("id") == F.col("_next")).select(
         F.col("_before").alias("id"), F.col("text").substr(F.lit(1), F.col("_most").cast("int")).alias("begin"), F.xxhash64("text").alias("_hash")
     )
-    begun = begun.groupBy("id").agg(F.min(F.struct("_hash", "begin")).alias("_b")).select("id", F.col("_b.begin").alias("begin"))
+    begun = cut(begun.groupBy("id").agg(F.min(F.struct("_hash", "begin")).alias("_b")).select("id", F.col("_b.begin").alias("begin")), "beginnings")
+    release(docs.sparkSession)  # the shuffle of the texts for the beginnings, before that for the edited texts
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     both = rows.join(begun, "id").withColumn("n_chars", n.cast("long")).withColumn("hash", F.xxhash64("text"))
     both = both.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - quarter), F.col("begin").substr(F.lit(1), quarter)))
     both = signature(signature(both, "text", "samples"), "edited", "edited_samples")
     done = cut(both.select("doc_id", "id", "hash", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "samples", "edited_samples"), "signatures")
+    discard(begun)
+    release(docs.sparkSession)
     following = done.groupBy("id").agg(F.min(F.struct("hash", "samples")).alias("_s")).select(F.col("id").alias("next_id"), F.col("_s.samples").alias("next_samples"))
     out = done.join(order.join(following, "next_id").select("id", "next_samples"), "id")
     return out.select(
