@@ -16,46 +16,45 @@ from .set_queries import AU_MAX, DETECTION, with_steps
 
 
 def _au_files(spark, sf) -> str:
-    """AU frames as CSV with blank-padded headers, foldered by hash of the set."""
-    frames = fx.au_frame(spark, sf)
+    """AU frames as CSV with blank-padded headers: columns in two orders, and a third of the sets without ``success``."""
+    frames = fx.au_frame(spark, sf).withColumnRenamed("set_id", "face_id")
     path = fresh_path(spark, "au_csv")
-    padded = frames.select(*[F.col(c).alias(c if c == "set_id" else f" {c}") for c in frames.columns])
-    padded.withColumnRenamed("set_id", "face_id").write.option("header", True).csv(path)
+    for kind, names in enumerate((frames.columns, frames.columns[::-1], [c for c in frames.columns if c != "success"])):
+        own = frames.filter(F.col("face_id") % 3 == kind).select(*[F.col(c).alias(f" {c}") for c in names])
+        own.write.mode("append").option("header", True).csv(f"{path}/kind={kind}")
     return path
 
 
+FILED = {"filed": "SELECT * REPLACE (CASE WHEN set_id % 3 = 2 THEN 1 ELSE success END AS success) FROM au_frame"}
+
+
 @query(
     "au_frame_reader__A1",
     with_steps(
-        {},
-        "SELECT frame, success, round(confidence, 6) + 0.0 AS confidence, round(timestamp, 6) + 0.0 AS timestamp, "
-        + ", ".join(f"round({a}_r, 6) + 0.0 AS {a}_r" for a in AUS)
-        + " FROM au_frame",
+        FILED,
+        "SELECT CAST(set_id AS BIGINT) AS set_id, frame, CAST(success AS BIGINT) AS success, round(confidence, 6) + 0.0 AS confidence, "
+        "round(timestamp, 6) + 0.0 AS timestamp, " + ", ".join(f"round({a}_r, 6) + 0.0 AS {a}_r" for a in AUS) + " FROM filed",
         "au_frame",
     ),
 )
 def au_frame_reader(spark, sf):
-    read = fr.read_au_frames(spark, _au_files(spark, sf))
-    return read.select("frame", "success", *[r6(F.col(c)).alias(c) for c in ["confidence", "timestamp", *facial.INTENSITY]])
+    read = fr.read_au_frames(spark, _au_files(spark, sf), set_id=F.col("face_id"))
+    return read.select("set_id", "frame", "success", *[r6(F.col(c)).alias(c) for c in ["confidence", "timestamp", *facial.INTENSITY]])
 
 
 @query(
     "rebuilt_face_features__A8",
     with_steps(
-        DETECTION,
-        """SELECT concat(set_id, '.mp4') AS video_name, total_frames, CASE WHEN detection_count < 400
-  THEN concat('Insufficient valid frames (', detection_count, ' detected).') END AS error, """
-        .replace("total_frames,", "CASE WHEN detection_count >= 400 THEN total_frames END AS total_frames,")
+        FILED | {"face": DETECTION["face"].replace("FROM au_frame", "FROM filed")},
+        """SELECT concat(set_id, '.mp4') AS video_name, CASE WHEN detection_count >= 400 THEN total_frames END AS total_frames,
+  CASE WHEN detection_count < 400 THEN concat('Insufficient valid frames (', detection_count, ' detected).') END AS error, """
         + ", ".join(f"CASE WHEN detection_count >= 400 THEN round({c}, 6) + 0.0 END AS {c}" for c in AU_MAX)
         + " FROM face",
         "au_frame",
     ),
 )
 def rebuilt_face_features(spark, sf):
-    path = fresh_path(spark, "au_cache")
-    fx.au_frame(spark, sf).write.partitionBy("set_id").option("header", True).csv(path)
-    by_folder = F.regexp_extract("_metadata.file_path", r"set_id=(\d+)", 1)
-    out = fr.rebuild_facial_features(spark, path, 400, by_folder)
+    out = fr.rebuild_facial_features(spark, _au_files(spark, sf), 400, F.col("face_id"))
     return out.select("video_name", "total_frames", "error", *[r6(F.col(c)).alias(c) for c in AU_MAX])
 
 

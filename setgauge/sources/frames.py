@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.assemble import stack_tables
-from ..operators.facial import MINIMAL_COLUMNS, facial_summary
+from ..operators.facial import MINIMAL_COLUMNS, detected_frames, facial_summary
 from ..operators.posture import JOINTS
+from ..operators.signals import observed_downsample
 
 WHOLE_NUMBERS = {"frame", "face_id", "success"}
 
@@ -32,38 +35,57 @@ def stem_of_path(path: Column, suffix: str = "") -> Column:
     return F.regexp_replace(stem, f"{suffix}$", "") if suffix else stem
 
 
+def au_headers(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """Files by header line. The driver holds one path per file, as it does for any file scan."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.filter(F.col("value").rlike(r"(^|,)\s*(frame|timestamp|confidence|success|AU\d\d_[rc])\s*(,|$)"))
+    found = heads.groupBy("value").agg(F.collect_set("file").alias("files")).collect()
+    return {r["value"]: sorted(unquote(f) for f in r["files"]) for r in found}
+
+
 def read_au_frames(
     spark: SparkSession,
     path: str | Sequence[str],
     columns: Sequence[str] | None = MINIMAL_COLUMNS,
     suffix: str = "_pose_guided",
     set_id: Column | None = None,
+    only_success: bool = False,
+    sample_fps: float | None = None,
 ) -> DataFrame:
     """AU frame CSVs of any number of sets, pruned to ``columns``.
 
-    Header names may be padded with blanks, so the header line is read once to
-    build the schema; every value is then parsed by that schema. Columns that
-    a file set lacks are left out, as is nothing else. ``set_id`` overrides
-    how the set is read from ``_metadata.file_path`` (default: file stem).
+    Files may differ in the order and choice of their columns, and headers may be padded with blanks:
+    files are grouped by header, each group is parsed by its own names, and the groups are united by
+    name (a column that a file lacks is null; a file without ``success`` has valid frames only).
+    ``set_id`` overrides how the set is read from ``_metadata.file_path`` (default: file stem).
+    ``only_success`` keeps valid frames; ``sample_fps`` thins each set to about that rate by its observed one.
     """
-    nested = spark.read.option("recursiveFileLookup", True)
-    header = nested.option("header", True).option("inferSchema", False).csv(path).columns
-    names = [c.strip() for c in header]
-    schema = T.StructType(
-        [T.StructField(n, T.LongType() if n in WHOLE_NUMBERS else T.DoubleType()) for n in names]
-    )
-    frames = (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", True)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
-    )
-    wanted = [c for c in (columns or names) if c in names]
-    key = stem_of_path(F.col("_metadata.file_path"), suffix) if set_id is None else set_id
-    return frames.select(key.alias("set_id"), *wanted)
+    parts = []
+    for header, files in au_headers(spark, path).items():
+        names = [c.strip() for c in header.split(",")]
+        schema = T.StructType([T.StructField(n, T.LongType() if n in WHOLE_NUMBERS else T.DoubleType()) for n in names])
+        frames = (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("enforceSchema", True)
+            .option("ignoreLeadingWhiteSpace", True)
+            .option("ignoreTrailingWhiteSpace", True)
+            .csv(files)
+        )
+        key = stem_of_path(F.col("_metadata.file_path"), suffix) if set_id is None else set_id
+        wanted = [c for c in (columns or names) if c in names]
+        part = frames.select(key.alias("set_id"), *wanted)
+        if "success" not in names and (columns is None or "success" in columns):
+            part = part.withColumn("success", F.lit(1).cast("long"))
+        parts.append(part)
+    if not parts:
+        raise ValueError(f"no AU frame file below {path}")
+    frames = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if columns is not None:
+        frames = frames.select("set_id", *[c for c in columns if c in frames.columns])
+    if sample_fps:
+        frames = observed_downsample(frames, sample_fps)
+    return detected_frames(frames) if only_success else frames
 
 
 def rebuild_facial_features(
