@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Frames per second of the recorded sets, by set_id modulo 4.
+FRAME_RATES = (24.0, 30.0, 60.0, 30.0)
+
+
 def frame_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     placed = tracks.number_rows(
@@ -28,7 +32,7 @@ def frame_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos",
         F.col("pos").cast("int").alias("frame_index"),
         F.when(F.col("event_type") != "error", F.col("value")).alias("y"),
-        F.lit(30.0).alias("fps"),
+        F.element_at(F.array(*[F.lit(r) for r in FRAME_RATES]), (F.col("set_id") % 4 + 1).cast("int")).alias("fps"),
         (F.col("set_id") % 3).cast("int").alias("lift_code"),
     )
 
@@ -218,7 +222,7 @@ SELECT user_id AS set_id,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame_index,
   CASE WHEN event_type = 'error' THEN NULL ELSE value END AS y,
-  CAST(30.0 AS DOUBLE) AS fps, CAST(user_id % 3 AS INT) AS lift_code
+  CAST(list_extract([24.0, 30.0, 60.0, 30.0], CAST(user_id % 4 + 1 AS INT)) AS DOUBLE) AS fps, CAST(user_id % 3 AS INT) AS lift_code
 FROM events""",
     "au_frame": f"""
 SELECT l_suppkey AS set_id, frame, CAST(frame / 30.0 AS DOUBLE) AS timestamp,

@@ -16,8 +16,10 @@ from . import fixtures as fx
 from .registry import query
 from .set_queries import LONG, SERVING, VIEWS, _extended, _rounded, _serving, with_steps
 
-QUICK_A = model.Booster("squared", rounds=4, step=0.3, depth=4, bins=32)
-QUICK_B = model.Booster("absolute", rounds=4, step=0.3, depth=4, bins=32)
+#: Rounds and trials are parameters of the operators; the queries, which run all folds, take few.
+ROUNDS, TRIALS = 2, 2
+QUICK_A = model.Booster("squared", rounds=ROUNDS, step=0.3, depth=4, bins=32)
+QUICK_B = model.Booster("absolute", rounds=ROUNDS, step=0.3, depth=4, bins=32)
 
 # --- predictions with a known rule ---------------------------------------------------
 
@@ -73,9 +75,16 @@ def plain_folds(spark, sf):
     return model.with_folds(fx.set_label(spark, sf), "set_id", folds=model.PLAIN_FOLDS).groupBy("fold").count()
 
 
-@query("train_test_split__M3")
+@query(
+    "train_test_split__M3",
+    with_steps(
+        {"n": "SELECT (row_number() OVER (ORDER BY set_id) - 0.5) / CAST(count(*) OVER () AS DOUBLE) AS place FROM set_label"},
+        "SELECT CASE WHEN place <= CAST(0.8 AS DOUBLE) THEN 'train' ELSE 'test' END AS part, count(*) AS count FROM n GROUP BY part",
+        "set_label",
+    ),
+)
 def train_test_split(spark, sf):
-    return model.with_split(fx.set_label(spark, sf), "set_id", {"train": 0.8, "test": 0.2}).select("set_id", "part")
+    return model.with_split(fx.set_label(spark, sf), "set_id", {"train": 0.8, "test": 0.2}).groupBy("part").count()
 
 
 @query(
@@ -113,20 +122,21 @@ def blend_and_rounding(spark, sf):
 @query(
     "confidence__M8",
     with_steps(
-        SCORED,
-        """SELECT set_no, round(coalesce(CASE WHEN set_no % 9 <> 0 THEN (set_no % 10) / CAST(10 AS DOUBLE) END, 0.8)
-  * greatest(0.5, 1 - abs(pred_a - pred_b) / 10) * CASE WHEN set_no % 4 <> 0 THEN 1.0 ELSE 0.7 END, 1) AS confidence FROM scored
-  WHERE true""",
+        SCORED
+        | {
+            "exact": """SELECT set_no, 100 * CAST(coalesce(CASE WHEN set_no % 9 <> 0 THEN (set_no % 10) / CAST(10 AS DOUBLE) END, CAST(0.8 AS DOUBLE))
+  * greatest(CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) - abs(pred_a - pred_b) / CAST(10 AS DOUBLE))
+  * CASE WHEN set_no % 4 <> 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS DECIMAL(18, 12)) AS v FROM scored"""
+        },
+        """SELECT set_no, CAST(floor(v) + CASE WHEN v - floor(v) > 0.5 OR (v - floor(v) = 0.5 AND floor(v) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100
+  AS confidence FROM exact""",
         "set_label",
     ),
 )
 def confidence(spark, sf):
     rate = F.when(F.col("set_no") % 9 != 0, (F.col("set_no") % 10) / 10.0)
-    agree = F.greatest(F.lit(0.5), 1 - F.abs(F.col("pred_a") - F.col("pred_b")) / 10)
-    value = F.coalesce(rate, F.lit(0.8)) * agree * F.when(F.col("set_no") % 4 != 0, 1.0).otherwise(0.7)
     shown = model.confidence(rate, F.col("pred_a"), F.col("pred_b"), F.col("set_no") % 4 != 0)
-    near = F.abs(shown - value) <= 0.005 + 1e-9
-    return _scored(spark, sf).select("set_no", F.when(near, F.round(value, 1)).alias("confidence"))
+    return _scored(spark, sf).select("set_no", shown.alias("confidence"))
 
 
 @query(
@@ -253,24 +263,21 @@ def booster_predictions(spark, sf):
 
 @query("out_of_fold_metrics__M10")
 def out_of_fold_metrics(spark, sf):
-    table = _training_table(spark, sf).withColumn("fold", F.col("fold") % 3)
-    scored = model.out_of_fold(table, "set_id", a=QUICK_A, b=QUICK_B, folds=3)
+    scored = model.out_of_fold(_training_table(spark, sf), "set_id", a=QUICK_A, b=QUICK_B)
     return model.blend_metrics(cut_lineage(scored, "out_of_fold"))
 
 
 @query("settings_search__M11")
 def settings_search(spark, sf):
-    table = _training_table(spark, sf).withColumn("fold", F.col("fold") % 3)
-    drawn = model.drawn_settings(model.Booster("squared", rounds=2, step=0.3, depth=4), 2)
-    quick = [model.Booster(**{**vars(t), "depth": 4}) for t in drawn]
-    _, results = model.search_settings(table, "rpe", features.MODEL_FEATURES, quick, folds=3)
+    drawn = model.drawn_settings(model.Booster("squared", rounds=ROUNDS, step=0.3), TRIALS)
+    _, results = model.search_settings(_training_table(spark, sf), "rpe", features.MODEL_FEATURES, drawn)
     return spark.createDataFrame([(t.step, t.depth, float(m)) for t, m in results], "step double, depth int, mean_mae double")
 
 
 @query("top_importances__M12_R3")
 def top_importances(spark, sf):
     table = _training_table(spark, sf)
-    fitted = [model.fit_blend(table.filter(F.col("fold") != k), a=QUICK_A, b=QUICK_B) for k in (0, 1)]
+    fitted = [model.fit_blend(table.filter(F.col("fold") != k), a=QUICK_A, b=QUICK_B) for k in range(model.FOLDS)]
     return model.top_importances(model.importances(fitted, spark))
 
 

@@ -50,12 +50,14 @@ def tops_sql(sign: int, half: int, share: float) -> dict[str, str]:
     }
 
 
-def thin_sql(source: str, dist: int, later: bool = False, name: str = "thinned") -> dict[str, str]:
+def thin_sql(source: str, dist: int | str, later: bool = False, name: str = "thinned") -> dict[str, str]:
+    """``dist`` is a number of frames, or the column that holds it."""
     tie = "-pos" if later else "pos"
     return {
-        name: f"""SELECT set_id, unnest(list_reduce(list(pos ORDER BY z DESC, {tie}),
-  lambda acc, x: CASE WHEN len(list_filter(acc, lambda j: abs(j - x) < {dist})) = 0 THEN list_append(acc, x) ELSE acc END,
-  CAST([] AS BIGINT[]))) AS pos FROM {source} GROUP BY set_id"""
+        name: f"""SELECT set_id, unnest(list_reduce(ps,
+  lambda acc, x: CASE WHEN len(list_filter(acc, lambda j: abs(j - x) < dist)) = 0 THEN list_append(acc, x) ELSE acc END,
+  CAST([] AS BIGINT[]))) AS pos
+  FROM (SELECT set_id, list(pos ORDER BY z DESC, {tie}) AS ps, max({dist}) AS dist FROM {source} GROUP BY set_id)"""
     }
 
 
@@ -71,14 +73,14 @@ STATS = BOXED | {
 PLATEAU = STATS | {
     "flagged": f"SELECT *, CASE WHEN lag(z) {W} IS DISTINCT FROM z THEN 1 ELSE 0 END AS head FROM oriented",
     "runs": f"SELECT *, sum(head) {W} AS run FROM flagged",
-    "flat": "SELECT set_id, run, min(pos) AS p0, max(pos) AS p1, max(z) AS z, max(floor) AS floor FROM runs GROUP BY set_id, run",
+    "flat": "SELECT set_id, run, min(pos) AS p0, max(pos) AS p1, max(z) AS z, max(floor) AS floor, max(fps) AS fps FROM runs GROUP BY set_id, run",
     "sided": """SELECT *, lag(z) OVER (PARTITION BY set_id ORDER BY run) AS zl,
   lead(z) OVER (PARTITION BY set_id ORDER BY run) AS zr FROM flat""",
-    "deep": "SELECT set_id, (p0 + p1) // 2 AS pos, z FROM sided WHERE zl < z AND zr < z AND z >= floor",
+    "deep": "SELECT set_id, (p0 + p1) // 2 AS pos, z, CAST(floor(fps * CAST(0.4 AS DOUBLE)) AS BIGINT) AS apart FROM sided WHERE zl < z AND zr < z AND z >= floor",
 }
 PROMINENT = (
     PLATEAU
-    | thin_sql("deep", 12, later=True, name="spaced")
+    | thin_sql("deep", "apart", later=True, name="spaced")
     | {
         "tops": "SELECT set_id, pos, z FROM deep JOIN spaced USING (set_id, pos)",
         "walls": """SELECT t.set_id, t.pos, t.z,
@@ -93,8 +95,8 @@ PROMINENT = (
 )
 PEAKS = PROMINENT | {
     "found": "SELECT * FROM prominent WHERE z - greatest(left_low, right_low) >= CAST(0.15 AS DOUBLE) * rom",
-    "fenced": """SELECT *, coalesce(lag(pos) OVER (PARTITION BY set_id ORDER BY pos), greatest(0, pos - 450)) AS f0,
-  coalesce(lead(pos) OVER (PARTITION BY set_id ORDER BY pos), least(n_frames, pos + 450)) AS f1 FROM found""",
+    "fenced": """SELECT *, coalesce(lag(pos) OVER (PARTITION BY set_id ORDER BY pos), greatest(0, pos - CAST(floor(fps * 15) AS BIGINT))) AS f0,
+  coalesce(lead(pos) OVER (PARTITION BY set_id ORDER BY pos), least(n_frames, pos + CAST(floor(fps * 15) AS BIGINT))) AS f1 FROM found""",
     "lows": """SELECT f.set_id, f.pos, min({'z': o.z, 'pos': o.pos}) FILTER (WHERE o.pos >= f0 AND o.pos < f.pos) AS pre,
   min(o.z) FILTER (WHERE o.pos >= f.pos AND o.pos < f1) AS post_low
   FROM fenced f JOIN oriented o USING (set_id) GROUP BY f.set_id, f.pos""",
@@ -259,7 +261,7 @@ def _peak_inputs(spark, sf):
 )
 def prominence_bounds(spark, sf):
     smooth, stats = _peak_inputs(spark, sf)
-    spaced = reps.spaced_tops(smooth, stats, 30.0, "y_smooth")
+    spaced = reps.spaced_tops(smooth, stats, value="y_smooth")
     out = peaks.prominences(reps.oriented_trace(smooth, stats, "y_smooth"), spaced, F.col("z"))
     return out.select("set_id", "pos", *[r6(F.col(c)).alias(c) for c in ("left_low", "right_low", "prominence")])
 
@@ -267,13 +269,13 @@ def prominence_bounds(spark, sf):
 @query("full_peak_finder__S11", check(PEAKS, "SELECT set_id, pos, round(z, 6) + 0.0 AS height FROM found"))
 def full_peak_finder(spark, sf):
     smooth, stats = _peak_inputs(spark, sf)
-    return reps.find_peaks(smooth, stats, 30.0, "y_smooth").select("set_id", "pos", r6(F.col("height")).alias("height"))
+    return reps.find_peaks(smooth, stats, value="y_smooth").select("set_id", "pos", r6(F.col("height")).alias("height"))
 
 
 @query("rep_boundaries__S12", check(PEAKS, "SELECT set_id, start_idx, peak_idx, end_idx FROM timed"))
 def rep_boundaries(spark, sf):
     smooth, stats = _peak_inputs(spark, sf)
-    found = reps.find_peaks(smooth, stats, 30.0, "y_smooth")
+    found = reps.find_peaks(smooth, stats, value="y_smooth")
     return reps.rep_boundaries(smooth, stats, found, "y_smooth").select("set_id", "start_idx", "peak_idx", "end_idx")
 
 

@@ -125,9 +125,21 @@ def label_reader(spark, sf):
     return tables.read_labels(spark, path)
 
 
-@query("input_listing__A7")
+@query(
+    "input_listing__A7",
+    cte("set_label")
+    + """ SELECT bucket, count(*) AS n_sets, count(DISTINCT bucket) AS n_files, true AS has_length FROM (SELECT set_no % 5 AS bucket FROM set_label) GROUP BY bucket""",
+)
 def input_listing(spark, sf):
-    return fr.list_inputs(spark, sf, [".parquet", ".CSV"]).select("set_id", "length")
+    """Files written from a table, listed by extension, and the listing joined to what they hold."""
+    path = fresh_path(spark, "inputs")
+    rows = fx.set_label(spark, sf).withColumn("bucket", F.col("set_no") % 5)
+    rows.repartition("bucket").write.partitionBy("bucket").option("header", True).csv(path)
+    rows.drop("bucket").limit(1).write.mode("append").json(f"{path}/bucket=0")  # another extension
+    listed = fr.list_inputs(spark, path, [".CSV"]).withColumn("bucket", F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long"))
+    files = listed.groupBy("bucket").agg(F.count("*").alias("n_files"), F.min(F.col("length") > 0).alias("has_length"))
+    held = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n_sets"))
+    return held.join(files, "bucket").select("bucket", "n_sets", "n_files", "has_length")
 
 
 @query(
