@@ -6,6 +6,8 @@ for the side-by-side check. Row numbers go through ``tracks.number_rows``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,9 +128,14 @@ def _lines_of_sets(spark: SparkSession, sf_dir: str, columns: list, keep) -> Dat
     return labels.join(lines, "set_no")
 
 
-def bar_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bar_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every set."""
+    return bar_set(spark, sf_dir, "true")
+
+
+def bar_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 5 <> 0") -> DataFrame:
     return (
-        _lines_of_sets(spark, sf_dir, ["l_quantity"], "set_no % 5 <> 0")
+        _lines_of_sets(spark, sf_dir, ["l_quantity"], where)
         .groupBy(F.concat("set_id", F.lit(".mp4")).alias("video_name"))
         .agg(
             F.count(F.lit(1)).alias("rep_count"),
@@ -137,13 +144,18 @@ def bar_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def face_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+def face_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every set."""
+    return face_set(spark, sf_dir, "true")
+
+
+def face_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 4 <> 3") -> DataFrame:
     values = [v.alias(au) for au, v in au_values().items()]
     lines = _lines_of_sets(
         spark,
         sf_dir,
         [success().cast("double").alias("_ok"), (1.0 - F.col("l_discount") * 5).alias("_conf"), *values],
-        "set_no % 4 <> 3",
+        where,
     )
     ok = F.col("set_no") % 11 != 0
     stats = lines.groupBy("set_id", "set_no").agg(
@@ -158,9 +170,14 @@ def face_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def posture_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+def posture_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every set."""
+    return posture_set(spark, sf_dir, "true")
+
+
+def posture_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 7 <> 0") -> DataFrame:
     return (
-        _lines_of_sets(spark, sf_dir, ["l_discount"], "set_no % 7 <> 0")
+        _lines_of_sets(spark, sf_dir, ["l_discount"], where)
         .groupBy(F.col("set_id").alias("video_name"))
         .agg((F.avg("l_discount") * 20).alias("d_value"))
     )
@@ -271,7 +288,11 @@ SELECT set_no * 10 + k AS line_no, concat(set_id, CASE k WHEN 0 THEN ' RESULT'
 FROM set_label, range(4) a(k) WHERE NOT (set_no % 13 = 0 AND k = 3)""",
 }
 
-_NEEDS_LABEL = {"bar_set", "face_set", "posture_set", "history", "set_log"}
+# the sources leave out different sets, which is what merges are for; the full views hold every set
+for _name in ("bar", "face", "posture"):
+    VIEWS[f"{_name}_full"] = re.sub(r" WHERE s\.set_no % \d <> \d", "", VIEWS[f"{_name}_set"])
+
+_NEEDS_LABEL = {"bar_set", "face_set", "posture_set", "bar_full", "face_full", "posture_full", "history", "set_log"}
 
 
 def cte(*views: str, extra: dict[str, str] | None = None) -> str:

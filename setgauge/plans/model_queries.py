@@ -124,9 +124,9 @@ def blend_and_rounding(spark, sf):
     with_steps(
         SCORED
         | {
-            "exact": """SELECT set_no, 100 * CAST(coalesce(CASE WHEN set_no % 9 <> 0 THEN (set_no % 10) / CAST(10 AS DOUBLE) END, CAST(0.8 AS DOUBLE))
+            "exact": """SELECT set_no, 100 * CAST(CAST(coalesce(CASE WHEN set_no % 9 <> 0 THEN (set_no % 10) / CAST(10 AS DOUBLE) END, CAST(0.8 AS DOUBLE))
   * greatest(CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) - abs(pred_a - pred_b) / CAST(10 AS DOUBLE))
-  * CASE WHEN set_no % 4 <> 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS DECIMAL(38, 18)) AS v FROM scored"""
+  * CASE WHEN set_no % 4 <> 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS VARCHAR) AS DECIMAL(38, 20)) AS v FROM scored"""
         },
         """SELECT set_no, CAST(floor(v) + CASE WHEN v - floor(v) > 0.5 OR (v - floor(v) = 0.5 AND floor(v) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100
   AS confidence FROM exact""",

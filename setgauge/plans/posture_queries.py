@@ -203,11 +203,11 @@ def posture_drift(spark, sf):
 
 @query(
     "drift_level__G8",
-    cte("posture_set", extra={"d": "SELECT video_name, round(d_value, 9) AS d_value FROM posture_set"})
+    cte("posture_full", extra={"d": "SELECT video_name, round(d_value, 9) AS d_value FROM posture_full"})
     + f"SELECT video_name, {LEVEL} AS level FROM d",
 )
 def drift_level(spark, sf):
-    return fx.posture_set(spark, sf).select("video_name", posture.drift_level(F.round("d_value", 9)).alias("level"))
+    return fx.posture_full(spark, sf).select("video_name", posture.drift_level(F.round("d_value", 9)).alias("level"))
 
 
 # --- joint motion -----------------------------------------------------------------

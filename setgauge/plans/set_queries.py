@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions.numbers import rounded as r6
 from ..functions.numbers import snap
 from ..operators import assemble as asm
 from ..operators import facial, features, impute, reports, signals
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import AUS, cte
 from .registry import query
@@ -153,10 +156,10 @@ AU_ROUNDED = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in AU_MAX)
 
 @query(
     "au_max_columns__P9_P10",
-    with_steps({}, f"SELECT video_name, {AU_ROUNDED} FROM face_set", "face_set"),
+    with_steps({}, f"SELECT video_name, {AU_ROUNDED} FROM face_full", "face_full"),
 )
 def au_max_columns(spark, sf):
-    face = asm.drop_leakage(fx.face_set(spark, sf).withColumn("total_frames", F.lit(1)))
+    face = asm.drop_leakage(fx.face_full(spark, sf).withColumn("total_frames", F.lit(1)))
     picked = asm.columns_like(face, asm.AU_MAX)
     return face.select("video_name", *[r6(F.col(c)).alias(c) for c in picked])
 
@@ -212,21 +215,21 @@ def trim_range(spark, sf):
     with_steps(
         {},
         """SELECT video_name, CASE WHEN d_value < 1 THEN '{"level":"low"' ELSE '{"level":"high"' END || ',"name":"' || video_name || '"}' AS json
-  FROM (SELECT video_name, round(d_value, 9) AS d_value FROM posture_set) t""",
-        "posture_set",
+  FROM (SELECT video_name, round(d_value, 9) AS d_value FROM posture_full) t""",
+        "posture_full",
     ),
 )
 def result_json(spark, sf):
     level = F.when(F.round("d_value", 9) < 1, "low").otherwise("high").alias("level")
-    return fx.posture_set(spark, sf).select("video_name", F.to_json(F.struct(level, F.col("video_name").alias("name"))).alias("json"))
+    return fx.posture_full(spark, sf).select("video_name", F.to_json(F.struct(level, F.col("video_name").alias("name"))).alias("json"))
 
 
 @query(
     "flattened_metadata__P20",
-    with_steps({}, "SELECT video_name, round(d_value, 6) + 0.0 AS d_value, video_name AS metadata_video_name, 30 AS metadata_fps FROM posture_set", "posture_set"),
+    with_steps({}, "SELECT video_name, round(d_value, 6) + 0.0 AS d_value, video_name AS metadata_video_name, 30 AS metadata_fps FROM posture_full", "posture_full"),
 )
 def flattened_metadata(spark, sf):
-    nested = fx.posture_set(spark, sf).select(
+    nested = fx.posture_full(spark, sf).select(
         "video_name", r6(F.col("d_value")).alias("d_value"), F.struct("video_name", F.lit(30).alias("fps")).alias("metadata")
     )
     return asm.flatten_struct(nested, "metadata")
@@ -404,16 +407,18 @@ def face_strain_summary(spark, sf):
     return out.select("set_id", *[r6(F.col(c), 4).alias(c) for c in out.columns if c != "set_id"])
 
 
-@query(
-    "face_strain_describe__G23",
-    _strain_cte
-    + """ SELECT set_id, count(jaw_angle) AS count, round(avg(jaw_angle), 4) + 0.0 AS mean, round(stddev_samp(jaw_angle), 4) + 0.0 AS std,
-  round(min(jaw_angle), 4) + 0.0 AS min, round(max(jaw_angle), 4) + 0.0 AS max, round(quantile_cont(jaw_angle, 0.25), 4) + 0.0 AS p25,
-  round(quantile_cont(jaw_angle, 0.5), 4) + 0.0 AS p50, round(quantile_cont(jaw_angle, 0.75), 4) + 0.0 AS p75 FROM strain GROUP BY set_id""",
-)
+def _described_sql(c: str) -> str:
+    return f"""SELECT set_id, '{c}' AS metric, count({c}) AS count, round(avg({c}), 4) + 0.0 AS mean, round(stddev_samp({c}), 4) + 0.0 AS std,
+  round(min({c}), 4) + 0.0 AS min, round(max({c}), 4) + 0.0 AS max, round(quantile_cont({c}, 0.25), 4) + 0.0 AS p25,
+  round(quantile_cont({c}, 0.5), 4) + 0.0 AS p50, round(quantile_cont({c}, 0.75), 4) + 0.0 AS p75 FROM strain GROUP BY set_id"""
+
+
+@query("face_strain_describe__G23", _strain_cte + " " + " UNION ALL ".join(_described_sql(c) for c in STRAIN))
 def face_strain_describe(spark, sf):
-    out = facial.describe_column(_strain(spark, sf).withColumn("frame", F.col("vec_id") % 50), "jaw_angle")
-    return out.select("set_id", "count", *[r6(F.col(c), 4).alias(c) for c in out.columns if c not in ("set_id", "count")])
+    frames = cut_lineage(_strain(spark, sf).withColumn("frame", F.col("vec_id") % 50), "strain")
+    parts = [facial.describe_column(frames, c).withColumn("metric", F.lit(c)) for c in STRAIN]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("set_id", "metric", "count", *[r6(F.col(c), 4).alias(c) for c in out.columns if c not in ("set_id", "metric", "count")])
 
 
 # --- merges -------------------------------------------------------------------------------
@@ -495,10 +500,10 @@ def unprocessed_sets(spark, sf):
 
 @query(
     "upsert__A10",
-    with_steps({}, "SELECT video_name, CASE WHEN n % 2 = 0 THEN -1 ELSE rep_count END AS rep_count FROM (SELECT *, CAST(regexp_extract(video_name, '\\d+', 0) AS BIGINT) AS n FROM bar_set) t", "bar_set"),
+    with_steps({}, "SELECT video_name, CASE WHEN n % 2 = 0 THEN -1 ELSE rep_count END AS rep_count FROM (SELECT *, CAST(regexp_extract(video_name, '\\d+', 0) AS BIGINT) AS n FROM bar_full) t", "bar_full"),
 )
 def upsert(spark, sf):
-    base = fx.bar_set(spark, sf).select("video_name", "rep_count")
+    base = fx.bar_full(spark, sf).select("video_name", "rep_count")
     new = base.filter(keys.first_number(F.col("video_name")) % 2 == 0).select("video_name", F.lit(-1).cast("bigint").alias("rep_count"))
     return asm.upsert(base, new, "video_name")
 
@@ -507,15 +512,15 @@ def upsert(spark, sf):
     "stacked_batches__A9_U1",
     with_steps(
         {},
-        """SELECT video_name, rep_count, NULL AS d_value FROM bar_set
-  UNION ALL SELECT video_name, NULL, round(d_value, 6) + 0.0 FROM posture_set""",
-        "bar_set",
-        "posture_set",
+        """SELECT video_name, rep_count, NULL AS d_value FROM bar_full
+  UNION ALL SELECT video_name, NULL, round(d_value, 6) + 0.0 FROM posture_full""",
+        "bar_full",
+        "posture_full",
     ),
 )
 def stacked_batches(spark, sf):
-    bar = fx.bar_set(spark, sf).select("video_name", "rep_count")
-    post = fx.posture_set(spark, sf).select("video_name", r6(F.col("d_value")).alias("d_value"))
+    bar = fx.bar_full(spark, sf).select("video_name", "rep_count")
+    post = fx.posture_full(spark, sf).select("video_name", r6(F.col("d_value")).alias("d_value"))
     return asm.stack_tables([bar, post])
 
 
@@ -531,8 +536,8 @@ COMPARE = MASTER | {
 
 
 def _compared(spark, sf):
-    bar, face = asm.keyed(fx.bar_set(spark, sf)), asm.keyed(fx.face_set(spark, sf))
-    post = asm.keyed(fx.posture_set(spark, sf))
+    bar, face = asm.keyed(fx.bar_full(spark, sf)), asm.keyed(fx.face_full(spark, sf))
+    post = asm.keyed(fx.posture_full(spark, sf))
     a = asm.long_features(bar, ["rep_count"])
     want = a.unionByName(asm.long_features(post, ["d_value"]))
     got = a.unionByName(asm.long_features(face, COMPARED[2:]))
@@ -774,36 +779,37 @@ def standardized(spark, sf):
 
 # --- imputation -----------------------------------------------------------------------------
 
+FACE_VALUES = [*AU_MAX, "detection_rate", "confidence_mean"]
+_means = ", ".join(f"avg({c}) AS {c}" for c in FACE_VALUES)
 IMPUTE = {
     "lab": """SELECT concat(set_id, '.mp4') AS video_name, CASE lift WHEN 'Squat' THEN 'squat' WHEN 'Deadlift' THEN 'deadlift' ELSE 'bench_press' END AS ex, rpe
   FROM set_label WHERE set_no % 22 <> 11""",
-    "face": """SELECT f.*, regexp_extract(video_name, '\\d+', 0)::BIGINT AS n FROM face_set f""",
+    "face": """SELECT f.*, regexp_extract(video_name, '\\d+', 0)::BIGINT AS n FROM face_full f""",
     "sparse": "SELECT * REPLACE (CASE WHEN n % 11 <> 0 AND n % 70 < 69 THEN error ELSE 'failed' END AS error) FROM face",
     "donor": "SELECT * FROM sparse JOIN lab USING (video_name) WHERE error IS NULL",
-    "g1": "SELECT ex, rpe, count(*) AS c, avg(AU04_max) AS a, avg(detection_rate) AS d FROM donor GROUP BY ex, rpe",
-    "g2": "SELECT rpe, count(*) AS c, avg(AU04_max) AS a, avg(detection_rate) AS d FROM donor GROUP BY rpe",
-    "g3": "SELECT ex, count(*) AS c, avg(AU04_max) AS a, avg(detection_rate) AS d FROM donor GROUP BY ex",
-    "joined": """SELECT s.video_name, s.error, l.ex, l.rpe, s.AU04_max, s.detection_rate, coalesce(g1.c, 0) AS c1, coalesce(g2.c, 0) AS c2, coalesce(g3.c, 0) AS c3,
-  g1.a AS a1, g2.a AS a2, g3.a AS a3, g1.d AS d1, g2.d AS d2, g3.d AS d3 FROM sparse s LEFT JOIN lab l USING (video_name)
-  LEFT JOIN g1 ON g1.ex = l.ex AND g1.rpe = l.rpe LEFT JOIN g2 ON g2.rpe = l.rpe LEFT JOIN g3 ON g3.ex = l.ex""",
-    "imputed": """SELECT *, error IS NOT NULL AND (c1 >= 2 OR c2 >= 1 OR c3 >= 1) AS done,
-  CASE WHEN c1 >= 2 THEN c1 WHEN c2 >= 1 THEN c2 WHEN c3 >= 1 THEN c3 END AS donors,
-  CASE WHEN c1 >= 2 THEN concat(ex, ' + RPE=', rpe) WHEN c2 >= 1 THEN concat('RPE=', rpe, ' (any exercise)') WHEN c3 >= 1 THEN concat(ex, ' (all RPE levels)') END AS how,
-  CASE WHEN c1 >= 2 THEN a1 WHEN c2 >= 1 THEN a2 ELSE a3 END AS a, CASE WHEN c1 >= 2 THEN d1 WHEN c2 >= 1 THEN d2 ELSE d3 END AS d FROM joined""",
+    "g1": f"SELECT ex, rpe, count(*) AS c, {_means} FROM donor GROUP BY ex, rpe",
+    "g2": f"SELECT rpe, count(*) AS c, {_means} FROM donor GROUP BY rpe",
+    "g3": f"SELECT ex, count(*) AS c, {_means} FROM donor GROUP BY ex",
+    "imputed": f"""SELECT s.video_name, s.error, l.ex, l.rpe, s.error IS NOT NULL AND (coalesce(g1.c, 0) >= 2 OR g2.c >= 1 OR g3.c >= 1) IS TRUE AS done,
+  CASE WHEN g1.c >= 2 THEN g1.c WHEN g2.c >= 1 THEN g2.c WHEN g3.c >= 1 THEN g3.c END AS donors,
+  CASE WHEN g1.c >= 2 THEN concat(l.ex, ' + RPE=', l.rpe) WHEN g2.c >= 1 THEN concat('RPE=', l.rpe, ' (any exercise)')
+    WHEN g3.c >= 1 THEN concat(l.ex, ' (all RPE levels)') END AS how,
+  {", ".join(f"CASE WHEN s.error IS NULL OR coalesce(g1.c, g2.c, g3.c) IS NULL THEN s.{c} WHEN g1.c >= 2 THEN g1.{c} WHEN g2.c >= 1 THEN g2.{c} ELSE g3.{c} END AS {c}" for c in FACE_VALUES)}
+  FROM sparse s LEFT JOIN lab l USING (video_name) LEFT JOIN g1 ON g1.ex = l.ex AND g1.rpe = l.rpe LEFT JOIN g2 ON g2.rpe = l.rpe LEFT JOIN g3 ON g3.ex = l.ex""",
 }
 
 
 def _impute_inputs(spark, sf):
     n = keys.first_number(F.col("video_name"))
     failed = (n % 11 == 0) | (n % 70 >= 69)
-    face = fx.face_set(spark, sf).withColumn("error", F.when(failed, F.lit("failed")).otherwise(F.col("error")))
+    face = fx.face_full(spark, sf).withColumn("error", F.when(failed, F.lit("failed")).otherwise(F.col("error")))
     tags = fx.set_label(spark, sf).filter("set_no % 22 <> 11").select(
         keys.with_extension(F.col("set_id")).alias("video_name"), keys.exercise(F.col("set_id")).alias("exercise_type"), "rpe"
     )
     return face, tags
 
 
-@query("failed_sets__I1", with_steps(IMPUTE, "SELECT video_name FROM sparse WHERE error IS NOT NULL", "set_label", "face_set"))
+@query("failed_sets__I1", with_steps(IMPUTE, "SELECT video_name FROM sparse WHERE error IS NOT NULL", "set_label", "face_full"))
 def failed_sets(spark, sf):
     return impute.failed_sets(_impute_inputs(spark, sf)[0]).select("video_name")
 
@@ -812,15 +818,15 @@ def failed_sets(spark, sf):
     "imputed_features__I2_J5",
     with_steps(
         IMPUTE,
-        """SELECT video_name, CASE WHEN NOT done THEN error END AS error, done AS imputed, CASE WHEN done THEN how END AS imputation_method,
-  round(CASE WHEN done THEN a ELSE AU04_max END, 6) + 0.0 AS AU04_max, round(CASE WHEN done THEN d ELSE detection_rate END, 6) + 0.0 AS detection_rate FROM imputed""",
+        "SELECT video_name, CASE WHEN NOT done THEN error END AS error, done AS imputed, CASE WHEN done THEN how END AS imputation_method, "
+        + ", ".join(grid_sql(c, c) for c in FACE_VALUES) + " FROM imputed",
         "set_label",
-        "face_set",
+        "face_full",
     ),
 )
 def imputed_features(spark, sf):
     out = impute.impute_by_group_mean(*_impute_inputs(spark, sf))
-    return _rounded(out, ["AU04_max", "detection_rate"], "video_name", "error", "imputed", "imputation_method")
+    return _gridded(out, FACE_VALUES, "video_name", "error", "imputed", "imputation_method")
 
 
 @query(
@@ -829,7 +835,7 @@ def imputed_features(spark, sf):
         IMPUTE,
         "SELECT video_name, ex AS exercise, rpe, donors AS donor_count, 12 AS imputed_features, how AS imputation_method FROM imputed WHERE done",
         "set_label",
-        "face_set",
+        "face_full",
     ),
 )
 def imputation_log(spark, sf):
@@ -844,7 +850,7 @@ def imputation_log(spark, sf):
         """SELECT exercise, imputation_method, count(*) AS n, CAST(grouping(exercise, imputation_method) AS BIGINT) AS level
   FROM (SELECT ex AS exercise, how AS imputation_method FROM imputed WHERE done) t GROUP BY GROUPING SETS ((exercise), (imputation_method), ())""",
         "set_label",
-        "face_set",
+        "face_full",
     ),
 )
 def imputation_summary(spark, sf):
@@ -858,14 +864,14 @@ def imputation_summary(spark, sf):
 @query(
     "drift_by_exercise__F10",
     with_steps(
-        {"t": "SELECT CASE WHEN video_name LIKE 'Bench%' THEN 'bench_press' WHEN video_name LIKE 'Squat%' THEN 'squat' ELSE 'deadlift' END AS exercise, d_value FROM posture_set"},
+        {"t": "SELECT CASE WHEN video_name LIKE 'Bench%' THEN 'bench_press' WHEN video_name LIKE 'Squat%' THEN 'squat' ELSE 'deadlift' END AS exercise, d_value FROM posture_full"},
         """SELECT exercise, count(*) AS n, round(avg(d_value), 6) + 0.0 AS mean_d, round(min(d_value), 6) + 0.0 AS min_d, round(max(d_value), 6) + 0.0 AS max_d,
   round(stddev_samp(d_value), 6) + 0.0 AS std_d FROM t GROUP BY ROLLUP (exercise)""",
-        "posture_set",
+        "posture_full",
     ),
 )
 def drift_by_exercise(spark, sf):
-    tagged = fx.posture_set(spark, sf).withColumn("exercise", keys.exercise(F.col("video_name")))
+    tagged = fx.posture_full(spark, sf).withColumn("exercise", keys.exercise(F.col("video_name")))
     return _rounded(reports.drift_summary(tagged), ["mean_d", "min_d", "max_d", "std_d"], "exercise", "n")
 
 
@@ -905,15 +911,15 @@ def recent_history(spark, sf):
     "top_units__R2",
     with_steps(
         {
-            "u": " UNION ALL ".join(f"SELECT video_name, '{a}' AS au, {a}_max AS v FROM face_set" for a in AUS),
+            "u": " UNION ALL ".join(f"SELECT video_name, '{a}' AS au, {a}_max AS v FROM face_full" for a in AUS),
             "r": "SELECT *, row_number() OVER (PARTITION BY video_name ORDER BY v DESC, au) AS rn FROM u WHERE v IS NOT NULL",
         },
         "SELECT video_name, rn AS place, au, round(v, 6) + 0.0 AS value FROM r WHERE rn <= 3",
-        "face_set",
+        "face_full",
     ),
 )
 def top_units(spark, sf):
-    out = reports.top_units(fx.face_set(spark, sf), "video_name", [f"{a}_max" for a in AUS])
+    out = reports.top_units(fx.face_full(spark, sf), "video_name", [f"{a}_max" for a in AUS])
     return out.select("video_name", "place", "au", r6(F.col("value")).alias("value"))
 
 
@@ -921,12 +927,12 @@ def top_units(spark, sf):
     "sorted_results__R4",
     with_steps(
         {},
-        """SELECT CASE WHEN video_name LIKE 'Bench%' THEN 'bench_press' WHEN video_name LIKE 'Squat%' THEN 'squat' ELSE 'deadlift' END AS exercise, video_name FROM posture_set""",
-        "posture_set",
+        """SELECT CASE WHEN video_name LIKE 'Bench%' THEN 'bench_press' WHEN video_name LIKE 'Squat%' THEN 'squat' ELSE 'deadlift' END AS exercise, video_name FROM posture_full""",
+        "posture_full",
     ),
 )
 def sorted_results(spark, sf):
-    tagged = fx.posture_set(spark, sf).withColumn("exercise", keys.exercise(F.col("video_name")))
+    tagged = fx.posture_full(spark, sf).withColumn("exercise", keys.exercise(F.col("video_name")))
     return tagged.orderBy("exercise", keys.first_number(F.col("video_name")), "video_name").select("exercise", "video_name")
 
 

@@ -94,19 +94,20 @@ def posture_log_parser(spark, sf):
 
 @query(
     "rep_report_reader__A4",
-    cte("bar_set")
+    cte("bar_full")
     + """ SELECT replace(video_name, '.mp4', '') AS video_name, 'TBT' AS pattern, CAST(rep_count AS INT) AS rep_count,
-  round(rep_change_s, 2) AS longest_s FROM bar_set""",
+  round(rep_change_s + rep_count / CAST(100 AS DOUBLE), 2) AS longest_s FROM bar_full""",
 )
 def rep_report_reader(spark, sf):
-    bars = fx.bar_set(spark, sf).withColumn("set_id", F.replace("video_name", F.lit(".mp4")))
+    bars = fx.bar_full(spark, sf).withColumn("set_id", F.replace("video_name", F.lit(".mp4")))
     one = bars.select(
         "set_id",
         F.explode(F.sequence(F.lit(1), F.col("rep_count").cast("int"))).alias("rep_no"),
-        F.col("rep_change_s").alias("duration_s"),
+        "rep_change_s",
         F.lit("TBT").alias("pattern"),
         F.lit("Squat").alias("movement"),
     )
+    one = one.withColumn("duration_s", F.col("rep_change_s") + F.col("rep_no") / 100).drop("rep_change_s")
     parsed = logs.parse_rep_reports(logs.rep_report_text(one).drop("set_id"))
     return parsed.select(
         "video_name", "pattern", F.size("durations_s").alias("rep_count"), F.round(F.array_max("durations_s"), 2).alias("longest_s")
@@ -158,10 +159,10 @@ def history_reader(spark, sf):
 
 @query(
     "saved_tables__A11",
-    cte("posture_set") + " SELECT video_name, round(d_value, 6) + 0.0 AS d_value FROM posture_set",
+    cte("posture_full") + " SELECT video_name, round(d_value, 6) + 0.0 AS d_value FROM posture_full",
 )
 def saved_tables(spark, sf):
-    rows = fx.posture_set(spark, sf)
+    rows = fx.posture_full(spark, sf)
     for form in ("csv", "json"):
         tables.save_table(rows, fresh_path(spark, f"posture_{form}"), form)
     path = fresh_path(spark, "posture_parquet")
