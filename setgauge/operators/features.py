@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,24 +47,25 @@ MODEL_FEATURES = [
 ]
 
 
-def _present(columns: Sequence[str]) -> Column:
-    return F.array_compact(F.array(*[F.col(c).cast("double") for c in columns]))
-
-
 def unit_aggregates(columns: Sequence[str], ddof: int = 1) -> dict[str, Column]:
     """Sum, mean, max and deviation over AU columns, skipping missing ones.
 
-    No present value: sum 0, the others null. ``ddof`` 1 needs two values.
+    No present value: sum 0, the others null. ``ddof`` 1 needs two values. Plain sums over the
+    columns, so that everything stays in generated code.
     """
-    values = _present(columns)
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    values = [F.col(c).cast("double") for c in columns]
+
+    def added(terms: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, terms)
+
+    n = added([v.isNotNull().cast("int") for v in values])
+    total = added([F.coalesce(v, F.lit(0.0)) for v in values])
     mean = total / F.nullif(n, F.lit(0))
-    spread = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+    spread = added([F.coalesce((v - mean) * (v - mean), F.lit(0.0)) for v in values])
     return {
         "AU_sum": total,
         "AU_mean": mean,
-        "AU_max": F.array_max(values),
+        "AU_max": F.greatest(*values) if len(values) > 1 else values[0],
         "AU_std": F.when(n > ddof, F.sqrt(spread / F.nullif(n - ddof, F.lit(0)))),
     }
 
@@ -147,13 +149,12 @@ def serving_features(df: DataFrame) -> DataFrame:
     """
     c, lit = F.col, F.lit
     aus = [a for a in AU_MAX_COLUMNS if a in df.columns]
-    any_au = c("has_face") & (F.size(_present(aus)) > 0)
-    values = _present(aus)
+    any_au = c("has_face") & (reduce(lambda a, b: a | b, [c(a).isNotNull() for a in aus]) if aus else lit(False))
 
     def face(name: str, default: float) -> Column:
         return F.when(any_au, c(name)).otherwise(lit(default))
 
-    active = F.size(F.filter(values, lambda v: v > 2.0))
+    active = reduce(lambda a, b: a + b, [F.coalesce((c(a) > 2.0).cast("int"), lit(0)) for a in aus], lit(0))
     base = {
         "rep_change_s": F.when(c("has_bar"), F.coalesce(c("rep_change_s"), lit(0.0))).otherwise(lit(0.0)),
         "_bar_reps": F.when(c("has_bar"), F.coalesce(c("rep_count"), lit(0))).otherwise(lit(0)),
