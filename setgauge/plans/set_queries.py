@@ -12,7 +12,8 @@ from ..functions.numbers import rounded as r6
 from ..functions.numbers import snap
 from ..operators import assemble as asm
 from ..operators import facial, features, impute, reports, signals
-from ..session import cut_lineage
+from ..session import cut_lineage, fresh_path
+from ..sources import frames
 from . import fixtures as fx
 from .fixtures import AUS, cte
 from .registry import query
@@ -166,7 +167,7 @@ def au_max_columns(spark, sf):
 
 @query(
     "stride_sampling__P14",
-    with_steps({}, "SELECT set_id, pos, round(y, 6) + 0.0 AS y FROM frame_signal WHERE pos % 2 = 0", "frame_signal"),
+    with_steps({}, "SELECT set_id, pos, round(y, 6) + 0.0 AS y FROM frame_signal WHERE pos % greatest(1, CAST(round_even(fps / 12, 0) AS BIGINT)) = 0", "frame_signal"),
 )
 def stride_sampling(spark, sf):
     kept = signals.stride_frames(fx.frame_signal(spark, sf), F.col("fps"), F.lit(12.0))
@@ -521,7 +522,11 @@ def upsert(spark, sf):
 def stacked_batches(spark, sf):
     bar = fx.bar_full(spark, sf).select("video_name", "rep_count")
     post = fx.posture_full(spark, sf).select("video_name", r6(F.col("d_value")).alias("d_value"))
-    return asm.stack_tables([bar, post])
+    paths = [fresh_path(spark, "batch") for _ in (bar, post)]
+    for batch, path in zip((bar, post), paths):
+        batch.write.option("header", True).csv(path)
+    back = frames.read_batches(spark, paths)
+    return back.select("video_name", F.col("rep_count").cast("long").alias("rep_count"), F.col("d_value").cast("double").alias("d_value"))
 
 
 def _long_sql(table: str, cols: list[str]) -> str:
@@ -536,8 +541,8 @@ COMPARE = MASTER | {
 
 
 def _compared(spark, sf):
-    bar, face = asm.keyed(fx.bar_full(spark, sf)), asm.keyed(fx.face_full(spark, sf))
-    post = asm.keyed(fx.posture_full(spark, sf))
+    bar, face = asm.keyed(fx.bar_set(spark, sf)), asm.keyed(fx.face_set(spark, sf))
+    post = asm.keyed(fx.posture_set(spark, sf))
     a = asm.long_features(bar, ["rep_count"])
     want = a.unionByName(asm.long_features(post, ["d_value"]))
     got = a.unionByName(asm.long_features(face, COMPARED[2:]))

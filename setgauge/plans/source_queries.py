@@ -87,8 +87,11 @@ def keypoint_reader(spark, sf):
   CAST(concat(set_no % 3, '.', lpad(CAST(set_no % 997 AS VARCHAR), 4, '0')) AS DOUBLE) AS d_value FROM r""",
 )
 def posture_log_parser(spark, sf):
-    lines = fx.set_log(spark, sf).withColumn("path", F.pmod(F.floor(F.col("line_no") / 10), F.lit(16)))
-    parsed = logs.parse_posture_log(lines, F.lit("any"))
+    path = fresh_path(spark, "posture_logs")
+    lines = fx.set_log(spark, sf).withColumn("log", F.pmod(F.floor(F.col("line_no") / 10), F.lit(16)))
+    in_order = lines.repartition("log").sortWithinPartitions("log", "line_no")
+    in_order.select("log", "line").write.partitionBy("log").text(path)
+    parsed = logs.parse_posture_log(logs.read_log_lines(spark, path), F.lit("any"))
     return parsed.drop("exercise")
 
 
