@@ -6,6 +6,7 @@ Pose frames carry ``x`` and ``y`` as arrays of 16 joints (null = missing).
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -307,6 +308,16 @@ def posture_summary(frames: DataFrame, profile: LiftProfile) -> DataFrame:
     )
 
 
+def posture_by_lift(frames: DataFrame, lifts: DataFrame, profiles: dict[str, LiftProfile] = PROFILES) -> DataFrame:
+    """The summary of every set by the rules of its own lift; ``lifts`` has one (set_id, lift) per set.
+
+    There are as many passes as lifts. Sets whose lift has no profile give no row.
+    """
+    tagged = frames.join(lifts.select("set_id", "lift"), "set_id")
+    parts = [posture_summary(tagged.filter(F.col("lift") == name).drop("lift"), p) for name, p in profiles.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def motion_features(joints: DataFrame) -> DataFrame:
     """Mean, largest and spread of joint speed and the range of coordinates.
 

@@ -41,34 +41,36 @@ def signal_sql(a: int, b: int, origin=(10, 11), raw: bool = False) -> dict[str,
     return norm_sql(*origin) | {"frame_signal": f"SELECT set_id, pos, {agree} AS y FROM normed GROUP BY set_id, pos"}
 
 
-REPS = (
-    signal_sql(4, 5)
-    | tops_sql(1, 3, 0.2)
-    | thin_sql("tops", 4)
-    | {
+def reps_sql(p: posture.LiftProfile) -> dict[str, str]:
+    """Repetitions, ends and drift by the rules of one lift."""
+    low, high = min(p.joints), max(p.joints)
+    start = signal_sql(*p.signal, p.origin, p.signal_frame == "raw_scaled") | tops_sql(p.sign, max(3, p.min_rep_frames // 2), p.prominence_share)
+    return start | thin_sql("tops", p.min_rep_frames) | {
         "bottoms": "SELECT s.set_id, s.pos, s.z FROM thinned JOIN signed s USING (set_id, pos)",
         "intervals": """SELECT * FROM (SELECT set_id, pos AS start_idx, z AS bottom_z,
   lead(pos) OVER (PARTITION BY set_id ORDER BY pos) AS end_idx FROM bottoms) t WHERE end_idx IS NOT NULL""",
         "drops": """SELECT i.set_id, start_idx, end_idx, bottom_z, min(s.z) AS top_z, bottom_z - min(s.z) AS "drop"
   FROM intervals i JOIN signed s ON s.set_id = i.set_id AND s.pos BETWEEN start_idx AND end_idx
   GROUP BY i.set_id, start_idx, end_idx, bottom_z""",
-        "judged": """SELECT *, greatest(0.25, 0.5 * max("drop") OVER (PARTITION BY set_id)) AS threshold FROM drops""",
+        "judged": f"""SELECT *, greatest(CAST({p.min_drop} AS DOUBLE), 0.5 * max("drop") OVER (PARTITION BY set_id)) AS threshold FROM drops""",
         "ends": """SELECT f.set_id, count(start_idx) AS rep_count, min({'a': start_idx, 'b': end_idx}) AS f, max({'a': start_idx, 'b': end_idx}) AS l
   FROM (SELECT DISTINCT set_id FROM first_person) f LEFT JOIN (SELECT * FROM judged WHERE "drop" >= threshold) j USING (set_id) GROUP BY f.set_id""",
         "points": """SELECT set_id, which, k, r.a + floor(k * (r.b - r.a) / CAST(99 AS DOUBLE)) AS low,
   k * (r.b - r.a) / CAST(99 AS DOUBLE) - floor(k * (r.b - r.a) / CAST(99 AS DOUBLE)) AS share
   FROM (SELECT set_id, 'first' AS which, f AS r FROM ends WHERE rep_count >= 2
         UNION ALL SELECT set_id, 'last', l FROM ends WHERE rep_count >= 2) e, range(100) t(k)""",
-        "sampled": """SELECT p.set_id, which, k, a.joint,
+        "sampled": f"""SELECT p.set_id, which, k, a.joint,
   CASE WHEN share = 0 THEN a.nx ELSE a.nx + (b.nx - a.nx) * share END AS nx,
   CASE WHEN share = 0 THEN a.ny ELSE a.ny + (b.ny - a.ny) * share END AS ny
-  FROM points p JOIN normed a ON a.set_id = p.set_id AND a.pos = p.low AND a.joint >= 10
+  FROM points p JOIN normed a ON a.set_id = p.set_id AND a.pos = p.low AND a.joint BETWEEN {low} AND {high}
   LEFT JOIN normed b ON b.set_id = p.set_id AND b.pos = p.low + 1 AND b.joint = a.joint""",
         "distances": """SELECT set_id, k, joint, (f.nx - l.nx) * (f.nx - l.nx) + (f.ny - l.ny) * (f.ny - l.ny) AS d
   FROM (SELECT * FROM sampled WHERE which = 'first') f JOIN (SELECT * FROM sampled WHERE which = 'last') l USING (set_id, k, joint)""",
         "drift": """SELECT set_id, CASE WHEN count(d) = count(*) THEN sqrt(avg(d)) END AS d_value FROM distances GROUP BY set_id""",
     }
-)
+
+
+REPS = reps_sql(PROFILE)
 
 
 def check(steps: dict[str, str], select: str) -> str:
@@ -201,6 +203,35 @@ def posture_drift(spark, sf):
     )
 
 
+DRIFT = "SELECT e.set_id, rep_count, round(d_value, 6) + 0.0 AS d_value FROM ends e LEFT JOIN drift d USING (set_id)"
+BENCH_PROFILE, DEADLIFT_PROFILE = posture.BENCH.with_(min_rep_frames=4), posture.DEADLIFT.with_(min_rep_frames=4)
+
+
+@query("posture_drift_bench__G7", check(reps_sql(BENCH_PROFILE), DRIFT))
+def posture_drift_bench(spark, sf):
+    return posture.posture_summary(_frames(spark, sf), BENCH_PROFILE).select("set_id", "rep_count", r6(F.col("d_value")).alias("d_value"))
+
+
+@query("posture_drift_deadlift__G7", check(reps_sql(DEADLIFT_PROFILE), DRIFT))
+def posture_drift_deadlift(spark, sf):
+    return posture.posture_summary(_frames(spark, sf), DEADLIFT_PROFILE).select("set_id", "rep_count", r6(F.col("d_value")).alias("d_value"))
+
+
+BY_LIFT = " UNION ALL ".join(
+    f"SELECT * FROM ({check(reps_sql(p), DRIFT)}) WHERE set_id % 3 = {i}" for i, p in enumerate((PROFILE, BENCH_PROFILE, DEADLIFT_PROFILE))
+)
+
+
+@query("posture_by_lift__G7", BY_LIFT)
+def posture_by_lift(spark, sf):
+    frames = _frames(spark, sf)
+    names = F.array(*[F.lit(name) for name in posture.PROFILES])
+    lifts = frames.select("set_id").distinct().withColumn("lift", F.element_at(names, (F.col("set_id") % 3 + 1).cast("int")))
+    rules = {name: p.with_(min_rep_frames=4) for name, p in posture.PROFILES.items()}
+    out = posture.posture_by_lift(frames, lifts, rules)
+    return out.select("set_id", "rep_count", r6(F.col("d_value")).alias("d_value"))
+
+
 @query(
     "drift_level__G8",
     cte("posture_full", extra={"d": "SELECT video_name, round(d_value, 9) AS d_value FROM posture_full"})
