@@ -234,16 +234,23 @@ def learn_terms(rows: DataFrame) -> tuple[tuple[str, float], ...]:
 
 
 def fit_curve(weight: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
-    """Logistic curve by Newton steps with a light ridge."""
+    """Logistic curve by damped Newton steps with a light ridge."""
     if len(set(label.tolist())) < 2:
         return FIXED_CURVE
     x = np.column_stack([np.ones(len(label)), *features(weight, n)])
-    at = np.array([-2.0, 0.5, 0.5])
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (label - p) - ridge @ at)
-        at = at + np.clip(step, -2, 2)
+    ridge = np.diag([1e-6, 1.0, 1.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float(np.logaddexp(0, z).sum() - label @ z + at @ ridge @ at / 2)
+
+    at = np.zeros(3)
+    for _ in range(100):  # the loss is convex; a step is halved until it falls
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (label - p) - ridge @ at)
+        while loss(at + step) > loss(at) and np.abs(step).max() > 1e-10:
+            step = step / 2
+        at = at + step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(float(v) for v in at)

@@ -349,3 +349,12 @@ def test_pipeline(spark, small):
     out = encode(spark, stage, small)
     assert out.count() == stage.count()
     assert QUERIES.keys() and sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_curve_of_nearly_separable_rows():
+    rng = np.random.default_rng(1)
+    label = (np.arange(4000) % 10 == 0).astype(float)
+    weight = np.where(label == 1, rng.uniform(15, 200, 4000), np.where(rng.random(4000) < 0.03, rng.uniform(2, 8, 4000), 0))
+    at = toxicity.fit_curve(weight, np.full(4000, 300.0), label)
+    scores = np.array(toxicity.curve(weight.tolist(), [300] * 4000, at))
+    assert ((scores >= 0.5) == label).mean() > 0.99
