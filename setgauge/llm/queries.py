@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setgauge.llm import bpe, chat, embedding_dedup, license_scan, mixing, quality, simhash, suffix_dedup, toxicity, weighted_sampling
+from setgauge.llm import (
+    bpe, byte_bpe, chat, embedding_dedup, hard_negatives, license_scan, mixing, quality, simhash, structure_repair, suffix_dedup, toxicity, weighted_sampling,
+)
 from setgauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +190,102 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+NEGATIVE_SQL = """
+WITH good AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM good a JOIN good b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM ranked WHERE rank <= 3"""
+
+
+@query("op11_hard_negatives", NEGATIVE_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def repair_sql() -> str:
+    """The cheapest edits by a table over whole audits: per row and state the least (cost, audit, text so far)."""
+    way = lambda of, cost, letter, line: f"{{'c': {of}.c + {cost}, 'a': {of}.a || '{letter}', 'r': list_concat({of}.r, {line})}}"
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    inserted = lambda of, role: way(of, 2, "I", f"['{role}:']")
+    twice = lambda of: f"{{'c': {of}.c + 4, 'a': {of}.a || 'II', 'r': list_concat({of}.r, ['user:', 'assistant:'])}}"
+    keep = lambda of, to, initial: f"CASE WHEN live AND left(role, 1) = '{initial}' THEN {way(of, 'cut_off', 'K', '[line]')} ELSE {never} END"
+    rerole = lambda of, role: f"CASE WHEN live THEN {way(of, '2 + cut_off', 'R', f"['{role}:' || text]")} ELSE {never} END"
+    never = "{'c': 1000000000::BIGINT, 'a': '', 'r': []::VARCHAR[]}"
+    return f"""
+WITH RECURSIVE bits AS (
+    SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+spaced AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (
+    SELECT conv_id, turn, role, text, xor(list_reduce(
+               list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1])), 4294967295) % 20 AS kind
+    FROM spaced, bits),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM kinds WHERE kind <> 0),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS nr,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM damaged),
+judged AS (
+    SELECT *, shown = '' AS blank, shown <> '' AND seen > 1 AS duplicate,
+           shown <> '' AND seen = 1 AND right(shown, 1) NOT IN ('.', '!', '?') AS truncated,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY nr) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+           count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(illegal) AS illegal, max(nr) AS last
+    FROM judged GROUP BY conv_id),
+steps AS (
+    SELECT conv_id, 0::BIGINT AS read, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} AS n, {never} AS s, {never} AS u, {never} AS a FROM counted
+    UNION ALL
+    SELECT conv_id, read, {way("n", 3, "D", "[]::VARCHAR[]")} AS n,
+           {least(way("s", 3, "D", "[]::VARCHAR[]"), keep("n", "s", "s"))} AS s,
+           {least(way("iu", 3, "D", "[]::VARCHAR[]"), keep("n", "u", "u"), keep("s", "u", "u"), keep("ia", "u", "u"), rerole("n", "user"), rerole("s", "user"), rerole("ia", "user"))} AS u,
+           {least(way("ia", 3, "D", "[]::VARCHAR[]"), keep("iu", "a", "a"), rerole("iu", "assistant"))} AS a
+    FROM (
+        SELECT t.conv_id, t.read + 1 AS read, n, s, {least("u", inserted("n", "user"), inserted("s", "user"), inserted("a", "user"))} AS iu,
+               {least("a", inserted("u", "assistant"), twice("n"), twice("s"))} AS ia,
+               j.role, j.text, j.role || ':' || j.text AS line, NOT (j.blank OR j.duplicate) AS live, CASE WHEN j.truncated THEN 1 ELSE 0 END AS cut_off
+        FROM steps t JOIN judged j ON j.conv_id IS NOT DISTINCT FROM t.conv_id AND j.nr = t.read + 1)),
+done AS (
+    SELECT t.conv_id, c.gaps, c.blank, c.duplicate, c.truncated, c.illegal, {least("n", "a", inserted("u", "assistant"), twice("s"))} AS best
+    FROM steps t JOIN counted c ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND c.last = t.read)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN done d ON o.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+@query("op13_structure_repair", repair_sql())
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_repair.reports(conversations, structure_repair.damaged(conversations))
