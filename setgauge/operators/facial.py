@@ -73,6 +73,74 @@ def facial_summary(frames: DataFrame, min_valid: int = MIN_VALID_FRAMES, with_er
     return out.select("set_id", *[F.when(~few, F.col(c)).alias(c) for c in names], F.when(few, text).alias("error"))
 
 
+# --- mergeable states -----------------------------------------------------------------
+
+
+def facial_states(frames: DataFrame) -> DataFrame:
+    """One row per set from which :func:`facial_summary` follows; rows of one set from different frames can be merged.
+
+    Holds counts, the mean and the sum of squared distances from it, least and largest values, and per action unit the
+    sum, number and maximum, so a state is as small for a set of a million frames as for one of ten.
+    """
+    ok, conf = _ok(), F.when(_ok(), F.col("confidence"))
+    known = F.count(conf)
+    aggregates = [
+        F.count(F.lit(1)).alias("total"),
+        F.count(F.when(ok, F.lit(1))).alias("detected"),
+        known.alias("confident"),
+        F.avg(conf).alias("conf_mean"),
+        (F.var_pop(conf) * known).alias("conf_spread"),
+        F.min(conf).alias("conf_min"),
+    ]
+    for au in (au for au in EXERTION_AUS if f"{au}_r" in frames.columns):
+        value = F.when(ok, F.col(f"{au}_r"))
+        aggregates += [F.sum(value).alias(f"{au}_sum"), F.count(value).alias(f"{au}_n"), F.max(value).alias(f"{au}_max")]
+    return frames.groupBy("set_id").agg(*aggregates)
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One state per set from any number of them."""
+    n, mean = F.sum("confident"), F.sum(F.col("conf_mean") * F.col("confident")) / F.sum("confident")
+    # squares around the first mean of the group, so that large means do not swallow small spreads
+    near = F.col("conf_mean") - F.col("conf_near")
+    spread = F.sum("conf_spread") + F.sum(near * near * F.col("confident")) - F.pow(F.sum(near * F.col("confident")), 2) / n
+    aggregates = [
+        F.sum("total").alias("total"),
+        F.sum("detected").alias("detected"),
+        n.alias("confident"),
+        mean.alias("conf_mean"),
+        F.greatest(spread, F.lit(0.0)).alias("conf_spread"),
+        F.min("conf_min").alias("conf_min"),
+    ]
+    for au in (c[:-4] for c in states.columns if c.endswith("_max")):
+        aggregates += [F.sum(f"{au}_sum").alias(f"{au}_sum"), F.sum(f"{au}_n").alias(f"{au}_n"), F.max(f"{au}_max").alias(f"{au}_max")]
+    start = states.groupBy("set_id").agg(F.min("conf_mean").alias("conf_near"))
+    return states.join(start, "set_id").groupBy("set_id").agg(*aggregates)
+
+
+def summary_of_states(states: DataFrame, threshold: float = MEAN_ACTIVE) -> DataFrame:
+    """The columns of :func:`facial_summary` without its error, from one state per set."""
+    detected = F.col("detected")
+
+    def or_zero(value: Column) -> Column:
+        return F.when(detected > 0, value).otherwise(F.lit(0.0))
+
+    aus = [c[:-4] for c in states.columns if c.endswith("_max")]
+    hits = [F.coalesce((F.col(f"{au}_sum") / F.col(f"{au}_n") > threshold).cast("int"), F.lit(0)) for au in aus]
+    spread = F.when(F.col("confident") > 1, F.sqrt(F.col("conf_spread") / (F.col("confident") - 1)))
+    return states.select(
+        "set_id",
+        (detected / F.col("total")).alias("detection_rate"),
+        detected.alias("detection_count"),
+        F.col("total").alias("total_frames"),
+        or_zero(F.col("conf_mean")).alias("confidence_mean"),
+        or_zero(spread).alias("confidence_std"),
+        or_zero(F.col("conf_min")).alias("confidence_min"),
+        *[F.col(f"{au}_max") for au in aus],
+        sum(hits, F.lit(0)).alias("au_highly_active_count"),
+    )
+
+
 def long_units(frames: DataFrame, *keep: str) -> DataFrame:
     """One row per detected frame and action unit: set_id, au, value."""
     pairs = ", ".join(f"'{au}', {au}_r" for au in EXERTION_AUS if f"{au}_r" in frames.columns)

@@ -8,7 +8,9 @@ from ..functions.numbers import rounded as r6
 from ..operators import facial
 from ..operators import pose_cleaning as pc
 from ..session import cut_lineage, fresh_path
+from ..streaming import ordered_poses as op
 from ..streaming import pose_stream as ps
+from ..streaming import set_states
 from . import fixtures as fx
 from .fixtures import cte
 from .posture_queries import PIXELS, _described, _person_boxes, _pixels
@@ -107,9 +109,19 @@ def streamed_clean_poses(spark, sf):
     )
 
 
-def _facial_features(frames):
-    out = facial.facial_summary(frames, with_error=False)
-    return out.select("set_id", "detection_count", "total_frames", *[r6(F.col(c)).alias(c) for c in (*FACE_STATS, *AU_MAX)], "au_highly_active_count")
+@query("reordered_clean_poses__T1")
+def reordered_clean_poses(spark, sf):
+    """Files that each hold every third frame, so most frames come before their predecessors."""
+    described = cut_lineage(_described(spark, sf), "described")
+    frames = cut_lineage(pc.candidate_frames(described).drop("pos").withColumn("taken", F.timestamp_seconds(1_600_000_000 + F.col("frame_index") / 30)), "timed_frames")
+    path = fresh_path(spark, "mixed_frames")
+    for part in (2, 0, 1):
+        frames.filter(F.col("frame_index") % 3 == part).repartition(2, "set_id").write.mode("append").parquet(path)
+    initial = cut_lineage(pc.bootstrap_states(described, pc.SQUAT_CLEANING), "start_states")
+    out = op.run_ordered(spark, path, frames.schema, pc.SQUAT_CLEANING, files=2, initial=initial, delay="1 day")
+    return out.select("set_id", "frame_index", F.posexplode(F.arrays_zip("x", "y")).alias("joint", "p")).select(
+        "set_id", "frame_index", "joint", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y")
+    )
 
 
 @query(
@@ -117,12 +129,14 @@ def _facial_features(frames):
     with_steps(DETECTION, f"SELECT set_id, {DETECTION_OUT}, {AU_ROUNDED}, au_highly_active_count FROM face", "au_frame"),
 )
 def incremental_facial_features(spark, sf):
-    path, out, marks = (fresh_path(spark, n) for n in ("new_frames", "face_batches", "face_marks"))
+    path, out, marks = (fresh_path(spark, n) for n in ("new_frames", "face_states", "face_marks"))
     frames = fx.au_frame(spark, sf, frames=False)
     frames.repartition(12).write.parquet(path)  # every set is in many files
+    states = set_states.SetStates(spark, out, facial.merged_states, fold=2)
     for _ in range(2):  # the second run finds nothing new
-        ps.process_new_files(spark, path, frames.schema, _facial_features, out, marks, files=5)
-    return ps.latest(spark, out)
+        set_states.process_new_files(spark, path, frames.schema, facial.facial_states, states, marks, files=5)
+    summary = facial.summary_of_states(states.current())
+    return summary.select("set_id", "detection_count", "total_frames", *[r6(F.col(c)).alias(c) for c in (*FACE_STATS, *AU_MAX)], "au_highly_active_count")
 
 
 @query(

@@ -125,18 +125,28 @@ def latest(spark: SparkSession, out: str, key: str = "set_id") -> DataFrame:
     return rows.join(last, [key, "batch"]).drop("batch")
 
 
-def append_history_stream(records: DataFrame, path: str, checkpoint: str) -> None:
-    """Append prediction records once each, however often and however late they are sent."""
-    spark = records.sparkSession
+def append_history_stream(records: DataFrame, path: str, checkpoint: str, forget: str | None = None) -> list[int]:
+    """Append prediction records once each; returns how many rows each batch read.
 
-    def one(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(["id"])
-        if exists(spark, path):
-            new = new.join(spark.read.schema(records.schema).parquet(path).select("id"), "id", "left_anti")
-        new.select(*records.columns).write.mode("append").parquet(path)
-
-    query = records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Ids that were appended are keyed state of the stream, so a batch looks up its own ids and never reads the history. They are
+    kept for good, so a record may be sent again at any time. With ``forget`` (an interval of ``timestamp``) an id is dropped
+    that much after its record; records that are later than that are not appended. The stream owns ``path``: records
+    that others wrote there are not known to it. Records without an id count as one.
+    """
+    if forget:
+        once = records.withWatermark("timestamp", forget).dropDuplicatesWithinWatermark(["id"])
+    else:
+        once = records.dropDuplicates(["id"])
+    query = (
+        once.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
+    return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
