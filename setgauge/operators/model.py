@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 import random
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ BIN_EDGES = [0, 5, 7, 9, 11]
 FINE_EDGES = [2.5, 3.5, 4.5, 5.5, 6.5, 7.5, 8.5, 10.5]
 FOLDS, PLAIN_FOLDS = 7, 5
 TOP_FEATURES = 10
+#: Fits that run at the same time.
+WIDTH = 4
 
 
 @dataclass(frozen=True)
@@ -161,14 +164,49 @@ def fit_blend(
     return Blend(model_a, model_b, list(features), {"booster_a": asdict(a), "booster_b": asdict(b), "target": target})
 
 
+def concurrently(spark: SparkSession, tasks: Sequence[Callable], width: int = WIDTH) -> list:
+    """Results of ``tasks`` in their order, ``width`` at a time, each in a scheduler pool of its own.
+
+    One fit alone leaves most executors idle: its jobs are short and follow each other. In FAIR mode the
+    pools share the executors evenly, otherwise in the order of their jobs.
+    """
+
+    def in_pool(number: int, task: Callable):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % width}")
+            try:
+                return task()
+            finally:
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(max_workers=width) as pool:
+        return list(pool.map(lambda task: task(), [in_pool(i, t) for i, t in enumerate(tasks)]))
+
+
+def fit_folds(
+    df: DataFrame, target: str = "rpe", features: Sequence[str] = MODEL_FEATURES, a: Booster = DEFAULT_A, b: Booster = DEFAULT_B,
+    folds: int = FOLDS, width: int = WIDTH,
+) -> list[Blend]:
+    """For each fold the models of the rows outside it; all 2 x ``folds`` fits share the executors."""
+    tasks = [
+        lambda fold=fold, one=one, name=name: training_pipeline(features, target, one, name).fit(df.filter(F.col("fold") != fold))
+        for fold in range(folds)
+        for one, name in ((a, "pred_a"), (b, "pred_b"))
+    ]
+    fitted = concurrently(df.sparkSession, tasks, width)
+    metadata = {"booster_a": asdict(a), "booster_b": asdict(b), "target": target}
+    return [Blend(x, y, list(features), dict(metadata)) for x, y in zip(fitted[::2], fitted[1::2])]
+
+
 def out_of_fold(
     df: DataFrame, key: str, target: str = "rpe", features: Sequence[str] = MODEL_FEATURES, a: Booster = DEFAULT_A,
     b: Booster = DEFAULT_B, folds: int = FOLDS, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Predictions of every row by the models that did not see its fold."""
     parts = []
-    for fold in range(folds):
-        fitted = fit_blend(df.filter(F.col("fold") != fold), target, features, a, b)
+    for fold, fitted in enumerate(fit_folds(df, target, features, a, b, folds)):
         scored = fitted.predict(df.filter(F.col("fold") == fold))
         parts.append(scored.select(key, "fold", target, "pred_a", "pred_b", "prediction", *keep))
     return reduce(DataFrame.unionByName, parts)
@@ -182,53 +220,114 @@ def blend_metrics(scored: DataFrame, target: str = "rpe") -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def drawn_settings(base: Booster, trials: int, seed: int = 42) -> list[Booster]:
-    """Random settings from the searched ranges; steps are drawn on a log scale."""
+@dataclass(frozen=True)
+class Ranges:
+    """What a search draws from: bounds of each setting; steps are drawn on a log scale."""
+
+    rounds: tuple[int, int, int] = (1500, 3000, 100)
+    step: tuple[float, float] = (0.008, 0.05)
+    depth: tuple[int, int] = (6, 12)
+    min_rows: tuple[int, int] = (3, 20)
+    subsample: tuple[float, float] = (0.6, 0.95)
+    columns: tuple[float, float] = (0.6, 0.95)
+    bins: tuple[int, int] = (200, 300)
+
+
+# The searched ranges, as given above.
+SEARCHED = Ranges()
+
+
+@dataclass(frozen=True)
+class Trial:
+    """One setting with its draws of rounds, and what came of each draw."""
+
+    settings: Booster
+    draws: tuple[int, ...]
+
+
+def drawn_trials(base: Booster, trials: int, draws: int = 3, ranges: Ranges = SEARCHED, seed: int = 42) -> list[Trial]:
+    """Random settings; each with ``draws`` numbers of rounds, in rising order."""
     rng = random.Random(seed)
-    drawn = []
+    out = []
     for _ in range(trials):
-        drawn.append(
-            Booster(
-                loss=base.loss,
-                rounds=base.rounds,
-                step=base.step * 10 ** rng.uniform(-0.7, 0.0),
-                depth=rng.randint(6, 12),
-                subsample=rng.uniform(0.6, 0.95),
-                columns=f"{rng.uniform(0.6, 0.95):.3f}",
-                bins=rng.randint(200, 300),
-                min_rows=rng.randint(3, 20),
-                seed=base.seed,
-            )
+        low, high = ranges.step
+        settings = replace(
+            base,
+            step=low * (high / low) ** rng.random(),
+            depth=rng.randint(*ranges.depth),
+            min_rows=rng.randint(*ranges.min_rows),
+            subsample=rng.uniform(*ranges.subsample),
+            columns=f"{rng.uniform(*ranges.columns):.3f}",
+            bins=rng.randint(*ranges.bins),
         )
-    return drawn
+        first, last, by = ranges.rounds
+        rounds = sorted({rng.randrange(first, last + 1, by) for _ in range(draws)})
+        out.append(Trial(replace(settings, rounds=rounds[-1]), tuple(rounds)))
+    return out
 
 
-def search_settings(
-    df: DataFrame, target: str, features: Sequence[str], trials: list[Booster], folds: int = FOLDS, parallelism: int = 2
-):
-    """Cross-validated mean absolute error of each trial on the given ``fold`` column.
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """The round, from 1, of the least error up to the first stretch of ``patience`` rounds without a better one."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
 
-    Returns (fitted CrossValidatorModel, list of (settings, mean MAE)).
+
+def staged_errors(fitted: PipelineModel, rows: DataFrame, target: str) -> list[float]:
+    """Mean absolute error on ``rows`` of every beginning of the fitted trees, in one pass."""
+    prepared = PipelineModel(fitted.stages[:-1]).transform(rows)
+    tree = fitted.stages[-1]
+    if tree.getOrDefault("labelCol") != target:
+        raise ValueError(f"fitted to {tree.getOrDefault('labelCol')}, not to {target}")
+    return tree.evaluateEachIteration(prepared, "absolute")
+
+
+def search_settings(
+    df: DataFrame,
+    target: str,
+    features: Sequence[str],
+    trials: Sequence[Trial],
+    key: str = "set_id",
+    folds: int = FOLDS,
+    validation: float = 0.15,
+    patience: int = 150,
+    width: int = WIDTH,
+) -> DataFrame:
+    """One row per trial and drawn number of rounds: settings, mean error over the folds, mean best round.
+
+    A fold's training rows are split, by a hash of ``key``, into rows to learn from and rows to validate. A
+    trial is fitted once per fold, to its largest draw. Every beginning of its trees is then evaluated on both
+    the validation rows and the fold that was left out, in one pass each: a smaller draw of rounds is
+    a beginning, and so is what early stopping would have left. The validation rows choose the round (the best one
+    before ``patience`` rounds brought nothing, within the draw); the error is that of the fold, which chose nothing.
     """
-    pipeline = training_pipeline(features, target, trials[0], "prediction")
-    tree = pipeline.getStages()[-1]
-    grid = [
-        {
-            tree.stepSize: t.step,
-            tree.maxDepth: t.depth,
-            tree.subsamplingRate: t.subsample,
-            tree.featureSubsetStrategy: t.columns,
-            tree.maxBins: t.bins,
-            tree.minInstancesPerNode: t.min_rows,
-        }
-        for t in trials
-    ]
-    judge = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="mae")
-    search = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism
-    )
-    fitted = search.fit(df)
-    return fitted, list(zip(trials, fitted.avgMetrics))
+    place = F.pmod(F.xxhash64(F.lit("validation"), F.col(key)), F.lit(10_000)) / 10_000
+    tagged = df.withColumn("_validates", place < validation)
+
+    def evaluate(trial: Trial, fold: int) -> list[tuple[int, float]]:
+        inside, outside = tagged.filter(F.col("fold") != fold), tagged.filter(F.col("fold") == fold)
+        fitted = training_pipeline(features, target, trial.settings, "prediction").fit(inside.filter("NOT _validates"))
+        chosen_by, judged_by = (staged_errors(fitted, rows, target) for rows in (inside.filter("_validates"), outside))
+        known = not any(map(math.isnan, chosen_by))  # a small fold may have no rows to validate
+        rounds = [best_round(chosen_by[:draw], patience) if known else draw for draw in trial.draws]
+        return [(r, judged_by[r - 1]) for r in rounds]
+
+    tasks = [lambda t=t, fold=fold: evaluate(t, fold) for t in trials for fold in range(folds)]
+    results = concurrently(df.sparkSession, tasks, width)
+    rows = []
+    for i, trial in enumerate(trials):
+        own = results[i * folds : (i + 1) * folds]
+        for k, draw in enumerate(trial.draws):
+            judged = [r[k] for r in own if not math.isnan(r[k][1])]  # empty folds say nothing
+            best, errors = zip(*judged) if judged else ((math.nan,), (math.nan,))
+            s = trial.settings
+            rows.append((i, draw, s.step, s.depth, s.min_rows, s.subsample, float(s.columns), s.bins, sum(best) / len(best), sum(errors) / len(errors)))
+    names = "trial int, rounds int, step double, depth int, min_rows int, subsample double, columns double, bins int, mean_best_round double, mean_mae double"
+    return df.sparkSession.createDataFrame(rows, names)
 
 
 def importances(fitted: Sequence[Blend], spark: SparkSession) -> DataFrame:

@@ -16,8 +16,9 @@ from . import fixtures as fx
 from .registry import query
 from .set_queries import LONG, SERVING, VIEWS, _extended, _rounded, _serving, with_steps
 
-#: Rounds and trials are parameters of the operators; the queries, which run all folds, take few.
+#: Rounds and trials are parameters of the operators; the queries, which run all folds, take few. README gives seconds per round.
 ROUNDS, TRIALS = 2, 2
+SEARCHED = model.replace(model.SEARCHED, rounds=(2, 12, 2))
 QUICK_A = model.Booster("squared", rounds=ROUNDS, step=0.3, depth=4, bins=32)
 QUICK_B = model.Booster("absolute", rounds=ROUNDS, step=0.3, depth=4, bins=32)
 
@@ -269,15 +270,13 @@ def out_of_fold_metrics(spark, sf):
 
 @query("settings_search__M11")
 def settings_search(spark, sf):
-    drawn = model.drawn_settings(model.Booster("squared", rounds=ROUNDS, step=0.3), TRIALS)
-    _, results = model.search_settings(_training_table(spark, sf), "rpe", features.MODEL_FEATURES, drawn)
-    return spark.createDataFrame([(t.step, t.depth, float(m)) for t, m in results], "step double, depth int, mean_mae double")
+    trials = model.drawn_trials(model.Booster("squared"), TRIALS, ranges=SEARCHED)
+    return model.search_settings(_training_table(spark, sf), "rpe", features.MODEL_FEATURES, trials)
 
 
 @query("top_importances__M12_R3")
 def top_importances(spark, sf):
-    table = _training_table(spark, sf)
-    fitted = [model.fit_blend(table.filter(F.col("fold") != k), a=QUICK_A, b=QUICK_B) for k in range(model.FOLDS)]
+    fitted = model.fit_folds(_training_table(spark, sf), a=QUICK_A, b=QUICK_B)
     return model.top_importances(model.importances(fitted, spark))
 
 

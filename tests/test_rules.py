@@ -217,11 +217,6 @@ def test_model_bundle_versions(spark):
     assert model.load_bundle(folder, spark, "20260101_000000").metadata["version"] == "20260101_000000"
 
 
-def test_search_ranges():
-    for t in model.drawn_settings(model.DEFAULT_A, 50):
-        assert 6 <= t.depth <= 12 and 200 <= t.bins <= 300 and 3 <= t.min_rows <= 20 and 0.6 <= t.subsample <= 0.95
-
-
 def test_profiles_differ_as_stated():
     assert pose_cleaning.BENCH_V2_CLEANING.max_missing == 15
     assert posture.PROFILES["Deadlift"].signal_frame == "raw_scaled"
