@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import tracks
-from .tracks import SET, block_of, block_window, bracket, neighbours, with_halo
-
-UNITS_PER_PART = 4096
-ISLAND_LIMIT = 2048
+from .tracks import SET, block_of, block_window, neighbours, with_halo
 
 
 def thin_by_distance(
-    tops: DataFrame, min_dist: int, keys: Sequence[str] = SET, later_first: bool = False
+    tops: DataFrame, min_dist: int, keys: Sequence[str] = SET, later_first: bool = False, rounds: list[int] | None = None
 ) -> DataFrame:
     """Keep tops highest first, dropping any closer than ``min_dist`` to a kept one.
 
     Equal heights: the earlier (or, with ``later_first``, the later) row wins.
     A top that is the best within reach is kept for certain, and the others
     within its reach are dropped for certain; two such rounds run inside
-    blocks. The few rows still open fall apart into islands that cannot reach
-    each other, and each island is folded in priority order.
+    blocks. The few rows still open are chosen by :func:`fold_by_blocks`, whose
+    number of rounds is appended to ``rounds``.
     """
     if min_dist <= 1:
         return tops
@@ -49,17 +42,13 @@ def thin_by_distance(
         state.filter("home AND (_kept OR _open)").drop("block", "home", "_best", "_now", "_hit", "_rank"), "tops"
     )
     sure = settled.filter("_kept").drop("_kept", "_open")
-    rest = neighbours(settled.filter("_open").drop("_kept", "_open"), [], keys)
-    starts = F.col("prev").isNull() | (F.col("pos") - F.col("prev.pos") >= min_dist)
-    flagged = rest.withColumn("_start", starts).drop("prev", "next")
-    placed = bracket(flagged, [], F.col("_start"), keys).withColumn("_island", F.col("prev.pos"))
-    islands = cut_lineage(placed.drop("prev", "next", "_start", "n_valid"), "islands")
-    largest = islands.groupBy(*keys, "_island").count().agg(F.max("count")).first()[0] or 0
-    if largest <= ISLAND_LIMIT:
-        folded = _best_first(islands, [*keys, "_island"], min_dist, later_first, keys)
-    else:
-        folded = _fold_by_blocks(islands, min_dist, later_first, keys)
-    return sure.unionByName(folded.select(*sure.columns))
+    rest = settled.filter("_open").drop("_kept", "_open")
+    if rest.isEmpty():
+        return sure
+    chosen, n = fold_by_blocks(rest, min_dist, later_first, keys)
+    if rounds is not None:
+        rounds.append(n)
+    return sure.unionByName(chosen.select(*sure.columns))
 
 
 def _ranked(row: Column, later_first: bool) -> Column:
@@ -96,17 +85,19 @@ def _best_first(
     )
 
 
-def _fold_by_blocks(tops: DataFrame, min_dist: int, later_first: bool, keys: Sequence[str]) -> DataFrame:
-    """Greedy choice of long islands, block by block until nothing changes.
+def fold_by_blocks(tops: DataFrame, min_dist: int, later_first: bool, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Greedy choice of tops, block by block until nothing changes, and the number of rounds.
 
     Each block chooses against the tops its neighbours kept last time. A choice
     in which every block agrees with its neighbours is the greedy choice: a top
-    is kept exactly if no better kept one is within reach.
+    is kept exactly if no better kept one is within reach. What a top decides depends on better tops
+    alone, so a round settles every block whose better neighbours are settled: the rounds are those of the longest
+    run of blocks in which each waits for the next, plus two; of tops without such a slope, two or three.
     """
     size = 32 * min_dist
     blocked = tops.withColumn("block", block_of("pos", size))
     group = [*keys, "block"]
-    kept = None
+    kept, n = None, 0
     while True:
         rivals = None
         if kept is not None:
@@ -114,11 +105,12 @@ def _fold_by_blocks(tops: DataFrame, min_dist: int, later_first: bool, keys: Seq
             rival = F.struct("pos", _ranked(F.struct("pos", "height"), later_first).alias("rank"))
             rivals = near_edge.groupBy(*group).agg(F.collect_list(rival).alias("_rivals"))
         chosen = cut_lineage(_best_first(blocked, group, min_dist, later_first, keys, rivals), "chosen")
+        n += 1
         if kept is not None:
             both = [*keys, "pos"]
             same = chosen.join(kept, both, "left_anti").isEmpty() and kept.join(chosen, both, "left_anti").isEmpty()
             if same:
-                return chosen
+                return chosen, n
         kept = chosen
 
 
@@ -143,144 +135,74 @@ def plateau_tops(df: DataFrame, height: Column, keys: Sequence[str] = SET) -> Da
 #
 # For a top, look left and right to the nearest strictly higher sample (or the
 # end of the track); its prominence is its height over the higher of the two
-# minima passed. Blocks answer most looks on their own. What a block passes on
-# is small: its open looks, and for each side the staircase of samples that
-# are higher than everything between them and that edge.
-
-STAIR, OPEN, TOTAL, DONE = 0, 1, 2, 3
-_FIELDS = ["unit", "kind", "side", "pos", "height", "low"]
-_ARROW = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
-_TYPES = "unit long, kind int, side int, pos long, height double, low double"
-
-
-def _look_in_block(pos: np.ndarray, z: list[float], top: np.ndarray, side: int, unit: int) -> list[tuple]:
-    """Answer looks towards lower (-1) or higher (+1) positions in one block."""
-    out: list[tuple] = []
-    order = range(len(z)) if side < 0 else range(len(z) - 1, -1, -1)
-    heights: list[float] = [np.inf]  # the edge of the block, higher than any sample
-    lows: list[float] = [np.inf]
-    for i in order:
-        v = z[i]
-        if top[i]:
-            low, k = v, len(heights) - 1
-            low = min(low, lows[k])
-            while heights[k] <= v:
-                low = min(low, heights[k], lows[k - 1])
-                k -= 1
-            out.append((unit, DONE if k > 0 else OPEN, side, int(pos[i]), v, low))
-        passed = np.inf
-        while heights[-1] <= v:
-            passed = min(passed, heights.pop(), lows.pop())
-        lows[-1] = min(lows[-1], passed)
-        heights.append(v)
-        lows.append(np.inf)
-    low = np.inf
-    for h, own in zip(heights[:0:-1], lows[:0:-1]):
-        low = min(low, own)
-        out.append((unit, STAIR, side, -1, h, low))
-        low = min(low, h)
-    out.append((unit, TOTAL, side, -1, max(z), min(z)))
-    return out
+# minima passed. The samples of a track are the leaves of a tree of ``FAN`` children per
+# node, and a node is one row that holds the range, highest and lowest value of its children. A look climbs from
+# its leaf until a node further on holds a higher sample, then goes down to it; on both ways it meets one
+# node per level, by a join on the node's number. So no row depends on a whole track.
 
+FAN = 128
+LEFT, RIGHT = -1, 1
 
-def _turning_points(z: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Rows that can stop or bound a look: ends, extrema and the tops."""
-    keep = np.ones(len(z), dtype=bool)
-    if len(z) > 2:
-        up = z[1:-1] - z[:-2]
-        down = z[2:] - z[1:-1]
-        keep[1:-1] = ~(((up > 0) & (down > 0)) | ((up < 0) & (down < 0)))
-    return keep | top
 
-
-def _merge_units(part: pd.DataFrame, side: int, unit: int) -> list[tuple]:
-    """Answer open looks against the staircases of the units passed so far."""
-    out: list[tuple] = []
-    heights: list[float] = []
-    lows: list[float] = []
-    total_low, total_high = np.inf, -np.inf
-    for _, rows in part.groupby("unit", sort=True) if side < 0 else reversed(list(part.groupby("unit", sort=True))):
-        for r in rows[rows.kind == OPEN].itertuples(index=False):
-            k = bisect_right(heights, r.height)
-            if k < len(heights):
-                out.append((unit, DONE, side, r.pos, r.height, min(r.low, lows[k])))
-            else:
-                out.append((unit, OPEN, side, r.pos, r.height, min(r.low, total_low)))
-        whole = rows[rows.kind == TOTAL].iloc[0]
-        stairs = rows[rows.kind == STAIR].sort_values("height")
-        k = bisect_right(heights, whole.height)
-        heights = stairs.height.tolist() + heights[k:]
-        lows = stairs.low.tolist() + [min(v, whole.low) for v in lows[k:]]
-        total_low, total_high = min(total_low, whole.low), max(total_high, whole.height)
-    out += [(unit, STAIR, side, -1, h, v) for h, v in zip(heights, lows)]
-    out.append((unit, TOTAL, side, -1, total_high, total_low))
-    return out
-
-
-def prominences(df: DataFrame, tops: DataFrame, height: Column, keys: Sequence[str] = SET) -> DataFrame:
+def _levels(samples: DataFrame, keys: Sequence[str], fan: int) -> list[DataFrame]:
+    """Nodes by level: keys, node, and kids (at, high, low); the last level has one node per track."""
+    last = samples.agg(F.max("pos")).first()[0]
+    kids, levels = samples.select(*keys, F.col("pos").alias("at"), F.col("height").alias("high"), F.col("height").alias("low")), []
+    while True:
+        node = F.floor(F.col("at") / fan).cast("long")
+        grouped = kids.groupBy(*keys, node.alias("node")).agg(F.collect_list(F.struct("at", "high", "low")).alias("kids"))
+        levels.append(cut_lineage(grouped, "levels"))
+        last = None if last is None else last // fan
+        if not last:
+            return levels
+        kids = levels[-1].select(*keys, F.col("node").alias("at"), F.array_max("kids.high").alias("high"), F.array_min("kids.low").alias("low"))
+
+
+def _looked(looks: DataFrame, level: DataFrame, keys: Sequence[str], waits: Column, node: Column, beyond: Column | None) -> DataFrame:
+    """``looks`` that wait, against the kids of their ``node``: ``hit`` is the nearest kid (further on than ``beyond``) that
+    holds something higher, null for none, and ``low`` goes down to what is passed before it."""
+    # looks that do not wait meet no node, and have numbers of their own so that they do not gather in one task
+    own = looks.withColumn("node", F.when(waits, node).otherwise(-F.col("pos") - 1))
+    met = own.join(level, [*keys, "node"], "left")
+    side = F.col("side")
+    ahead = F.coalesce(F.col("kids"), F.array().cast(level.schema["kids"].dataType))
+    if beyond is not None:
+        ahead = F.filter(ahead, lambda k: (k["at"] - beyond) * side > 0)
+    met = met.withColumn("ahead", ahead).drop("kids")
+    higher = F.filter("ahead", lambda k: k["high"] > F.col("height"))
+    met = met.withColumn("nearest", F.array_min(F.transform(higher, lambda k: k["at"] * side)))
+    passed = F.filter("ahead", lambda k: F.col("nearest").isNull() | (k["at"] * side < F.col("nearest")))
+    lowest = F.array_min(F.transform(passed, lambda k: k["low"]))
+    return met.withColumn("low", F.least("low", lowest)).withColumn("hit", F.col("nearest") * side).drop("ahead", "nearest", "node")
+
+
+def prominences(df: DataFrame, tops: DataFrame, height: Column, keys: Sequence[str] = SET, fan: int | None = None) -> DataFrame:
     """Adds ``left_low``, ``right_low`` and ``prominence`` to ``tops``.
 
-    ``df`` holds every sample of the tracks; ``height`` is the signal the tops
-    were found on. Blocks, then groups of blocks, then whole sets are merged,
-    each on a small summary of the level before.
+    ``df`` holds every sample of the tracks; ``height`` is the signal the tops were found on. Samples without
+    height are passed over.
     """
-    keys = list(keys)
-    samples = df.select(*keys, "pos", height.alias("height"), block_of("pos").alias("unit")).filter(
-        F.col("height").isNotNull()
-    )
-    marks = tops.select(*keys, "pos", block_of("pos").alias("unit"), F.lit(True).alias("top"))
-    flagged = samples.join(marks, [*keys, "unit", "pos"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
-    per_part = UNITS_PER_PART
-    key_fields = flagged.select(*keys).schema
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
-    schema = f"{key_types}, {_TYPES}, part long"
-
-    def table(group: tuple, rows: list[tuple], part: int) -> pa.Table:
-        columns = list(zip(*rows)) if rows else [[] for _ in _FIELDS]
-        made = {name: pa.array([g.as_py()] * len(rows), g.type) for name, g in zip(keys, group)}
-        made |= {name: pa.array(list(c), t) for name, c, t in zip(_FIELDS, columns, _ARROW)}
-        return pa.table(made | {"part": pa.array([part] * len(rows), pa.int64())})
-
-    def in_block(group: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("pos")
-        z = rows["height"].to_numpy()
-        top = rows["top"].to_numpy(zero_copy_only=False).astype(bool)
-        keep = _turning_points(z, top)
-        pos, z, top = rows["pos"].to_numpy()[keep], z[keep].tolist(), top[keep]
-        unit = group[-1].as_py()
-        made = [r for side in (-1, 1) for r in _look_in_block(pos, z, top, side, unit)]
-        return table(group, made, unit // per_part)
-
-    def in_part(group: tuple, rows: pa.Table) -> pa.Table:
-        part, live = group[-1].as_py(), rows.to_pandas()
-        made = [r for side in (-1, 1) for r in _merge_units(live[live.side == side], side, part)]
-        return table(group, made, part)
-
-    def in_set(group: tuple, rows: pa.Table) -> pa.Table:
-        live = rows.to_pandas()
-        made = [r for side in (-1, 1) for r in _merge_units(live[live.side == side], side, 0)]
-        return table(group, [r for r in made if r[1] in (OPEN, DONE)], 0)
-
-    # A set of one block is finished by its block; only longer sets go on.
-    by_block = cut_lineage(flagged.groupBy(*keys, "unit").applyInArrow(in_block, schema), "looks")
-    last = by_block.agg(F.max("unit")).first()[0]
-    if not last:
-        answers = by_block.filter(F.col("kind").isin(DONE, OPEN))
-    else:
-        longer = by_block.groupBy(*keys).agg(F.max("unit").alias("_last")).filter("_last > 0").select(*keys)
-        live = by_block.filter(F.col("kind") != DONE).join(longer, keys, "left_semi")
-        by_part = cut_lineage(live.groupBy(*keys, "part").applyInArrow(in_part, schema), "looks")
-        by_set = by_part.filter(F.col("kind") != DONE).groupBy(*keys).applyInArrow(in_set, schema)
-        ended = by_block.filter(F.col("kind") == OPEN).join(longer, keys, "left_anti")
-        answers = (
-            by_block.filter(F.col("kind") == DONE)
-            .unionByName(ended)
-            .unionByName(by_part.filter(F.col("kind") == DONE))
-            .unionByName(by_set)
-        )
-    lows = answers.groupBy(*keys, "pos").agg(
-        F.min(F.when(F.col("side") == -1, F.col("low"))).alias("left_low"),
-        F.min(F.when(F.col("side") == 1, F.col("low"))).alias("right_low"),
+    keys, fan = list(keys), fan or FAN
+    samples = df.select(*keys, "pos", height.alias("height")).filter(F.col("height").isNotNull())
+    levels = _levels(samples, keys, fan)
+    looks = tops.select(*keys, "pos", "height", F.col("height").alias("low"), F.explode(F.array(F.lit(LEFT), F.lit(RIGHT))).alias("side"))
+    none = F.lit(None).cast("long")
+    # up: ``found`` is the node of ``level`` that holds the higher sample
+    looks = looks.withColumns({"found": none, "level": F.lit(-1)})
+    for k, level in enumerate(levels):
+        # where the look stands on this level, and the node above it
+        at = F.floor(F.col("pos") / fan**k).cast("long")
+        looks = _looked(looks, level, keys, F.col("level") < 0, F.floor(at / fan).cast("long"), at)
+        now = F.col("hit").isNotNull()
+        looks = looks.withColumns({"found": F.when(now, F.col("hit")).otherwise(F.col("found")), "level": F.when(now, k).otherwise(F.col("level"))}).drop("hit")
+    # down: through the nodes that hold it
+    for k in range(len(levels) - 2, -1, -1):
+        looks = _looked(looks, levels[k], keys, F.col("level") == k + 1, F.col("found"), None)
+        now = F.col("hit").isNotNull()
+        looks = looks.withColumns({"found": F.when(now, F.col("hit")).otherwise(F.col("found")), "level": F.when(now, k).otherwise(F.col("level"))}).drop("hit")
+    lows = looks.groupBy(*keys, "pos").agg(
+        F.min(F.when(F.col("side") == LEFT, F.col("low"))).alias("left_low"),
+        F.min(F.when(F.col("side") == RIGHT, F.col("low"))).alias("right_low"),
     )
     return tops.join(lows, [*keys, "pos"]).withColumn(
         "prominence", F.col("height") - F.greatest("left_low", "right_low")

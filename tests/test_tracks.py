@@ -35,7 +35,7 @@ def trace(spark):
 def small_blocks(monkeypatch):
     monkeypatch.setattr(tracks, "BLOCK", 64)
     monkeypatch.setattr(signals, "SMALL_BLOCK", 256)
-    monkeypatch.setattr(peaks, "UNITS_PER_PART", 3)
+    monkeypatch.setattr(peaks, "FAN", 4)
 
 
 def by_set(df, value):
@@ -100,9 +100,7 @@ def greedy(pos, height, dist, later):
 
 @pytest.mark.parametrize("kind", ["noise", "ramp", "ties"])
 @pytest.mark.parametrize("later", [False, True])
-@pytest.mark.parametrize("limit", [2048, 3])
-def test_thinning_is_the_greedy_choice(spark, small_blocks, monkeypatch, kind, later, limit):
-    monkeypatch.setattr(peaks, "ISLAND_LIMIT", limit)
+def test_thinning_is_the_greedy_choice(spark, small_blocks, kind, later):
     rng = np.random.default_rng(5)
     pos = np.flatnonzero(rng.random(1500) < 0.3)
     height = {"noise": rng.random(len(pos)), "ramp": np.arange(len(pos)) * 1.0, "ties": rng.integers(0, 4, len(pos)) * 1.0}[kind]
@@ -128,6 +126,41 @@ def test_prominences_over_many_blocks(spark, small_blocks):
         assert got[i] == tuple(lows)
 
 
+def stack_lows(z):
+    """Lowest value up to the next higher one on the left, for every sample, in one pass."""
+    lows, stack = np.empty(len(z)), []
+    for i, v in enumerate(z):
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        lows[i] = low
+        stack.append((v, low))
+    return lows
+
+
+@pytest.mark.parametrize("n", [1, 2, 130, 1_000_000])
+def test_prominences_of_a_rising_zigzag(spark, n):
+    """Every top is higher than all before it, so every look to the left goes to the beginning."""
+    z = np.arange(n) * 0.25 + np.where(np.arange(n) % 2 == 1, 2.0, 0.0)
+    df = spark.range(n).select(F.lit(1).alias("set_id"), F.col("id").alias("pos"), (F.col("id") * 0.25 + F.when(F.col("id") % 2 == 1, 2.0).otherwise(0.0)).alias("z"))
+    tops = df.filter("pos % 2 = 1").withColumnRenamed("z", "height")
+    left, right = stack_lows(z), stack_lows(z[::-1])[::-1]
+    got = peaks.prominences(df, tops, F.col("z")).orderBy("pos").select("left_low", "right_low").toPandas()
+    assert got["left_low"].tolist() == left[1::2].tolist() and got["right_low"].tolist() == right[1::2].tolist()
+
+
+def test_rounds_of_thinning(spark):
+    """A slope of tops over many blocks waits for its upper end; tops without one are settled at once."""
+    rounds = []
+    slope = spark.range(4000).select(F.lit(1).alias("set_id"), F.col("id").alias("pos"), F.col("id").cast("double").alias("height"))
+    got = sorted(r["pos"] for r in peaks.thin_by_distance(slope, 9, rounds=rounds).collect())
+    assert got == list(range(3999, -1, -9))[::-1] and rounds[0] <= 4000 / (32 * 9) + 3
+    rounds = []
+    waves = slope.withColumn("height", F.pmod(F.xxhash64("pos"), F.lit(1000)).cast("double"))
+    peaks.thin_by_distance(waves, 9, rounds=rounds).collect()
+    assert rounds in ([], [2], [3])
+
+
 def test_percentiles_are_exact(spark, small_blocks, monkeypatch):
     monkeypatch.setattr(quantiles, "ACCURACY", 40)
     rng = np.random.default_rng(2)
@@ -145,7 +178,7 @@ def test_percentiles_are_exact(spark, small_blocks, monkeypatch):
 def test_reps_do_not_depend_on_block_size(spark, trace, monkeypatch):
     whole = {tuple(r) for r in reps.bar_reps(trace).collect()}
     monkeypatch.setattr(tracks, "BLOCK", 64)
-    monkeypatch.setattr(peaks, "UNITS_PER_PART", 3)
+    monkeypatch.setattr(peaks, "FAN", 4)
     cut = {tuple(r) for r in reps.bar_reps(trace).collect()}
     assert len(whole) > 5
     assert cut == whole
