@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_percentiles
+from .quantiles import wide_percentiles
 from .tracks import block_of
 
 # The exertion action units and their frame columns.
@@ -148,23 +148,36 @@ def long_units(frames: DataFrame, *keep: str) -> DataFrame:
     return detected_frames(frames).select("set_id", *keep, F.expr(f"stack({n}, {pairs}) AS (au, value)"))
 
 
-def unit_statistics(units: DataFrame, frame: str = "frame") -> DataFrame:
-    """Full statistics of each action unit of each set."""
-    v = F.col("value")
-    plain = [
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.max(v).alias("max"),
-        F.min(v).alias("min"),
-        (F.max(v) - F.min(v)).alias("range"),
-        F.skewness(v).alias("skew"),
-        F.kurtosis(v).alias("kurtosis"),
-        F.avg((v > 0.5).cast("int")).alias("activation_ratio"),
-    ]
+def unit_statistics(frames: DataFrame, frame: str = "frame") -> DataFrame:
+    """Full statistics of each action unit of each set: one row per set and unit with a value.
+
+    All units of a frame stay in its row; only the statistics of a set are turned to one row per unit.
+    """
+    aus = [au for au in EXERTION_AUS if f"{au}_r" in frames.columns]
+    detected = detected_frames(frames)
+    parts = []
+    for au in aus:
+        v = F.col(f"{au}_r")
+        parts += [
+            F.struct(
+                F.lit(au).alias("au"),
+                F.avg(v).alias("mean"),
+                F.stddev_pop(v).alias("std"),
+                F.max(v).alias("max"),
+                F.min(v).alias("min"),
+                (F.max(v) - F.min(v)).alias("range"),
+                F.skewness(v).alias("skew"),
+                F.kurtosis(v).alias("kurtosis"),
+                F.avg((v > 0.5).cast("int")).alias("activation_ratio"),
+            )
+        ]
+    plain = detected.groupBy("set_id").agg(F.array(*parts).alias("units")).select("set_id", F.inline("units")).filter(F.col("mean").isNotNull())
     marks = {"q10": 0.10, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.90}
-    stats = exact_percentiles(units, ["set_id", "au"], v, marks, block_of(frame), plain)
+    known = detected.filter(F.col("set_id").isNotNull())
+    ranks = wide_percentiles(known, "set_id", [f"{au}_r" for au in aus], marks, block_of(frame))
+    named = ranks.withColumn("au", F.element_at(F.array(*[F.lit(au) for au in aus]), F.col("c") + 1)).drop("c")
     ratio = F.when(F.col("q10") > 0.01, F.col("q90") / F.col("q10")).otherwise(F.lit(0.0))
-    return stats.withColumn("peak_baseline_ratio", ratio)
+    return plain.join(named, ["set_id", "au"]).withColumn("peak_baseline_ratio", ratio)
 
 
 def overall_units(units: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ read off the few values inside it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +114,100 @@ def exact_percentiles(
 
     result = found.select(*keys, *[between(n).alias(n) for n in probs])
     return result.join(per_group.drop("_total", "last_block", "_marks"), list(keys)) if extra else result
+
+
+# --- many columns at once -------------------------------------------------------
+#
+# A double as a signed whole number of 64 bits, its magnitude bits turned over where it is negative, sorts as the
+# double does. The first ``TOP_BITS`` of that number (sign, exponent and the first digits) are its bin. One pass counts
+# bins, one row per set, column and bin; the bins that hold a wanted rank are then read value by value.
+
+TOP_BITS = 20
+_LOW_BITS = 64 - TOP_BITS
+_REST = (1 << 63) - 1
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Whole numbers that sort as the doubles do; both zeros are one, and what is no number comes last."""
+    values = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = values.view(np.int64)
+    return bits ^ ((bits >> 63) & _REST)
+
+
+def from_ordered_bits(bits: np.ndarray) -> np.ndarray:
+    return (bits ^ ((bits >> 63) & _REST)).view(np.float64)
+
+
+def _count_bins(columns: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            codes = keys.indices.to_numpy(zero_copy_only=False)
+            for c, name in enumerate(columns):
+                column = batch.column(name)
+                known = column.is_valid().to_numpy(zero_copy_only=False)
+                if not known.any():
+                    continue
+                bins = ordered_bits(column.fill_null(0.0).to_numpy(zero_copy_only=False)[known]) >> _LOW_BITS
+                pairs, counts = np.unique(np.stack((codes[known], bins)), axis=1, return_counts=True)
+                arrays = [keys.dictionary.take(pa.array(pairs[0])), pa.array(np.full(len(counts), c, np.int32)), pa.array(pairs[1]), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "c", "bin", "n"])
+
+    return run
+
+
+def _with_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first = batch.column("bin").to_numpy() << _LOW_BITS
+        bounds = [pa.array(from_ordered_bits(first)), pa.array(from_ordered_bits(first + ((1 << _LOW_BITS) - 1)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *bounds], names=[*batch.schema.names, "least", "most"])
+
+
+def wide_percentiles(df: DataFrame, key: str, columns: Sequence[str], probs: dict[str, float], block: Column) -> DataFrame:
+    """(key, c, one column per entry of ``probs``) for the number c of each of ``columns``.
+
+    As :func:`exact_percentiles` of each column, without a row per value: all columns of a row stay in
+    it until only the few values in wanted bins are left. ``block`` numbers bounded pieces of a key from 0. Keys must not be null.
+    """
+    names = sorted(probs, key=probs.get)
+    rows = df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in columns], block.alias("block"))
+    key_type = rows.schema["key"].dataType.simpleString()
+    counted = rows.select("key", *columns).mapInArrow(_count_bins(columns), f"key {key_type}, c int, bin long, n long")
+    bins = cut_lineage(counted.groupBy("key", "c", "bin").agg(F.sum("n").alias("n")), "bins")
+
+    whole = Window.partitionBy("key", "c")
+    running = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    placed = bins.withColumns({"total": F.sum("n").over(whole), "upto": F.sum("n").over(running)})
+    ranks = []
+    for i, name in enumerate(names):
+        first = F.floor(F.lit(float(probs[name])) * (F.col("total") - 1)) + 1
+        ranks += [F.struct(F.lit(2 * i).alias("j"), first.alias("rank")), F.struct(F.lit(2 * i + 1).alias("j"), F.least(first + 1, F.col("total")).alias("rank"))]
+    inside = F.filter(F.array(*ranks), lambda r: (r["rank"] > F.col("upto") - F.col("n")) & (r["rank"] <= F.col("upto")))
+    wanted = placed.withColumn("r", F.explode(inside)).select("key", "c", "bin", "total", "r.j", (F.col("r.rank") - F.col("upto") + F.col("n")).alias("rest"))
+    bounded = f"key {key_type}, c int, bin long, total long, j int, rest long, least double, most double"
+    wanted = cut_lineage(wanted.mapInArrow(_with_bounds, bounded), "wanted_ranks")
+
+    cells = F.struct("bin", "least", "most")
+    of_column = [F.collect_set(F.when(F.col("c") == c, cells)).alias(f"_w{c}") for c in range(len(columns))]
+    last = rows.groupBy("key").agg(F.max("block").alias("last_block"))
+    per_key = spread(wanted.groupBy("key").agg(*of_column).join(last, "key"))
+    met = rows.join(per_key, ["key", "block"])
+
+    def matches(c: int, name: str) -> Column:
+        hit = F.filter(f"_w{c}", lambda w: (F.col(name) >= w["least"]) & (F.col(name) <= w["most"]))
+        return F.transform(hit, lambda w: F.struct(F.lit(c).alias("c"), w["bin"].alias("bin"), (F.col(name) + 0.0).alias("v")))
+
+    few = met.select("key", F.explode(F.flatten(F.array(*[matches(c, name) for c, name in enumerate(columns)]))).alias("m"))
+    values = few.groupBy("key", "m.c", "m.bin", "m.v").agg(F.count(F.lit(1)).alias("n"))
+    in_bin = Window.partitionBy("key", "c", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("upto", F.sum("n").over(in_bin))
+    found = wanted.join(values, ["key", "c", "bin"]).filter((F.col("rest") > F.col("upto") - F.col("n")) & (F.col("rest") <= F.col("upto")))
+    picks = [F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"_{j}") for j in range(2 * len(names))]
+    per_column = found.groupBy("key", "c", "total").agg(*picks)
+
+    def between(i: int, name: str) -> Column:
+        place = F.lit(float(probs[name])) * (F.col("total") - 1)
+        low, high = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}")
+        return (low + (high - low) * (place - F.floor(place))).alias(name)
+
+    return per_column.select(F.col("key").alias(key), "c", *[between(i, name) for i, name in enumerate(names)])

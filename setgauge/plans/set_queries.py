@@ -302,13 +302,9 @@ STAT_NAMES = ["mean", "std", "max", "min", "range", "median", "q25", "q75", "q90
 _stat = ", ".join(grid_sql(f'"{c}"', f'"{c}"') for c in STAT_NAMES)
 
 
-def _units(spark, sf):
-    return facial.long_units(fx.au_frame(spark, sf), "frame")
-
-
 @query("au_statistics__F3", with_steps(UNITS, f"SELECT set_id, au, {_stat} FROM stats", "au_frame"))
 def au_statistics(spark, sf):
-    return _gridded(facial.unit_statistics(_units(spark, sf)), STAT_NAMES, "set_id", "au")
+    return _gridded(facial.unit_statistics(fx.au_frame(spark, sf)), STAT_NAMES, "set_id", "au")
 
 
 @query(
@@ -321,7 +317,7 @@ def au_statistics(spark, sf):
     ),
 )
 def au_shape(spark, sf):
-    out = facial.unit_statistics(_units(spark, sf))
+    out = facial.unit_statistics(fx.au_frame(spark, sf))
     return out.select(
         "set_id",
         "au",

@@ -1,6 +1,7 @@
 """Block-wise operators against plain restatements, with small blocks so that
 long sets span many of them."""
 
+import math
 import time
 
 import numpy as np
@@ -184,6 +185,42 @@ def test_reps_do_not_depend_on_block_size(spark, trace, monkeypatch):
     assert cut == whole
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_wide_percentiles_are_exact(spark, small_blocks, parts):
+    """Every column against numpy: signs, ties, both zeros, sizes far apart, missing values, columns without any."""
+    rng = np.random.default_rng(4)
+    n = 2000
+    columns = {
+        "a": rng.normal(0, 5, n), "b": rng.integers(0, 4, n) * 1.0, "c": np.exp(rng.normal(0, 40, n)) * rng.choice([-1, 1], n),
+        "d": np.where(rng.random(n) < 0.5, -0.0, 0.0), "e": np.full(n, np.nan), "f": rng.random(n) * 1e-9 + 5, "g": np.where(rng.random(n) < 0.9, np.inf, 1.0),
+    }
+    group = np.where(np.arange(n) < 1500, 0, np.where(np.arange(n) < 1999, 1, 2))  # one set of a single row
+    missing = {name: rng.random(n) < 0.2 for name in columns}
+    missing["e"][:] = True
+    rows = [(int(group[i]), i, *(None if missing[c][i] else float(v[i]) for c, v in columns.items())) for i in range(n)]
+    df = spark.createDataFrame(rows, "set_id long, pos long, " + ", ".join(f"{c} double" for c in columns)).repartition(parts)
+    probs = {"p0": 0.0, "q10": 0.1, "median": 0.5, "q75": 0.75, "p100": 1.0}
+    got = {(r["set_id"], r["c"]): r for r in quantiles.wide_percentiles(df, "set_id", list(columns), probs, tracks.block_of("pos")).collect()}
+    for g in (0, 1, 2):
+        for c, name in enumerate(columns):
+            values = columns[name][(group == g) & ~missing[name]]
+            assert ((g, c) in got) == bool(len(values))
+            for p, share in probs.items() if len(values) else ():
+                order, place = np.sort(values), share * (len(values) - 1)
+                low, high = order[int(place)], order[min(int(place) + 1, len(values) - 1)]
+                want = low + (high - low) * (place - int(place)) if np.isfinite([low, high]).all() else None
+                if want is not None:
+                    assert math.isclose(got[g, c][p], want, rel_tol=1e-12), (g, name, p)
+    assert quantiles.wide_percentiles(df.limit(0), "set_id", list(columns), probs, tracks.block_of("pos")).collect() == []
+
+
+def test_ordered_bits():
+    values = np.array([-np.inf, -1e300, -2.0, -1e-320, -0.0, 0.0, 1e-320, 0.5, 2.0, np.inf, np.nan])
+    bits = quantiles.ordered_bits(values)
+    assert (np.diff(bits) >= 0).all() and bits[4] == bits[5] and (np.delete(np.diff(bits), 4) > 0).all()
+    np.testing.assert_array_equal(quantiles.from_ordered_bits(bits), values + 0.0)
+
+
 def test_interpolation_spans_blocks(spark, small_blocks):
     rows = [(1, i, float(i % 37), 300) for i in range(0, 290, 70)]
     df = spark.createDataFrame(rows, "set_id int, frame_index int, x double, last_frame int")
