@@ -5,12 +5,10 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import prediction_warnings
 from ..functions.numbers import clip, half_point
+from ..session import WIDTH, concurrently
 from . import tracks
 from .assemble import align_features
 from .features import MODEL_FEATURES
@@ -31,8 +30,6 @@ BIN_EDGES = [0, 5, 7, 9, 11]
 FINE_EDGES = [2.5, 3.5, 4.5, 5.5, 6.5, 7.5, 8.5, 10.5]
 FOLDS, PLAIN_FOLDS = 7, 5
 TOP_FEATURES = 10
-#: Fits that run at the same time.
-WIDTH = 4
 
 
 @dataclass(frozen=True)
@@ -164,27 +161,6 @@ def fit_blend(
     return Blend(model_a, model_b, list(features), {"booster_a": asdict(a), "booster_b": asdict(b), "target": target})
 
 
-def concurrently(spark: SparkSession, tasks: Sequence[Callable], width: int = WIDTH) -> list:
-    """Results of ``tasks`` in their order, ``width`` at a time, each in a scheduler pool of its own.
-
-    One fit alone leaves most executors idle: its jobs are short and follow each other. In FAIR mode the
-    pools share the executors evenly, otherwise in the order of their jobs.
-    """
-
-    def in_pool(number: int, task: Callable):
-        def run():
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % width}")
-            try:
-                return task()
-            finally:
-                spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
-
-        return inheritable_thread_target(spark)(run)
-
-    with ThreadPoolExecutor(max_workers=width) as pool:
-        return list(pool.map(lambda task: task(), [in_pool(i, t) for i, t in enumerate(tasks)]))
-
-
 def fit_folds(
     df: DataFrame, target: str = "rpe", features: Sequence[str] = MODEL_FEATURES, a: Booster = DEFAULT_A, b: Booster = DEFAULT_B,
     folds: int = FOLDS, width: int = WIDTH,

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import concurrently, cut_lineage
 from . import tracks
 from .peaks import thin_by_distance
 from .signals import local_tops, smooth_signal
@@ -311,10 +311,11 @@ def posture_summary(frames: DataFrame, profile: LiftProfile) -> DataFrame:
 def posture_by_lift(frames: DataFrame, lifts: DataFrame, profiles: dict[str, LiftProfile] = PROFILES) -> DataFrame:
     """The summary of every set by the rules of its own lift; ``lifts`` has one (set_id, lift) per set.
 
-    There are as many passes as lifts. Sets whose lift has no profile give no row.
+    There are as many passes as lifts, each over the sets of its lift, at the same time. Sets whose lift has no profile give no row.
     """
     tagged = frames.join(lifts.select("set_id", "lift"), "set_id")
-    parts = [posture_summary(tagged.filter(F.col("lift") == name).drop("lift"), p) for name, p in profiles.items()]
+    passes = [lambda name=name, p=p: posture_summary(tagged.filter(F.col("lift") == name).drop("lift"), p) for name, p in profiles.items()]
+    parts = concurrently(frames.sparkSession, passes)
     return reduce(DataFrame.unionByName, parts)
 
 

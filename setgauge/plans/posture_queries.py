@@ -217,19 +217,23 @@ def posture_drift_deadlift(spark, sf):
     return posture.posture_summary(_frames(spark, sf), DEADLIFT_PROFILE).select("set_id", "rep_count", r6(F.col("d_value")).alias("d_value"))
 
 
-BY_LIFT = " UNION ALL ".join(
-    f"SELECT * FROM ({check(reps_sql(p), DRIFT)}) WHERE set_id % 3 = {i}" for i, p in enumerate((PROFILE, BENCH_PROFILE, DEADLIFT_PROFILE))
-)
+def by_lift_sql(select: str) -> str:
+    """``select`` for each set by the rules of its lift."""
+    rules = (PROFILE, BENCH_PROFILE, DEADLIFT_PROFILE)
+    return " UNION ALL ".join(f"SELECT * FROM ({check(reps_sql(p), select)}) WHERE set_id % 3 = {i}" for i, p in enumerate(rules))
 
 
-@query("posture_by_lift__G7", BY_LIFT)
-def posture_by_lift(spark, sf):
+def summaries_by_lift(spark, sf):
+    """Posture summaries; sets are of the three lifts in turn."""
     frames = _frames(spark, sf)
     names = F.array(*[F.lit(name) for name in posture.PROFILES])
     lifts = frames.select("set_id").distinct().withColumn("lift", F.element_at(names, (F.col("set_id") % 3 + 1).cast("int")))
-    rules = {name: p.with_(min_rep_frames=4) for name, p in posture.PROFILES.items()}
-    out = posture.posture_by_lift(frames, lifts, rules)
-    return out.select("set_id", "rep_count", r6(F.col("d_value")).alias("d_value"))
+    return posture.posture_by_lift(frames, lifts, {name: p.with_(min_rep_frames=4) for name, p in posture.PROFILES.items()})
+
+
+@query("posture_by_lift__G7", by_lift_sql(DRIFT))
+def posture_by_lift(spark, sf):
+    return summaries_by_lift(spark, sf).select("set_id", "rep_count", r6(F.col("d_value")).alias("d_value"))
 
 
 @query(

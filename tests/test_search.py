@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from setgauge.operators import model
+from setgauge.session import concurrently
 
 TARGET = "rpe"
 
@@ -91,7 +92,7 @@ def test_tasks_run_together_and_keep_their_order(spark):
         meet.wait()  # passes only if three run at once
         return i, spark.sparkContext.getLocalProperty("spark.scheduler.pool")
 
-    got = model.concurrently(spark, [lambda i=i: task(i) for i in range(6)], width=3)
+    got = concurrently(spark, [lambda i=i: task(i) for i in range(6)], width=3)
     assert [g[0] for g in got] == list(range(6)) and len({g[1] for g in got}) == 3
     with pytest.raises(ZeroDivisionError):
-        model.concurrently(spark, [lambda: 1, lambda: 1 // 0])
+        concurrently(spark, [lambda: 1, lambda: 1 // 0])
