@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import file_stem, filled_video_name
+from ..functions.numbers import snap
+from ..session import cut_lineage
 
 HEAD_COLUMNS = ["video_name", "rpe", "rep_change_s", "rep_count"]
 LEAKAGE = ["total_frames", "detection_count"]
@@ -75,6 +77,32 @@ def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return base.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def write_master(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """A master table for :func:`upsert_master`: parquet, one folder per bucket of keys."""
+    bucketed = rows.withColumn("bucket", _bucket(key, buckets).cast("int"))
+    bucketed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def upsert_master(spark: SparkSession, path: str, new: DataFrame, key: str, buckets: int = 64) -> None:
+    """Rows of ``new`` replace those with the same key in the table of :func:`write_master`.
+
+    Only buckets that hold a key of ``new`` are read and written; the files of all others stay as they are. The new content of
+    a bucket is written aside first, then takes the bucket's place. ``buckets`` is that of the table. Repeated
+    keys in ``new`` are all kept. Rows without a key are only added.
+    """
+    fresh = cut_lineage(new.withColumn("bucket", _bucket(key, buckets).cast("int")), "upserts")
+    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most one per bucket
+    if not touched:
+        return
+    base = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+    merged = cut_lineage(base.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True), "upserted")
+    merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_master(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
 def unprocessed(sets: DataFrame, done: DataFrame, name: str = "video_name") -> DataFrame:
     """Sets whose stem is not among the processed ones."""
     stem = "_stem"
@@ -134,6 +162,55 @@ def parity_report(expected: DataFrame, produced: DataFrame) -> DataFrame:
     )
 
 
+def bucket_digests(df: DataFrame, key: str, features: Sequence[str], buckets: int) -> DataFrame:
+    """One row per bucket of keys: rows, a checksum that no order of rows changes, and the present values of each feature.
+
+    The checksum adds up a hash per row over the key, the values and which of them are missing.
+    """
+    # a hash of several columns passes over nulls, so it must be told where they are
+    missing = F.concat(*[F.when(F.col(f).isNull(), "1").otherwise("0") for f in features])
+    row = F.xxhash64(key, *features, missing).cast("decimal(38,0)")
+    return df.groupBy(_bucket(key, buckets).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row).alias("digest"), *[F.count(f).alias(f) for f in features]
+    )
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("bucket"), F.col(key)), F.lit(buckets))
+
+
+def table_parity(expected: DataFrame, produced: DataFrame, features: Sequence[str], key: str = "set_id", buckets: int = 4096, bits: int = 20) -> DataFrame:
+    """Per feature: values on both sides, equal ones, passed or not, as :func:`parity_report` of the same tables.
+
+    Both tables are reduced to one checksum per bucket of keys. Where the checksums of a bucket agree, its
+    rows are equal and are only counted; rows are joined and compared only in buckets that differ, so equal tables
+    cost one aggregate each. Values are compared on a grid of 2^-``bits``.
+    """
+    want, got = (df.select(key, *[(snap(F.col(f).cast("double"), bits) + 0.0).alias(f) for f in features]) for df in (expected, produced))
+    a, b = (bucket_digests(df, key, features, buckets) for df in (want, got))
+    b = b.select("bucket", F.col("n").alias("n_got"), F.col("digest").alias("digest_got"))
+    met = cut_lineage(a.join(b, "bucket", "full_outer"), "digests")  # a row per bucket
+    agree = F.coalesce((F.col("n") == F.col("n_got")) & (F.col("digest") == F.col("digest_got")), F.lit(False))
+    equal = met.filter(agree)
+    parts = [equal.agg(*[F.struct(F.sum(f).alias("want"), F.sum(f).alias("got"), F.sum("n").alias("same"), F.lit(True).alias("all")).alias(f) for f in features])]
+    odd = met.filter(~agree).select("bucket")
+    if not odd.isEmpty():
+        left, right = (df.withColumn("bucket", _bucket(key, buckets)).join(odd, "bucket", "left_semi").drop("bucket") for df in (want, got))
+        joined = left.alias("w").join(right.alias("g"), key, "full_outer")
+
+        def compared(f: str) -> Column:
+            same = F.col(f"w.{f}").eqNullSafe(F.col(f"g.{f}"))
+            return F.struct(F.count(f"w.{f}").alias("want"), F.count(f"g.{f}").alias("got"), F.count(F.when(same, F.lit(1))).alias("same"), F.min(same).alias("all")).alias(f)
+
+        parts.append(joined.agg(*[compared(f) for f in features]))
+    both = reduce(DataFrame.unionByName, parts)
+    rows = both.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("c")) for f in features])).alias("r"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.groupBy("r.feature").agg(
+        zero("r.c.want").alias("n_expected"), zero("r.c.got").alias("n_produced"), zero("r.c.same").alias("n_equal"), F.min("r.c.all").alias("passed")
+    )
+
+
 def flatten_struct(df: DataFrame, name: str) -> DataFrame:
     """Fields of a struct column as ``<name>_<field>`` columns."""
     fields = df.select(f"{name}.*").columns

@@ -14,7 +14,7 @@ from ..session import cut_lineage, fresh_path
 from . import fixtures as fx
 
 from .registry import query
-from .set_queries import LONG, SERVING, VIEWS, _extended, _rounded, _serving, with_steps
+from .set_queries import ENGINEERED, FULL_VIEWS, SERVING, VIEWS, _extended, _rounded, _serving, full, grid_sql, with_steps
 
 #: Rounds and trials are parameters of the operators; the queries, which run all folds, take few. README gives seconds per round.
 ROUNDS, TRIALS = 2, 2
@@ -288,24 +288,44 @@ def batch_scoring(spark, sf):
     return model.score_sets(_serving(spark, sf), model.load_bundle(folder, spark))
 
 
+_aus = features.AU_MAX_COLUMNS
+_pairs = {f"AU{a}_{b}_interaction": f"x.AU{a}_max * x.AU{b}_max" for a, b in features.PAIRS}
+#: Features of the serving form that its SQL steps leave out.
+_LEFT_OUT = (
+    {"confidence_min": "CASE WHEN live THEN x.confidence_min ELSE 0.3 END", "AU_max": "CASE WHEN live THEN list_max(x.aus) ELSE 0 END"}
+    | {a: f"x.{a}" for a in _aus}
+    | {name: f"CASE WHEN live THEN {product} END" for name, product in _pairs.items()}
+    | {
+        "d_value_x_AU_mean": "CASE WHEN s.has_posture THEN s.d_value * s.AU_mean END",
+        "d_value_x_active_AUs": "CASE WHEN s.has_posture THEN s.d_value * s.au_highly_active_count END",
+        "tempo_x_body_movement": "s.avg_rep_duration * s.d_value",
+        "rep_count_sq": "CASE WHEN s.rep_count > 0 THEN s.rep_count * s.rep_count END",
+        "strain_per_rep": "CASE WHEN s.rep_count > 0 THEN s.au_highly_active_count / (s.rep_count + 1) END",
+        "AU_sum_per_rep": "CASE WHEN s.rep_count > 0 THEN s.AU_sum / (s.rep_count + 1) END",
+        "d_value_per_rep": "CASE WHEN s.rep_count > 0 THEN s.d_value / (s.rep_count + 1) END",
+    }
+)
+_served = ", ".join(f"{_LEFT_OUT.get(f, f's.{f}')} AS {f}" for f in features.MODEL_FEATURES)
+_pair = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {grid_sql(f'w.{f}', 'want')}, {grid_sql(f'g.{f}', 'got')} FROM feat w FULL JOIN served g ON w.set_id = g.set_id"
+    for f in features.MODEL_FEATURES
+)
+PARITY = full(ENGINEERED | SERVING) | {
+    "x": "SELECT *, has_face AND len(aus) > 0 AS live FROM src",
+    "served": f"SELECT s.set_id, {_served} FROM s2 s JOIN x ON s.set_id = x.set_id",
+    "pair": _pair,
+}
+
+
 @query(
     "feature_parity__M16",
     with_steps(
-        LONG
-        | {
-            "served": SERVING["src"],
-            "s_long": """SELECT set_id, 'd_value' AS feature, CASE WHEN has_posture THEN round(d_value, 6) + 0.0 ELSE 0 END AS value FROM served
-  UNION ALL SELECT set_id, 'detection_rate', CASE WHEN has_face AND len(aus) > 0 THEN round(detection_rate, 6) + 0.0 ELSE 0.5 END FROM served""",
-            "pair": """SELECT l.feature, l.value AS want, s.value AS got FROM (SELECT * FROM long WHERE feature IN ('d_value', 'detection_rate')) l
-  FULL JOIN s_long s USING (set_id, feature)""",
-        },
+        PARITY,
         """SELECT feature, count(want) AS n_expected, count(got) AS n_produced, count(*) FILTER (WHERE want IS NOT DISTINCT FROM got) AS n_equal,
   bool_and(want IS NOT DISTINCT FROM got) AS passed FROM pair GROUP BY feature""",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def feature_parity(spark, sf):
-    names = ["d_value", "detection_rate"]
-    want = asm.long_features(features.engineer(_extended(spark, sf)), names)
-    got = asm.long_features(_serving(spark, sf), names)
-    return asm.parity_report(want, got)
+    served = _serving(spark, sf, fx.bar_full, fx.face_full, fx.posture_full)
+    return asm.table_parity(features.engineer(_extended(spark, sf)), served, features.MODEL_FEATURES)

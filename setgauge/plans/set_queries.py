@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -431,18 +432,31 @@ MASTER = {
     "extended": """SELECT *, (set_no % 7) / CAST(50 AS DOUBLE) AS confidence_std, (set_no % 11) / CAST(20 AS DOUBLE) AS confidence_min,
   set_no % 11 AS au_highly_active_count, CASE WHEN set_id LIKE 'Bench%' THEN 0 WHEN set_id LIKE 'Squat%' THEN 1 ELSE 2 END AS Lift_Type_Code FROM master""",
 }
+def full(steps: dict[str, str]) -> dict[str, str]:
+    """The same steps over the views without gaps."""
+    return {name: re.sub(r"\b(bar|face|posture)_set\b", r"\1_full", sql) for name, sql in steps.items()}
+
+
 VIEWS = ("set_label", "bar_set", "face_set", "posture_set")
+FULL_VIEWS = ("set_label", "bar_full", "face_full", "posture_full")
 
 
 def _master(spark, sf) -> DataFrame:
+    """With gaps, for the queries that are about gaps."""
     return asm.master_table(
         fx.bar_set(spark, sf), fx.face_set(spark, sf), fx.posture_set(spark, sf), fx.set_label(spark, sf).select("set_id", "rpe")
     )
 
 
+def _whole(spark, sf) -> DataFrame:
+    return asm.master_table(
+        fx.bar_full(spark, sf), fx.face_full(spark, sf), fx.posture_full(spark, sf), fx.set_label(spark, sf).select("set_id", "rpe")
+    )
+
+
 def _extended(spark, sf) -> DataFrame:
     no = F.regexp_extract("set_id", r"\d+$", 0).cast("bigint")
-    return _master(spark, sf).withColumns(
+    return _whole(spark, sf).withColumns(
         {
             "confidence_std": (no % 7) / 50.0,
             "confidence_min": (no % 11) / 20.0,
@@ -502,7 +516,10 @@ def unprocessed_sets(spark, sf):
 def upsert(spark, sf):
     base = fx.bar_full(spark, sf).select("video_name", "rep_count")
     new = base.filter(keys.first_number(F.col("video_name")) % 2 == 0).select("video_name", F.lit(-1).cast("bigint").alias("rep_count"))
-    return asm.upsert(base, new, "video_name")
+    path = fresh_path(spark, "master")
+    asm.write_master(base, path, "video_name", 16)
+    asm.upsert_master(spark, path, new, "video_name", 16)
+    return asm.read_master(spark, path)
 
 
 @query(
@@ -595,7 +612,7 @@ FEATURES = features.MODEL_FEATURES
 _feat_out = ", ".join(grid_sql(c, c) for c in FEATURES)
 
 
-@query("engineered_features__E1_E6", with_steps(ENGINEERED, f"SELECT set_id, {_feat_out} FROM feat", *VIEWS))
+@query("engineered_features__E1_E6", with_steps(full(ENGINEERED), f"SELECT set_id, {_feat_out} FROM feat", *FULL_VIEWS))
 def engineered_features(spark, sf):
     return _gridded(features.engineer(_extended(spark, sf)), FEATURES, "set_id")
 
@@ -603,41 +620,41 @@ def engineered_features(spark, sf):
 @query(
     "aligned_features__J10",
     with_steps(
-        MASTER,
+        full(MASTER),
         "SELECT set_id, " + ", ".join(f"coalesce(round({c}, 6) + 0.0, 0) AS {c}" for c in ["d_value", "AU04_max", "rep_change_s"]) + ", CAST(0 AS DOUBLE) AS unknown_feature FROM master",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def aligned_features(spark, sf):
     wanted = ["d_value", "AU04_max", "unknown_feature", "rep_change_s"]
-    return _rounded(asm.align_features(_master(spark, sf), wanted), wanted, "set_id")
+    return _rounded(asm.align_features(_whole(spark, sf), wanted), wanted, "set_id")
 
 
 @query(
     "enhanced_features__E7",
     with_steps(
-        MASTER,
+        full(MASTER),
         """SELECT set_id, round(rep_count / (rep_change_s + 1e-6), 3) + 0.0 AS rep_intensity, round(confidence_mean * confidence_mean, 6) + 0.0 AS confidence_mean_sq,
   round(detection_rate * detection_rate, 6) + 0.0 AS detection_rate_sq FROM master""",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def enhanced_features(spark, sf):
-    out = features.enhanced(_master(spark, sf))
+    out = features.enhanced(_whole(spark, sf))
     return out.select("set_id", r6(F.col("rep_intensity"), 3).alias("rep_intensity"), *[r6(F.col(c)).alias(c) for c in ("confidence_mean_sq", "detection_rate_sq")])
 
 
 @query(
     "three_factor_interactions__E8",
     with_steps(
-        MASTER,
+        full(MASTER),
         """SELECT set_id, round(rep_change_s * AU04_max, 6) + 0.0 AS bar_x_strain, round(rep_change_s * d_value, 6) + 0.0 AS bar_x_rom,
   round(AU04_max * d_value, 6) + 0.0 AS strain_x_rom FROM master""",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def three_factor_interactions(spark, sf):
-    out = features.three_factor(_master(spark, sf), "rep_change_s", "AU04_max", "d_value")
+    out = features.three_factor(_whole(spark, sf), "rep_change_s", "AU04_max", "d_value")
     return _rounded(out, ["bar_x_strain", "bar_x_rom", "strain_x_rom"], "set_id")
 
 
@@ -664,10 +681,10 @@ SERVED = [
 ]
 
 
-def _serving(spark, sf) -> DataFrame:
-    bar = asm.keyed(fx.bar_set(spark, sf)).withColumn("_b", F.lit(True))
-    face = asm.keyed(fx.face_set(spark, sf)).withColumn("_f", F.lit(True))
-    post = asm.keyed(fx.posture_set(spark, sf)).withColumn("_p", F.lit(True)).withColumn("posture_reps", F.lit(2))
+def _serving(spark, sf, bar=fx.bar_set, face=fx.face_set, post=fx.posture_set) -> DataFrame:
+    bar = asm.keyed(bar(spark, sf)).withColumn("_b", F.lit(True))
+    face = asm.keyed(face(spark, sf)).withColumn("_f", F.lit(True))
+    post = asm.keyed(post(spark, sf)).withColumn("_p", F.lit(True)).withColumn("posture_reps", F.lit(2))
     wide = asm.outer_merge(asm.outer_merge(bar, face), post)
     no = F.regexp_extract("set_id", r"\d+$", 0).cast("bigint")
     flagged = wide.withColumns(
@@ -699,7 +716,7 @@ def serving_features(spark, sf):
     )
 
 
-LONG = ENGINEERED | {"long": f"SELECT set_id, feature, value FROM ({_long_sql('feat', FEATURES)}) t"}
+LONG = full(ENGINEERED) | {"long": f"SELECT set_id, feature, value FROM ({_long_sql('feat', FEATURES)}) t"}
 
 
 def _long(spark, sf):
@@ -714,7 +731,7 @@ def _long(spark, sf):
   WHEN contains(feature, 'AU') OR contains(feature, 'interaction') OR contains(feature, '_x_') OR contains(feature, 'per_rep') OR contains(feature, 'quality')
     OR contains(feature, 'strain') OR contains(feature, 'tempo') OR feature LIKE '%\\_sq' ESCAPE '\\' THEN 'engineered' ELSE 'base' END AS grp,
   count(DISTINCT feature) AS n_features, count(value) AS n_values FROM long GROUP BY grp""",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def feature_groups(spark, sf):
@@ -731,7 +748,7 @@ def feature_groups(spark, sf):
         """SELECT count(*) FILTER (WHERE contains(feature, 'AU') OR contains(feature, 'confidence') OR contains(feature, 'detection')) AS facial,
   count(*) FILTER (WHERE contains(feature, 'd_value') OR contains(feature, 'body')) AS body, count(*) FILTER (WHERE contains(feature, 'rep')) AS bar,
   count(*) FILTER (WHERE contains(feature, 'Lift_Type') OR contains(feature, 'lift_type')) AS lift FROM ranked""",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def top_feature_sources(spark, sf):
@@ -746,18 +763,18 @@ SCALED = {"rep_change_s": 0.60, "AU04_max": 0.25, "d_value": 0.15}
 @query(
     "weighted_min_max__E11",
     with_steps(
-        MASTER | {"train": "SELECT * FROM master WHERE set_no % 5 <> 1"},
+        full(MASTER) | {"train": "SELECT * FROM master WHERE set_no % 5 <> 1"},
         "SELECT set_id, "
         + ", ".join(
             f"round(({c} - (SELECT min({c}) FROM train)) / ((SELECT max({c}) FROM train) - (SELECT min({c}) FROM train)) * 10 * {w}, 6) + 0.0 AS {c}_scaled"
             for c, w in SCALED.items()
         )
         + " FROM master",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def weighted_min_max(spark, sf):
-    master = _master(spark, sf)
+    master = _whole(spark, sf)
     train = master.filter(F.regexp_extract("set_id", r"\d+$", 0).cast("bigint") % 5 != 1)
     return _rounded(features.min_max_weighted(master, train, SCALED), [f"{c}_scaled" for c in SCALED], "set_id")
 
@@ -765,15 +782,15 @@ def weighted_min_max(spark, sf):
 @query(
     "standardized__E12",
     with_steps(
-        MASTER | {"train": "SELECT * FROM master WHERE set_no % 5 <> 1"},
+        full(MASTER) | {"train": "SELECT * FROM master WHERE set_no % 5 <> 1"},
         "SELECT set_id, "
         + ", ".join(f"round(({c} - (SELECT avg({c}) FROM train)) / (SELECT stddev_pop({c}) FROM train), 6) + 0.0 AS {c}_z" for c in SCALED)
         + " FROM master",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def standardized(spark, sf):
-    master = _master(spark, sf)
+    master = _whole(spark, sf)
     train = master.filter(F.regexp_extract("set_id", r"\d+$", 0).cast("bigint") % 5 != 1)
     return _rounded(features.standardize(master, train, list(SCALED)), [f"{c}_z" for c in SCALED], "set_id")
 
@@ -940,18 +957,18 @@ def sorted_results(spark, sf):
 @query(
     "status_bands__R5",
     with_steps(
-        MASTER,
+        full(MASTER),
         """SELECT set_id, CASE WHEN rep_count IS NULL OR rep_count <= 0 THEN 'Unavailable' WHEN rep_change_s IS NULL THEN 'Detected'
   WHEN round(rep_change_s, 9) <= 0.2 THEN 'Stable Tempo' WHEN round(rep_change_s, 9) <= 0.45 THEN 'Mild Fatigue' ELSE 'High Fatigue' END AS bar_status,
   CASE WHEN d_value IS NULL THEN 'Unavailable' WHEN round(d_value, 9) < 0.8 THEN 'Stable Form' WHEN round(d_value, 9) < 1.4 THEN 'Form Drift' ELSE 'High Deviation' END AS posture_status,
   CASE WHEN detection_rate IS NULL AND confidence_mean IS NULL THEN 'No Face Data'
   WHEN coalesce(detection_rate, 0) >= 0.75 AND round(coalesce(confidence_mean, 0), 9) >= 0.7 THEN 'Strong Face Tracking'
   WHEN coalesce(detection_rate, 0) >= 0.5 AND round(coalesce(confidence_mean, 0), 9) >= 0.5 THEN 'Partial Face Tracking' ELSE 'Weak Face Tracking' END AS face_status FROM master""",
-        *VIEWS,
+        *FULL_VIEWS,
     ),
 )
 def status_bands(spark, sf):
-    clean = _master(spark, sf).withColumns({c: F.round(c, 9) for c in ("rep_change_s", "d_value", "confidence_mean")})
+    clean = _whole(spark, sf).withColumns({c: F.round(c, 9) for c in ("rep_change_s", "d_value", "confidence_mean")})
     return clean.select(
         "set_id",
         labels.bar_status(F.col("rep_count"), F.col("rep_change_s")).alias("bar_status"),
