@@ -111,8 +111,10 @@ def rep_report_reader(spark, sf):
         F.lit("Squat").alias("movement"),
     )
     one = one.withColumn("duration_s", F.col("rep_change_s") + F.col("rep_no") / 100).drop("rep_change_s")
-    parsed = logs.parse_rep_reports(logs.rep_report_text(one).drop("set_id"))
-    return parsed.select(
+    path = fresh_path(spark, "rep_reports")
+    texts = logs.rep_report_text(one).withColumnRenamed("set_id", "report")
+    texts.repartition("report").write.partitionBy("report").text(path)  # one file per set
+    return logs.read_rep_reports(spark, path).select(
         "video_name", "pattern", F.size("durations_s").alias("rep_count"), F.round(F.array_max("durations_s"), 2).alias("longest_s")
     )
 
@@ -154,20 +156,26 @@ def history_reader(spark, sf):
     path = fresh_path(spark, "history")
     past = fx.history(spark, sf)
     half = F.col("id") % 2
-    for part in (0, 1):
-        tables.append_history(past.filter(half == part), path)
-    back = tables.read_history_lines(spark, path)
+    tables.append_history(past.filter(half == 0), path)
+    arrays = fresh_path(spark, "history_arrays")  # the other half as files that each hold one array
+    stamp = F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    record = F.struct(*[(stamp if f.name == "timestamp" else F.col(f.name).cast(f.dataType)).alias(f.name) for f in tables.HISTORY])
+    files = past.filter(half == 1).groupBy(F.pmod(F.hash("id"), F.lit(16)).alias("file")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    files.repartition("file").write.partitionBy("file").text(arrays)
+    back = tables.read_history_lines(spark, path).unionByName(tables.read_history(spark, arrays).drop("file"))
     return back.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query(
     "saved_tables__A11",
-    cte("posture_full") + " SELECT video_name, round(d_value, 6) + 0.0 AS d_value FROM posture_full",
+    cte("posture_full") + " SELECT video_name, round(d_value, 6) + 0.0 AS d_value, round(d_value, 6) + 0.0 AS d_csv, round(d_value, 6) + 0.0 AS d_json FROM posture_full",
 )
 def saved_tables(spark, sf):
-    rows = fx.posture_full(spark, sf)
-    for form in ("csv", "json"):
-        tables.save_table(rows, fresh_path(spark, f"posture_{form}"), form)
-    path = fresh_path(spark, "posture_parquet")
-    tables.save_table(rows, path)
-    return spark.read.parquet(path).select("video_name", r6(F.col("d_value")).alias("d_value"))
+    """The same table saved in each form and read back."""
+    rows, back = fx.posture_full(spark, sf), []
+    for form, name in (("parquet", "d_value"), ("csv", "d_csv"), ("json", "d_json")):
+        path = fresh_path(spark, f"posture_{form}")
+        tables.save_table(rows, path, form)
+        read = spark.read.schema(rows.schema).option("header", True).format(form).load(path)
+        back.append(read.select("video_name", r6(F.col("d_value")).alias(name)))
+    return back[0].join(back[1], "video_name").join(back[2], "video_name")
