@@ -22,7 +22,7 @@ Equal rows of a conversation (turn, role and text) are one run with a count befo
 Texts are shuffled once, for the repaired conversations; everything else works on SHA-256 of them.
 
 Order of rows: turn, nulls first, then role, then SHA-256 of the text; equal rows are neighbours.
-Cases: null roles and texts are one space. A null conv_id is a conversation. conv_id keeps its type. Empty texts are blank. An empty table gives an
+Cases: null roles and texts are one space; an empty role has no initial, so it cannot be kept. A null conv_id is a conversation. conv_id keeps its type. Empty texts are blank. An empty table gives an
 empty table; other columns are ignored.
 """
 
