@@ -79,6 +79,24 @@ def keypoint_reader(spark, sf):
     return rows.select("set_id", "frame_index", "joint", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
+@query("keypoint_arrays__A2", cte("pose_joint") + KEYPOINTS)
+def keypoint_arrays(spark, sf):
+    """One array per file and set, written line by line, so that no set is held in a row."""
+    from ..operators import posture
+
+    packed = posture.pose_frames(posture.first_person(fx.pose_joint(spark, sf)))
+    pairs = F.zip_with("x", "y", lambda a, b: F.array(F.coalesce(a, F.lit(float("nan"))), F.coalesce(b, F.lit(float("nan")))))
+    people = F.when(F.col("frame_index") % 11 == 5, F.lit("[]")).otherwise(F.regexp_replace(F.to_json(F.array(F.struct(pairs.alias("keypoints")))), '"NaN"', "NaN"))
+    frame = F.concat(F.lit('  {"frame_index": '), F.col("frame_index").cast("string"), F.lit(',\n    "people": '), people, F.lit("\n  }"))
+    last = packed.groupBy("set_id").agg(F.max("frame_index").alias("last"))
+    lines = packed.join(last, "set_id").select("set_id", F.col("frame_index").alias("at"), F.concat(frame, F.when(F.col("frame_index") < F.col("last"), ",").otherwise("\n]")).alias("value"))
+    lines = lines.union(last.select("set_id", F.lit(-1), F.lit("[")))
+    path = fresh_path(spark, "keypoint_arrays")
+    lines.repartition("set_id").sortWithinPartitions("set_id", "at").select("set_id", "value").write.partitionBy("set_id").text(path)
+    rows = fr.read_keypoint_arrays(spark, path, set_id=F.col("set_id"))
+    return rows.select("set_id", "frame_index", "joint", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
 @query(
     "posture_log_parser__A3",
     cte("set_log", extra={"r": "SELECT DISTINCT set_no, set_id FROM set_label WHERE set_no % 13 <> 0"})

@@ -129,6 +129,27 @@ def read_keypoints(spark: SparkSession, path: str, suffix: str = "_keypoints") -
     return keypoint_rows(frames.withColumn("set_id", stem_of_path(F.col("_metadata.file_path"), suffix)))
 
 
+#: Fixed value: the first key of each frame in a keypoint file.
+FIRST_KEY = '"frame_index"'
+
+
+def read_keypoint_arrays(spark: SparkSession, path: str, suffix: str = "_keypoints", set_id: Column | None = None) -> DataFrame:
+    """As :func:`read_keypoints`, with many tasks per file.
+
+    A file is one JSON array, which a JSON reader takes whole. Here it is read as text that the first key of
+    each frame divides, so Spark plans byte ranges of it and each task finds its own frames; what follows the key
+    is one frame, but for the brackets of its neighbours. Files may be indented or not. Frames whose first
+    key is another stop the job with an error.
+    """
+    text = spark.read.option("lineSep", FIRST_KEY).text(path)
+    key = stem_of_path(F.col("_metadata.file_path"), suffix) if set_id is None else set_id
+    parts = text.select(key.alias("set_id"), "value").filter(~F.col("value").rlike(r"^\s*\[?\s*\{?\s*$") & (F.trim("value") != "[]"))
+    frame = F.concat(F.lit("{" + FIRST_KEY), F.regexp_replace("value", r"(,\s*\{|\])\s*$", ""))
+    options = {"allowNonNumericNumbers": "true", "mode": "FAILFAST"}
+    frames = parts.select("set_id", F.from_json(frame, KEYPOINT_FRAMES, options).alias("f"))
+    return keypoint_rows(frames.select("set_id", "f.*"))
+
+
 def list_inputs(spark: SparkSession, folder: str, extensions: Sequence[str]) -> DataFrame:
     """Files below ``folder`` with one of the extensions, without reading them."""
     pattern = r"\.(" + "|".join(e.lower().lstrip(".") for e in extensions) + ")$"
