@@ -123,10 +123,6 @@ def align_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] =
     return df.select(*keep, *cells)
 
 
-def absent_features(df: DataFrame, features: Sequence[str]) -> list[str]:
-    return [f for f in features if f not in df.columns]
-
-
 def long_features(df: DataFrame, features: Sequence[str], key: str = "set_id", digits: int = 6) -> DataFrame:
     """(key, feature, value) rows; values rounded for comparison."""
     cells = df.select(key, *[(F.round(F.col(f).cast("double"), digits) + F.lit(0.0)).alias(f) for f in features])
@@ -218,9 +214,5 @@ def flatten_struct(df: DataFrame, name: str) -> DataFrame:
     return df.select(*rest, *[F.col(f"{name}.{f}").alias(f"{name}_{f}") for f in fields])
 
 
-def to_json_row(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.to_json(F.struct(*df.columns)).alias("json"))
-
-
 def coverage(df: DataFrame, target: str = "rpe") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("sets"), F.count(target).alias("sets_with_rpe"))

@@ -51,9 +51,6 @@ class Booster:
     seed: int = 42
 
 
-# The original long settings.
-LONG_A = Booster("squared", rounds=2600, step=0.0095)
-LONG_B = Booster("absolute", rounds=2600, step=0.01)
 DEFAULT_A, DEFAULT_B = Booster("squared"), Booster("absolute")
 
 
