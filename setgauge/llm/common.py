@@ -121,9 +121,11 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         discard(current)
         current = after
         if state == before:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+            out = current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
+            out.shared_path = current.shared_path
+            return out
         before = state
 
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from setgauge.llm import near_copies, simhash
@@ -89,3 +90,36 @@ def test_rows_are_known_by_id_and_text(spark):
     got = sorted((r["doc_id"] or 99, r["text"] or "") for r in near_copies.without_near_copies(docs).collect())
     assert got == [(1, other), (2, one), (4, ""), (99, "no id")]
     assert near_copies.without_near_copies(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("meeting", [2, 32])
+def test_common_passage_and_common_source(spark, monkeypatch, meeting):
+    """Texts that share most of a passage but are not similar, beside copies of one text that are similar to it alone."""
+    monkeypatch.setattr(near_copies, "MEETING", meeting)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(rng.randrange(8, 30))] + passage + [word() for _ in range(rng.randrange(5))]) for _ in range(150)]
+    source = [word() for _ in range(50)]
+    for _ in range(150):
+        words = list(source)
+        for at in rng.sample(range(50), rng.randrange(1, 3)):
+            words[at] = word()
+        texts.append(" ".join(words))
+    texts += [" ".join(source), "the same", " ".join(source[:40])]
+    rng.shuffle(texts)
+    roots = slow_roots(len(texts), slow_links(slow_sets(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in near_copies.without_near_copies(docs).select("doc_id").collect()}
+    assert got == {i for i in range(len(texts)) if roots[i] == i}
+
+
+def test_columns_of_any_name_and_type(spark):
+    rows = [(1, "one two three four five six", {"a": 1}), (1, "one two three four five six", {"a": 2}), (2, "one two three four five six", {"b": 1}), (3, "other", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, int>")
+    clashing = ("_key", "_id", "_of", "_n", "key", "row", "fp", "held", "band", "kept_id", "kept_key", "n", "root", "component", "one")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in clashing})
+    kept = near_copies.without_near_copies(docs)
+    got = {r["doc_id"]: r for r in kept.collect()}
+    assert kept.columns == docs.columns and sorted(got) == [1, 3]
+    assert got[1]["tags"] == {"a": 1} and all(got[3][c] == f"{c}3" for c in clashing)
