@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -37,6 +37,8 @@ from setgauge.llm.common import chunks, map_texts
 FIT_ROWS = 20_000
 #: Most learned terms; of more, those with the most evidence stay.
 MOST_TERMS = 5_000
+#: Terms that a task counts before it passes them on.
+MOST_COUNTED = 200_000
 #: A term must be in so many toxic texts, and so many times as often as in others (natural log).
 LEAST_TEXTS, LEAST_LOG_ODDS, LEAST_Z = 4, 2.0, 3.5
 #: Lengths of word beginnings that may become terms.
@@ -106,6 +108,16 @@ def weigh(words: list[str], model: Model) -> float:
     return math.fsum(heaviest.values())
 
 
+def weighed(texts: Iterable[str], model: Model) -> tuple[list[int], list[float]]:
+    """Number of words and weight of each text; the words of one text are held at a time."""
+    n, weight = [], []
+    for text in texts:
+        words = fold(text)
+        n.append(len(words))
+        weight.append(weigh(words, model))
+    return n, weight
+
+
 def features(weight, n):
     return np.log1p(weight), np.log1p(100.0 * np.asarray(weight) / np.maximum(n, 1))
 
@@ -122,8 +134,8 @@ def measure(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, weight)."""
 
     def work(texts):
-        folded = [fold(t) for t in texts]
-        return {"n_words": [len(w) for w in folded], "weight": [weigh(w, model) for w in folded]}
+        n, weight = weighed(texts, model)
+        return {"n_words": n, "weight": weight}
 
     return map_texts(docs, work, MEASURED)
 
@@ -132,8 +144,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, weight, score) for whole texts; the score is between 0 and 1."""
 
     def work(texts):
-        folded = [fold(t) for t in texts]
-        n, weight = [len(w) for w in folded], [weigh(w, model) for w in folded]
+        n, weight = weighed(texts, model)
         return {"n_words": n, "weight": weight, "score": curve(weight, n, model.curve)}
 
     return map_texts(docs, work, T.StructType([*MEASURED.fields, T.StructField("score", T.DoubleType())]))
@@ -144,8 +155,8 @@ def accepted(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            folded = [fold(t or "") for t in batch.column("text").to_pylist()]
-            scores = curve([weigh(w, model) for w in folded], [len(w) for w in folded], model.curve)
+            n, weight = weighed((t.as_py() or "" for t in batch.column("text")), model)
+            scores = curve(weight, n, model.curve)
             yield batch.filter(pa.array([x < below for x in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -180,8 +191,14 @@ def count_terms(rows: DataFrame) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            folded = [fold(t) for t in batch.column("text").to_pylist()]
-            columns = [pa.array([sketch(w) for w in folded], pa.int64()), batch.column("label").cast(pa.int32()), pa.array([sorted(set(w)) for w in folded], pa.list_(pa.string()))]
+            keys, terms = [], []
+            for text in batch.column("text"):
+                words = fold(text.as_py())
+                keys.append(sketch(words))
+                terms.append(pa.array(sorted(set(words)), pa.string()))
+            ends = np.cumsum([0, *map(len, terms)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([pa.array([], pa.string()), *terms]))
+            columns = [pa.array(keys, pa.int64()), batch.column("label").cast(pa.int32()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "label", "terms"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +214,12 @@ def count_terms(rows: DataFrame) -> DataFrame:
                 counted.clear()
 
         for batch in batches:
-            for label, words in zip(batch.column("label").to_pylist(), batch.column("terms").to_pylist()):
+            for label, words in zip(batch.column("label").to_pylist(), batch.column("terms")):
                 counted = counts[int(label >= 1)]
-                counted.update(candidates(words))
+                counted.update(candidates(words.as_py()))
                 counted[""] += 1
-            if len(counts[0]) + len(counts[1]) > 500_000:
-                yield from rows()
+                if len(counts[0]) + len(counts[1]) > MOST_COUNTED:
+                    yield from rows()
         yield from rows()
 
     once = rows.select("text", "label").mapInArrow(first, sketched).dropDuplicates(["key", "label"])
