@@ -240,18 +240,20 @@ def kept_pieces(data: bytes, stretches: list[list[int]]) -> list[bytes]:
     return [data[a:b] for a, b in zip(edges[::2], edges[1::2])]
 
 
-DIGEST = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+DIGEST = [
+    T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()),
+    T.StructField("n_kept", T.LongType()), T.StructField("text", T.StringType()),
+]
 
 
 def digests(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, and the text that is left (without halves of characters)."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *DIGEST])
 
     def work(row, data, stretches):
-        sha = hashlib.sha256()
-        for piece in kept_pieces(data, stretches):
-            sha.update(piece)
-        return row | {"n_bytes": len(data), "n_removed": sum(b - a for a, b in stretches), "n_spans": len(stretches), "kept_sha256": sha.hexdigest()}
+        kept = b"".join(kept_pieces(data, stretches)) if stretches else data
+        counts = {"n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(stretches), "n_kept": len(kept)}
+        return row | counts | {"kept_sha256": hashlib.sha256(kept).hexdigest(), "text": kept.decode("utf-8", "ignore")}
 
     return per_document(docs, repeats(docs, **settings), ["doc_id"], schema, work)
 
