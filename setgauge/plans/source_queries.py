@@ -130,9 +130,8 @@ def rep_report_reader(spark, sf):
     )
     one = one.withColumn("duration_s", F.col("rep_change_s") + F.col("rep_no") / 100).drop("rep_change_s")
     path = fresh_path(spark, "rep_reports")
-    texts = logs.rep_report_text(one).withColumnRenamed("set_id", "report")
-    texts.repartition("report").write.partitionBy("report").text(path)  # one file per set
-    return logs.read_rep_reports(spark, path).select(
+    logs.write_rep_reports(logs.rep_report_text(one), path)  # a file per set would be a listing and a task share per set
+    return logs.read_rep_reports(spark, path, logs.REPORT_END).select(
         "video_name", "pattern", F.size("durations_s").alias("rep_count"), F.round(F.array_max("durations_s"), 2).alias("longest_s")
     )
 

@@ -13,6 +13,8 @@ LAST_REP = r"Last rep\s*:\s*\((\d+),\s*(\d+)\)"
 D_VALUE = r"D value\s*:\s*([\d.]+)"
 REP_LINE = r"Rep \d+: ([\d.]+) seconds"
 FATIGUE = r"Fatigue \(Last - First\): (-?[\d.]+)s"
+#: Ends each report in a file that holds many (ASCII record separator).
+REPORT_END = "\x1e"
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +85,15 @@ def parse_rep_reports(reports: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def read_rep_reports(spark: SparkSession, path: str) -> DataFrame:
-    return parse_rep_reports(spark.read.text(path, wholetext=True))
+def read_rep_reports(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """Parsed reports: one per file, or with ``end`` any number in files that Spark may split between them."""
+    texts = spark.read.text(path, wholetext=True) if end is None else spark.read.text(path, lineSep=end)
+    return parse_rep_reports(texts)
+
+
+def write_rep_reports(texts: DataFrame, path: str, end: str = REPORT_END) -> None:
+    """Report texts (column ``value``) to a file per task, each text followed by ``end``."""
+    texts.select("value").write.text(path, lineSep=end)
 
 
 def rep_report_text(reps: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 import math
 import statistics
 
+
 from setgauge.operators import facial
+from setgauge.sources import logs
 
 
 def test_described_columns(spark):
@@ -24,3 +26,18 @@ def test_described_columns(spark):
             low = values[int(place)]
             high = values[min(int(place) + 1, len(values) - 1)]
             assert math.isclose(r[name], low + (high - low) * (place - int(place)))
+
+
+def test_reports_many_to_a_file(spark, tmp_path):
+    """The same rows from files of many reports as from one file per report, and far fewer files."""
+    rows = [(f"Squat {i}", k, 0.5 * k + i / 100, "TBT", "Squat") for i in range(300) for k in range(1, 1 + i % 4)]
+    texts = logs.rep_report_text(spark.createDataFrame(rows, "set_id string, rep_no int, duration_s double, pattern string, movement string"))
+    one = [r["value"] for r in texts.collect()]
+    for i, text in enumerate(one):
+        (tmp_path / f"r{i}.txt").write_text(text)
+    path = str(tmp_path / "many")
+    logs.write_rep_reports(texts.repartition(3), path)
+    assert len(list((tmp_path / "many").glob("part-*"))) == 3
+    got = logs.read_rep_reports(spark, path, logs.REPORT_END)
+    assert got.count() == len(one) == 225
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, logs.read_rep_reports(spark, f"{tmp_path}/r*.txt").collect()))
