@@ -73,9 +73,9 @@ def keypoint_reader(spark, sf):
         F.array(F.struct(pairs.alias("keypoints")))
     )
     path = fresh_path(spark, "keypoints")
-    packed.select("set_id", "frame_index", people.alias("people")).write.partitionBy("set_id").json(path)
-    raw = spark.read.schema(fr.KEYPOINT_FRAMES).option("allowNonNumericNumbers", True).json(path)
-    rows = fr.keypoint_rows(raw.withColumn("set_id", F.regexp_extract("_metadata.file_path", r"set_id=(\d+)", 1).cast("int")))
+    # a line names its set, so there are as many files as tasks, not as sets times tasks
+    packed.select("set_id", "frame_index", people.alias("people")).write.json(path)
+    rows = fr.read_keypoint_lines(spark, path, packed.schema["set_id"].dataType)
     return rows.select("set_id", "frame_index", "joint", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 

@@ -129,6 +129,12 @@ def read_keypoints(spark: SparkSession, path: str, suffix: str = "_keypoints") -
     return keypoint_rows(frames.withColumn("set_id", stem_of_path(F.col("_metadata.file_path"), suffix)))
 
 
+def read_keypoint_lines(spark: SparkSession, path: str, set_type: T.DataType) -> DataFrame:
+    """Keypoint JSON lines (one frame each, which names its set; NaN allowed) to joint rows."""
+    schema = T.StructType([T.StructField("set_id", set_type), *KEYPOINT_FRAMES.fields])
+    return keypoint_rows(spark.read.schema(schema).option("allowNonNumericNumbers", True).json(path))
+
+
 #: Fixed value: the first key of each frame in a keypoint file.
 FIRST_KEY = '"frame_index"'
 

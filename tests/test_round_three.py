@@ -3,9 +3,11 @@
 import math
 import statistics
 
+from pyspark.sql.types import IntegerType
 
 from setgauge.operators import facial
 from setgauge.sources import logs
+from setgauge.sources.frames import read_keypoint_lines
 
 
 def test_described_columns(spark):
@@ -41,3 +43,13 @@ def test_reports_many_to_a_file(spark, tmp_path):
     got = logs.read_rep_reports(spark, path, logs.REPORT_END)
     assert got.count() == len(one) == 225
     assert sorted(map(repr, got.collect())) == sorted(map(repr, logs.read_rep_reports(spark, f"{tmp_path}/r*.txt").collect()))
+
+
+def test_keypoint_lines(spark, tmp_path):
+    """Frames of many sets in one file; a frame without people and a missing joint give nulls."""
+    pairs = [[float(j), None if j == 3 else j / 2] for j in range(16)]
+    frames = [(s, f, [] if f == 1 else [([[x, float("nan") if y is None else y] for x, y in pairs],)]) for s in (-1, 0, 7) for f in (0, 1)]
+    schema = "set_id int, frame_index int, people array<struct<keypoints: array<array<double>>>>"
+    spark.createDataFrame(frames, schema).coalesce(1).write.json(f"{tmp_path}/k")
+    got = {(r["set_id"], r["frame_index"], r["joint"]): (r["x"], r["y"]) for r in read_keypoint_lines(spark, f"{tmp_path}/k", IntegerType()).collect()}
+    assert got == {(s, f, j): (None, None) if f == 1 else tuple(pairs[j]) for s in (-1, 0, 7) for f in (0, 1) for j in range(16)}
