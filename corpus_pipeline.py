@@ -33,7 +33,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 0.8 of their five-word shingles, that with the smallest id stays."""
+    """Of each group of documents linked by 0.8 of their five-word shingles, that with the smallest id stays.
+
+    SimHash gives the first candidates, bands of least hashes those whose fingerprints differ in more than two bits.
+    """
     return near_copies.without_near_copies(docs)
 
 

@@ -1,8 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of ``BANDS`` keys, each the hash of ``ROWS`` least hashes of a text's shingles. A
-pair of similarity s meets in some band with probability 1 - (1 - s^ROWS)^BANDS: 0.99994 at 0.8, more
-above. Every candidate pair is then compared exactly, over the full sets.
+The first candidates come from SimHash (``simhash.links``): texts whose fingerprints of three-word shingles differ in two
+bits or fewer. Pairs of 0.8 often differ in more, so others share one of ``BANDS`` keys, each the hash of ``ROWS`` least
+hashes of a text's shingles. A pair of similarity s meets in some band with probability 1 - (1 - s^ROWS)^BANDS: 0.99994
+at 0.8, more above. Every candidate pair, of either kind, is then compared exactly, over the full sets.
 
 Texts with the same set are one node. Every node is compared with three of the nodes that it meets:
 the smallest, the largest, and the one whose bands hold most nodes, which in a group of copies is what they
@@ -13,7 +14,7 @@ similar. Their nodes are indexed anew, by an exact prefix filter: the shingles o
 frequency among these nodes, and of these the first n - ceil(least n) + 1. Two sets with the similarity ``least`` share
 one of them, whatever the bands say, and a common passage is not among them unless it is most of a text. What comes
 before the first common one is not shared, which bounds what can be. Where nodes of different components share such a
-shingle and the bounds allow it, some outside the largest component, twice as many in each round, are
+shingle and the bounds allow it, some outside the largest component, four times as many in each round, are
 compared with all of the other components, until none is left that was not compared. So every pair is
 compared, linked through others, or proven to be less similar.
 
@@ -32,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setgauge.llm.common import chunks, components, cut, discard
+from setgauge.llm import simhash
+from setgauge.llm.common import chunks, components, cut, discard, release
 from setgauge.llm.simhash import WORDS
 
 SHINGLE, LEAST = 5, 0.8
@@ -91,16 +93,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, fp, n, bands): node, number of shingles and band keys of each row."""
+    """(doc_id, key, fp, n, bands, print): node, number of shingles, band keys and SimHash of each row."""
     picked = keyed(docs).select("doc_id", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            sets = [shingles(t or "") for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            sets = [shingles(t) for t in texts]
             columns = [pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], names=["doc_id", "key", "fp", "n", "bands"])
+            columns.append(pa.array([simhash.fingerprint(t) for t in texts], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], names=["doc_id", "key", "fp", "n", "bands", "print"])
 
-    return picked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp long, n int, bands array<long>")
+    return picked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp long, n int, bands array<long>, print long")
+
+
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b) of nodes that SimHash links, from (fp, print): those of one print with the smallest of them, and these with each other."""
+    least = prints.groupBy("print").agg(F.min("fp").alias("least"))
+    linked = simhash.links(least.select(F.col("print").alias("fp"), F.col("print").alias("first")))
+    of_a, of_b = (least.select(F.col("print").alias(c), F.col("least").alias(f"_{c}")) for c in "ab")
+    across = linked.join(of_a, "a").join(of_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = prints.join(least, "print").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    out = cut(across.union(same).where("a <> b").distinct(), "near-simhash")
+    discard(linked)
+    return out
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -178,23 +194,27 @@ def rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return useful
 
 
-def node_roots(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFrame:
-    """(fp, root) of the linked nodes of ``distinct`` (fp, n, bands, doc_id, key), one row per node."""
+def node_roots(docs: DataFrame, distinct: DataFrame, prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """(fp, root) of the linked nodes of ``distinct`` (fp, n, bands, doc_id, key), one row per node; ``prints`` has (fp, print)."""
+    spark = docs.sparkSession
     each = distinct.select("fp", "n", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.count("*").alias("held")).where("held > 1")
     met = cut(each.join(shared, "band"), "near-met")
-    sets = cut(shingle_sets(docs, distinct.join(met.select("fp").distinct(), "fp", "left_semi")), "near-sets")
+    alike = simhash_pairs(prints)
+    compared = met.select("fp").union(alike.select("a")).union(alike.select("b")).distinct()
+    sets = cut(shingle_sets(docs, distinct.join(compared, "fp", "left_semi")), "near-sets")
 
-    # every node with three of all that it meets; most groups of copies are one component after that
+    # SimHash's pairs, and every node with three of all that it meets; most groups of copies are one component after that
     crowd = met.groupBy("fp").agg(F.sum("held").alias("crowd"))
     central = F.max(F.struct("crowd", "fp"))
     ends = met.join(crowd, "fp").groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), central.alias("central"))
     seen = met.join(ends, "band").groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("central").alias("central"))
     stars = seen.select(F.explode(F.array("low", "high", "central.fp")).alias("a"), F.col("fp").alias("b")).where("a <> b")
-    pairs = cut(stars.distinct(), "near-pairs")
+    pairs = cut(stars.union(alike.select("a", "b")).distinct(), "near-pairs")
     links = cut(verified(pairs, sets, least), "near-links")
     roots = rooted(links)
-    discard(pairs)
+    discard(pairs, alike)
+    release(spark)
 
     few = met.where(F.col("held") <= MEETING).join(roots, "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root"))
     few = cut(few, "near-few")
@@ -205,19 +225,21 @@ def node_roots(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> Da
     links, old = cut(links.union(verified(pairs, sets, least)), "near-links"), (links, roots)
     roots = rooted(links)
     discard(few, pairs, *old)
+    release(spark)
 
     crowded = cut(met.where(F.col("held") > MEETING).select("fp", "n").distinct(), "near-crowded")
     large = rare_shingles(crowded, sets, least)
     first = large
     large = large.withColumn("led", F.lit(False))
     discard(met, crowded)
+    release(spark)
     step = 0
     while not large.isEmpty():
         own = F.coalesce("root", "fp")
         placed = cut(large.join(roots, "fp", "left").select("band", "fp", "n", "rest", "led", own.alias("root")), "near-placed")
         main = placed.groupBy("band", "root").agg(F.count("*").alias("held")).groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
         waiting = placed.where("NOT led").join(main, "band").where("root <> main")
-        part = F.pmod(F.xxhash64("fp"), F.lit(1 << step))
+        part = F.pmod(F.xxhash64("fp"), F.lit(1 << 2 * step))
         chosen = waiting.groupBy("band", part.alias("part")).agg(F.min(F.struct("fp", "n", "rest", "root")).alias("lead"))
         lead = {"a": "fp", "na": "n", "rest_a": "rest", "of_a": "root"}
         leaders = cut(chosen.select("band", *[F.col(f"lead.{c}").alias(k) for k, c in lead.items()]), "near-leaders")
@@ -234,6 +256,7 @@ def node_roots(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> Da
         still = placed.join(leaders.select("band").distinct(), "band", "left_semi").join(again, ["band", "fp"], "left")
         large = cut(still.select("band", "fp", "n", "rest", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "near-large")
         discard(placed, leaders, pairs, *old)
+        release(spark)
         step += 1
     discard(sets, links)
     return roots
@@ -245,9 +268,11 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("one")
     grouped = rows.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), one)
     distinct = cut(grouped.select("fp", "n", "bands", "one.doc_id", "one.key"), "near-nodes")
-    roots = node_roots(docs, distinct, least)
+    prints = cut(rows.select("fp", "print").distinct(), "near-prints")
+    roots = node_roots(docs, distinct, prints, least)
     groups = cut(rows.join(roots, "fp", "left").select("doc_id", "key", F.coalesce("root", "fp").alias("component")), "near-groups")
-    discard(rows, distinct, roots)
+    discard(rows, distinct, prints, roots)
+    release(docs.sparkSession)
     return groups
 
 

@@ -123,3 +123,20 @@ def test_columns_of_any_name_and_type(spark):
     got = {r["doc_id"]: r for r in kept.collect()}
     assert kept.columns == docs.columns and sorted(got) == [1, 3]
     assert got[1]["tags"] == {"a": 1} and all(got[3][c] == f"{c}3" for c in clashing)
+
+
+def test_simhash_gives_candidates(spark):
+    """Without a single band, texts that SimHash links are compared: one pair by equal prints, one within two bits, one not similar."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:200] + ["x"] + words[201:]), "a b c d e f g", "q r s t u v", "k l m n o p"]
+    fps = [int(near_copies.node(near_copies.shingles(t))) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_copies.keyed(docs).select("doc_id", "key").collect()
+    at = sorted((r["doc_id"], r["key"]) for r in rows)
+    nodes = [(fp, len(near_copies.shingles(t)), [], i, key) for fp, t, (i, key) in zip(fps, texts, at)]
+    distinct = spark.createDataFrame(nodes, "fp long, n int, bands array<long>, doc_id long, key long")
+    prints = spark.createDataFrame([(fps[0], 5), (fps[1], 6), (fps[2], 1 << 40), (fps[3], 1 << 40), (fps[4], -1)], "fp long, print long")
+    pairs = {tuple(sorted(r)) for r in near_copies.simhash_pairs(prints).collect()}
+    assert pairs == {tuple(sorted(fps[:2])), tuple(sorted(fps[2:4]))}
+    got = {r["fp"]: r["root"] for r in near_copies.node_roots(docs, distinct, prints).collect()}
+    assert got == {fps[0]: min(fps[:2]), fps[1]: min(fps[:2])}
