@@ -148,7 +148,7 @@ def long_units(frames: DataFrame, *keep: str) -> DataFrame:
     return detected_frames(frames).select("set_id", *keep, F.expr(f"stack({n}, {pairs}) AS (au, value)"))
 
 
-def unit_statistics(frames: DataFrame, frame: str = "frame") -> DataFrame:
+def unit_statistics(frames: DataFrame) -> DataFrame:
     """Full statistics of each action unit of each set: one row per set and unit with a value.
 
     All units of a frame stay in its row; only the statistics of a set are turned to one row per unit.
@@ -174,7 +174,7 @@ def unit_statistics(frames: DataFrame, frame: str = "frame") -> DataFrame:
     plain = detected.groupBy("set_id").agg(F.array(*parts).alias("units")).select("set_id", F.inline("units")).filter(F.col("mean").isNotNull())
     marks = {"q10": 0.10, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.90}
     known = detected.filter(F.col("set_id").isNotNull())
-    ranks = wide_percentiles(known, "set_id", [f"{au}_r" for au in aus], marks, block_of(frame))
+    ranks = wide_percentiles(known, "set_id", [f"{au}_r" for au in aus], marks)
     named = ranks.withColumn("au", F.element_at(F.array(*[F.lit(au) for au in aus]), F.col("c") + 1)).drop("c")
     ratio = F.when(F.col("q10") > 0.01, F.col("q90") / F.col("q10")).otherwise(F.lit(0.0))
     return plain.join(named, ["set_id", "au"]).withColumn("peak_baseline_ratio", ratio)

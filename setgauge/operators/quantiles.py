@@ -120,11 +120,13 @@ def exact_percentiles(
 #
 # A double as a signed whole number of 64 bits, its magnitude bits turned over where it is negative, sorts as the
 # double does. The first ``TOP_BITS`` of that number (sign, exponent and the first digits) are its bin. One pass counts
-# bins, one row per set, column and bin; the bins that hold a wanted rank are then read value by value.
+# bins, one row per set, column and bin, with the least and largest value; of the bins that hold a wanted rank, those
+# with more than one value are then read value by value.
 
 TOP_BITS = 20
 _LOW_BITS = 64 - TOP_BITS
 _REST = (1 << 63) - 1
+_HALF = 1 << (TOP_BITS - 1)
 
 
 def ordered_bits(values: np.ndarray) -> np.ndarray:
@@ -148,32 +150,32 @@ def _count_bins(columns: Sequence[str]):
                 known = column.is_valid().to_numpy(zero_copy_only=False)
                 if not known.any():
                     continue
-                bins = ordered_bits(column.fill_null(0.0).to_numpy(zero_copy_only=False)[known]) >> _LOW_BITS
-                pairs, counts = np.unique(np.stack((codes[known], bins)), axis=1, return_counts=True)
-                arrays = [keys.dictionary.take(pa.array(pairs[0])), pa.array(np.full(len(counts), c, np.int32)), pa.array(pairs[1]), pa.array(counts)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "c", "bin", "n"])
+                values = ordered_bits(column.fill_null(0.0).to_numpy(zero_copy_only=False)[known])
+                pairs = (codes[known].astype(np.int64) << TOP_BITS) + (values >> _LOW_BITS) + _HALF
+                order = np.argsort(pairs)
+                pairs, values = pairs[order], values[order]
+                firsts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+                counts = np.diff(np.append(firsts, len(pairs)))
+                owners, bins = pairs[firsts] >> TOP_BITS, (pairs[firsts] & ((1 << TOP_BITS) - 1)) - _HALF
+                least, most = (from_ordered_bits(f.reduceat(values, firsts)) for f in (np.minimum, np.maximum))
+                arrays = [keys.dictionary.take(pa.array(owners)), pa.array(np.full(len(counts), c, np.int32)), *map(pa.array, (bins, counts, least, most))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "c", "bin", "n", "least", "most"])
 
     return run
 
 
-def _with_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        first = batch.column("bin").to_numpy() << _LOW_BITS
-        bounds = [pa.array(from_ordered_bits(first)), pa.array(from_ordered_bits(first + ((1 << _LOW_BITS) - 1)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *bounds], names=[*batch.schema.names, "least", "most"])
-
-
-def wide_percentiles(df: DataFrame, key: str, columns: Sequence[str], probs: dict[str, float], block: Column) -> DataFrame:
+def wide_percentiles(df: DataFrame, key: str, columns: Sequence[str], probs: dict[str, float], block: Column | None = None) -> DataFrame:
     """(key, c, one column per entry of ``probs``) for the number c of each of ``columns``.
 
     As :func:`exact_percentiles` of each column, without a row per value: all columns of a row stay in
-    it until only the few values in wanted bins are left. ``block`` numbers bounded pieces of a key from 0. Keys must not be null.
+    it until only the few values in wanted bins are left. ``block`` numbers bounded pieces of a key from 0; without it, a large
+    key is left to adaptive execution, which splits the rows' side of the join. Keys must not be null.
     """
     names = sorted(probs, key=probs.get)
-    rows = df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in columns], block.alias("block"))
+    rows = df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in columns], *([] if block is None else [block.alias("block")]))
     key_type = rows.schema["key"].dataType.simpleString()
-    counted = rows.select("key", *columns).mapInArrow(_count_bins(columns), f"key {key_type}, c int, bin long, n long")
-    bins = cut_lineage(counted.groupBy("key", "c", "bin").agg(F.sum("n").alias("n")), "bins")
+    counted = rows.select("key", *columns).mapInArrow(_count_bins(columns), f"key {key_type}, c int, bin long, n long, least double, most double")
+    bins = cut_lineage(counted.groupBy("key", "c", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")), "bins")
 
     whole = Window.partitionBy("key", "c")
     running = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -183,15 +185,19 @@ def wide_percentiles(df: DataFrame, key: str, columns: Sequence[str], probs: dic
         first = F.floor(F.lit(float(probs[name])) * (F.col("total") - 1)) + 1
         ranks += [F.struct(F.lit(2 * i).alias("j"), first.alias("rank")), F.struct(F.lit(2 * i + 1).alias("j"), F.least(first + 1, F.col("total")).alias("rank"))]
     inside = F.filter(F.array(*ranks), lambda r: (r["rank"] > F.col("upto") - F.col("n")) & (r["rank"] <= F.col("upto")))
-    wanted = placed.withColumn("r", F.explode(inside)).select("key", "c", "bin", "total", "r.j", (F.col("r.rank") - F.col("upto") + F.col("n")).alias("rest"))
-    bounded = f"key {key_type}, c int, bin long, total long, j int, rest long, least double, most double"
-    wanted = cut_lineage(wanted.mapInArrow(_with_bounds, bounded), "wanted_ranks")
+    rest = (F.col("r.rank") - F.col("upto") + F.col("n")).alias("rest")
+    wanted = placed.withColumn("r", F.explode(inside)).select("key", "c", "bin", "total", "r.j", rest, "least", "most")
+    wanted = cut_lineage(wanted, "wanted_ranks")
+    mixed = wanted.filter("least <> most")  # bins of several values; the others hold no question
 
     cells = F.struct("bin", "least", "most")
     of_column = [F.collect_set(F.when(F.col("c") == c, cells)).alias(f"_w{c}") for c in range(len(columns))]
-    last = rows.groupBy("key").agg(F.max("block").alias("last_block"))
-    per_key = spread(wanted.groupBy("key").agg(*of_column).join(last, "key"))
-    met = rows.join(per_key, ["key", "block"])
+    per_key = mixed.groupBy("key").agg(*of_column)
+    if block is None:
+        met = rows.join(per_key, "key")
+    else:
+        last = rows.groupBy("key").agg(F.max("block").alias("last_block"))
+        met = rows.join(spread(per_key.join(last, "key")), ["key", "block"])
 
     def matches(c: int, name: str) -> Column:
         hit = F.filter(f"_w{c}", lambda w: (F.col(name) >= w["least"]) & (F.col(name) <= w["most"]))
@@ -201,7 +207,9 @@ def wide_percentiles(df: DataFrame, key: str, columns: Sequence[str], probs: dic
     values = few.groupBy("key", "m.c", "m.bin", "m.v").agg(F.count(F.lit(1)).alias("n"))
     in_bin = Window.partitionBy("key", "c", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("upto", F.sum("n").over(in_bin))
-    found = wanted.join(values, ["key", "c", "bin"]).filter((F.col("rest") > F.col("upto") - F.col("n")) & (F.col("rest") <= F.col("upto")))
+    found = mixed.join(values, ["key", "c", "bin"]).filter((F.col("rest") > F.col("upto") - F.col("n")) & (F.col("rest") <= F.col("upto")))
+    single = wanted.filter("least = most").select("key", "c", "total", "j", F.col("least").alias("v"))
+    found = found.select("key", "c", "total", "j", "v").unionByName(single)
     picks = [F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"_{j}") for j in range(2 * len(names))]
     per_column = found.groupBy("key", "c", "total").agg(*picks)
 

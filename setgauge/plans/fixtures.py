@@ -61,9 +61,11 @@ def success() -> "F.Column":
     return F.when(F.col("l_returnflag") == "R", 0).otherwise(1)
 
 
-def au_frame(spark: SparkSession, sf_dir: str, frames: bool = True) -> DataFrame:
-    """``frames=False`` leaves out the frame numbers for order-free work."""
+def au_frame(spark: SparkSession, sf_dir: str, frames: bool = True, dated: bool = False) -> DataFrame:
+    """``frames=False`` leaves out the frame numbers for order-free work; with ``dated`` the rows are those that have numbers."""
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "set_id")
+    if dated:
+        lines = lines.filter("set_id IS NOT NULL AND l_shipdate IS NOT NULL")
     if frames:
         order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
         lines = tracks.number_rows(lines, ["set_id"], order, F.date_trunc("DAY", "l_shipdate"), "frame")

@@ -3,9 +3,11 @@
 import math
 import statistics
 
+import numpy as np
 from pyspark.sql.types import IntegerType
 
 from setgauge.operators import facial
+from setgauge.operators.quantiles import wide_percentiles
 from setgauge.sources import logs
 from setgauge.sources.frames import read_keypoint_lines
 
@@ -53,3 +55,19 @@ def test_keypoint_lines(spark, tmp_path):
     spark.createDataFrame(frames, schema).coalesce(1).write.json(f"{tmp_path}/k")
     got = {(r["set_id"], r["frame_index"], r["joint"]): (r["x"], r["y"]) for r in read_keypoint_lines(spark, f"{tmp_path}/k", IntegerType()).collect()}
     assert got == {(s, f, j): (None, None) if f == 1 else tuple(pairs[j]) for s in (-1, 0, 7) for f in (0, 1) for j in range(16)}
+
+
+def test_percentiles_without_blocks(spark):
+    """Bins of one value and of several, both signs, a column without values in a set."""
+    rng = np.random.default_rng(5)
+    steps = rng.integers(-6, 7, 900) / 4
+    dense = 1000 + rng.random(900) / 8  # all in one bin
+    rows = [(i % 3, float(steps[i]), float(dense[i]) if i % 3 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "set_id long, a double, b double").repartition(5)
+    probs = {"q10": 0.1, "median": 0.5, "q90": 0.9}
+    got = {(r["set_id"], r["c"]): r for r in wide_percentiles(df, "set_id", ["a", "b"], probs).collect()}
+    assert sorted(got) == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1)]
+    for (s, c), r in got.items():
+        values = [x[1 + c] for x in rows if x[0] == s]
+        for name, p in probs.items():
+            assert math.isclose(r[name], np.quantile(values, p), rel_tol=1e-12, abs_tol=1e-12)
