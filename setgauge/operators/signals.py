@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import snap
+from ..session import cut_lineage
 from . import tracks
 from .tracks import SET, block_of, block_window, bracket, with_halo
 
@@ -43,13 +44,14 @@ def fill_gaps(
     pos: str = "pos",
     all_missing: float | None = 0.0,
     min_valid: int = 0,
+    rows: int | None = None,
 ) -> DataFrame:
     """Linear fill between valid samples, constant at both ends.
 
     A set without any valid sample gets ``all_missing``; a set with fewer than
-    ``min_valid`` valid samples keeps its values untouched.
+    ``min_valid`` valid samples keeps its values untouched. ``rows`` as in ``tracks.dealt``.
     """
-    marked = bracket(df, [value], F.col(value).isNotNull(), keys, pos)
+    marked = bracket(df, [value], F.col(value).isNotNull(), keys, pos, rows=rows)
     line = _between("prev", "next", value, pos)
     if all_missing is not None:
         line = F.coalesce(line, F.lit(float(all_missing)))
@@ -178,9 +180,9 @@ def smooth_signal(
 
 
 def ema_signal(
-    df: DataFrame, value: str, out: str, alpha: float = 0.35, keys: Sequence[str] = SET, grid_bits: int | None = 30
+    df: DataFrame, value: str, out: str, alpha: float = 0.35, keys: Sequence[str] = SET, grid_bits: int | None = 30, rows: int | None = None
 ) -> DataFrame:
-    halo = with_halo(df, ema_reach(alpha), 0, ema_block(alpha))
+    halo = tracks.dealt(with_halo(df, ema_reach(alpha), 0, ema_block(alpha)), [*keys, "block"], rows)
     return ema(halo, value, alpha, out, keys, grid_bits).filter("home").drop("block", "home")
 
 
@@ -279,11 +281,13 @@ def observed_downsample(df: DataFrame, target_fps: float, keys: Sequence[str] =
     """
     from .quantiles import exact_percentiles
 
-    placed = tracks.frame_positions(df, keys, order)
-    halo = with_halo(placed, 1, 0)
-    steps = (
+    placed = cut_lineage(tracks.frame_positions(df, keys, order), "placed")  # numbered once for the steps, their median and the rows
+    halo = with_halo(placed.select(*keys, "pos", "timestamp"), 1, 0)
+    steps = cut_lineage(
         halo.withColumn("_dt", F.col("timestamp") - F.lag("timestamp").over(block_window(keys)))
         .filter("home AND _dt IS NOT NULL")
+        .select(*keys, "pos", "_dt"),
+        "steps",
     )
     median = exact_percentiles(steps, keys, F.col("_dt"), {"_step": 0.5}, block_of("pos"))
     spans = placed.groupBy(*keys).agg(tracks.last_block())

@@ -23,6 +23,17 @@ from pyspark.sql import functions as F
 
 BLOCK = 8192
 SET = ("set_id",)
+#: Rows that one task of :func:`dealt` holds on average.
+ROWS_PER_TASK = 250_000
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as its number of ``rows`` asks for; unknown or few: as it is.
+
+    Adaptive execution joins partitions by their compressed bytes, of which many rows may have few.
+    """
+    parts = -(-(rows or 0) // ROWS_PER_TASK)
+    return df.repartition(parts, *keys) if parts > 1 else df
 
 
 def block_of(pos: Column | str, size: int | None = None) -> Column:
@@ -115,14 +126,15 @@ def bracket(
     pos: str = "pos",
     strict_next: bool = False,
     strict_prev: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Nearest valid rows around every row of a track.
 
     Adds ``prev`` (at or before) and ``next`` (at or after) as structs of
     ``pos`` and ``values``, and ``n_valid`` of the whole track. ``strict_*``
-    leave the row itself out.
+    leave the row itself out. ``rows`` as in :func:`dealt`.
     """
-    blocked = df.withColumn("block", block_of(pos)).withColumn(
+    blocked = dealt(df.withColumn("block", block_of(pos)), [*keys, "block"], rows).withColumn(
         "_here", F.when(valid, F.struct(F.col(pos).alias("pos"), *values))
     )
     start = Window.unboundedPreceding

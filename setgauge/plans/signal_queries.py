@@ -177,9 +177,11 @@ ALPHAS = (0.03, 0.28, 0.5, 0.9, 1.0)
     ),
 )
 def exponential_averages(spark, sf):
-    filled = cut_lineage(signals.fill_gaps(fx.frame_signal(spark, sf), "y").select("set_id", "pos", "y"), "filled")
+    signal = cut_lineage(fx.frame_signal(spark, sf).select("set_id", "pos", "y"), "signal")
+    rows = signal.count()
+    filled = cut_lineage(signals.fill_gaps(signal, "y", rows=rows), "filled")
     parts = [
-        signals.ema_signal(filled, "y", "z", alpha, grid_bits=None).select("set_id", "pos", F.lit(alpha).alias("alpha"), r6(F.col("z")).alias("y_ema"))
+        signals.ema_signal(filled, "y", "z", alpha, grid_bits=None, rows=rows).select("set_id", "pos", F.lit(alpha).alias("alpha"), r6(F.col("z")).alias("y_ema"))
         for alpha in ALPHAS
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
