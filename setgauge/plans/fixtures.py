@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tracks
@@ -124,10 +124,22 @@ def set_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines_of_sets(spark: SparkSession, sf_dir: str, columns: list, keep) -> DataFrame:
+def _lines_of_sets(spark: SparkSession, sf_dir: str, values: dict, keep) -> GroupedData:
+    """The lines of each set, added up per order before they meet their sets; :func:`_mean` adds up the rest.
+
+    ``values`` are aggregates of lines by name. An order that comes more than once gives a row each time.
+    """
     labels = set_label(spark, sf_dir).select("set_no", "set_id").filter(keep)
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("set_no"), *columns)
-    return labels.join(lines, "set_no")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("set_no")).agg(*[v.alias(n) for n, v in values.items()])
+    return labels.join(lines, "set_no").groupBy("set_id", "set_no")  # a set_id names one set_no
+
+
+def _sum_count(name: str, value) -> dict:
+    return {f"{name}_sum": F.sum(value), f"{name}_n": F.count(value)}
+
+
+def _mean(name: str):
+    return F.sum(f"{name}_sum") / F.nullif(F.sum(f"{name}_n"), F.lit(0))
 
 
 def bar_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,14 +148,11 @@ def bar_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bar_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 5 <> 0") -> DataFrame:
-    return (
-        _lines_of_sets(spark, sf_dir, ["l_quantity"], where)
-        .groupBy(F.concat("set_id", F.lit(".mp4")).alias("video_name"))
-        .agg(
-            F.count(F.lit(1)).alias("rep_count"),
-            ((F.max("l_quantity") - F.min("l_quantity")) / 10).alias("rep_change_s"),
-        )
+    values = {"n": F.count(F.lit(1)), "most": F.max("l_quantity"), "least": F.min("l_quantity")}
+    summed = _lines_of_sets(spark, sf_dir, values, where).agg(
+        F.sum("n").alias("rep_count"), ((F.max("most") - F.min("least")) / 10).alias("rep_change_s")
     )
+    return summed.select(F.concat("set_id", F.lit(".mp4")).alias("video_name"), "rep_count", "rep_change_s")
 
 
 def face_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,17 +161,11 @@ def face_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def face_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 4 <> 3") -> DataFrame:
-    values = [v.alias(au) for au, v in au_values().items()]
-    lines = _lines_of_sets(
-        spark,
-        sf_dir,
-        [success().cast("double").alias("_ok"), (1.0 - F.col("l_discount") * 5).alias("_conf"), *values],
-        where,
-    )
     ok = F.col("set_no") % 11 != 0
-    stats = lines.groupBy("set_id", "set_no").agg(
-        F.avg("_ok").alias("detection_rate"),
-        F.avg("_conf").alias("confidence_mean"),
+    values = _sum_count("_ok", success().cast("double")) | _sum_count("_conf", 1.0 - F.col("l_discount") * 5)
+    stats = _lines_of_sets(spark, sf_dir, values | {au: F.max(v) for au, v in au_values().items()}, where).agg(
+        _mean("_ok").alias("detection_rate"),
+        _mean("_conf").alias("confidence_mean"),
         *[F.max(au).alias(f"{au}_max") for au in AUS],
     )
     return stats.select(
@@ -178,11 +181,8 @@ def posture_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posture_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 7 <> 0") -> DataFrame:
-    return (
-        _lines_of_sets(spark, sf_dir, ["l_discount"], where)
-        .groupBy(F.col("set_id").alias("video_name"))
-        .agg((F.avg("l_discount") * 20).alias("d_value"))
-    )
+    summed = _lines_of_sets(spark, sf_dir, _sum_count("_d", F.col("l_discount")), where).agg((_mean("_d") * 20).alias("d_value"))
+    return summed.select(F.col("set_id").alias("video_name"), "d_value")
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

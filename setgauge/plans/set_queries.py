@@ -571,7 +571,8 @@ def _compared(spark, sf):
     ),
 )
 def feature_set_difference(spark, sf):
-    return asm.compare_features(*_compared(spark, sf))
+    sets = fx.table(spark, sf, "orders").count()
+    return asm.compare_features(*_compared(spark, sf), rows=sets * (2 + len(COMPARED)))
 
 
 @query(
