@@ -47,3 +47,17 @@ def test_fits_share_rows_and_scaling(spark, monkeypatch):
     assert fitted.predict(rows).count() == 60
     monkeypatch.setattr(model, "ROWS_AT_ONCE", 130)
     assert [model.fits_at_once(rows), model.fits_at_once(rows.limit(0)), model.fits_at_once(rows.union(rows).union(rows))] == [2, 4, 1]
+
+
+def test_a_fit_reads_its_rows_in_bounded_pieces(spark, monkeypatch):
+    """However large the files of vectors are, a task gets so many bytes of them, and no row is lost."""
+    monkeypatch.setattr(model, "VECTOR_BYTES", 1 << 20, raising=False)
+    names = [f"f{i}" for i in range(12)]
+    cells = [((F.col("id") * (i + 3)) % 1009 + 0.5).alias(c) for i, c in enumerate(names)]
+    rows = model.vectors(spark.range(0, 60_000, 1, 1).select(F.col("id").alias("set_id"), (F.col("id") % 19 / 2.0).alias("rpe"), *cells), names)
+    held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 60_000 and max(held) < 15_000
+    assert rows.agg(F.countDistinct("set_id")).first()[0] == 60_000
+    fitted = model.fit_booster(rows, model.fit_scaling(rows, names), "rpe", model.Booster("squared", rounds=1, depth=2, bins=8), "pred_a")
+    assert fitted.transform(rows.select("set_id", "rpe", *[F.lit(1.0).alias(c) for c in names])).count() == 60_000
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) > 1 << 20
