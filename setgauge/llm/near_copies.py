@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setgauge.llm import simhash
-from setgauge.llm.common import chunks, components, cut, discard, release
+from setgauge.llm.common import chunks, components, cut, discard, release, small_batches
 from setgauge.llm.simhash import WORDS
 
 SHINGLE, LEAST = 5, 0.8
@@ -264,12 +264,13 @@ def node_roots(docs: DataFrame, distinct: DataFrame, prints: DataFrame, least: f
 
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, key, component): rows with one component are linked by similarities of ``least`` or more."""
-    rows = cut(sketches(docs), "near-sketches")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("one")
-    grouped = rows.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), one)
-    distinct = cut(grouped.select("fp", "n", "bands", "one.doc_id", "one.key"), "near-nodes")
-    prints = cut(rows.select("fp", "print").distinct(), "near-prints")
-    roots = node_roots(docs, distinct, prints, least)
+    with small_batches(docs.sparkSession):  # a pair holds two sets, some 10 kB
+        rows = cut(sketches(docs), "near-sketches")
+        one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("one")
+        grouped = rows.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), one)
+        distinct = cut(grouped.select("fp", "n", "bands", "one.doc_id", "one.key"), "near-nodes")
+        prints = cut(rows.select("fp", "print").distinct(), "near-prints")
+        roots = node_roots(docs, distinct, prints, least)
     groups = cut(rows.join(roots, "fp", "left").select("doc_id", "key", F.coalesce("root", "fp").alias("component")), "near-groups")
     discard(rows, distinct, prints, roots)
     release(docs.sparkSession)

@@ -140,3 +140,25 @@ def test_simhash_gives_candidates(spark):
     assert pairs == {tuple(sorted(fps[:2])), tuple(sorted(fps[2:4]))}
     got = {r["fp"]: r["root"] for r in near_copies.node_roots(docs, distinct, prints).collect()}
     assert got == {fps[0]: min(fps[:2]), fps[1]: min(fps[:2])}
+
+
+def test_rows_go_to_python_in_bounded_batches(spark, monkeypatch):
+    """Texts and pairs of sets are bounded by bytes, not by a number of rows; the session's own setting is left as it was."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    plain = near_copies.sketches
+
+    def linked(docs, distinct, prints, least):
+        seen.append(spark.conf.get(key, None))
+        return distinct.select("fp", F.col("fp").alias("root"))
+
+    monkeypatch.setattr(near_copies, "sketches", lambda docs: (seen.append(spark.conf.get(key, None)), plain(docs))[1])
+    monkeypatch.setattr(near_copies, "node_roots", linked)
+    docs = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, None)], "doc_id long, text string")
+    assert near_copies.near_copies(docs).count() == 3
+    assert all(seen) and spark.conf.get(key, None) is None
+    spark.conf.set(key, "1000000")
+    try:
+        near_copies.near_copies(docs)
+        assert seen[2:] == ["1000000"] * 2 and spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
