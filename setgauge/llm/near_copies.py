@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setgauge.llm import simhash
-from setgauge.llm.common import chunks, components, cut, discard, release, small_batches
+from setgauge.llm.common import chunks, components, cut, discard, gathered, release, small_batches
 from setgauge.llm.simhash import WORDS
 
 SHINGLE, LEAST = 5, 0.8
@@ -162,7 +162,7 @@ def rooted(links: DataFrame) -> DataFrame:
     found = components(links, "near-roots")
     out = cut(found.select(F.col("node").alias("fp"), "root"), "near-rooted")
     discard(found)
-    return out
+    return gathered(out)
 
 
 def rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -228,7 +228,7 @@ def node_roots(docs: DataFrame, distinct: DataFrame, prints: DataFrame, least: f
     release(spark)
 
     crowded = cut(met.where(F.col("held") > MEETING).select("fp", "n").distinct(), "near-crowded")
-    large = rare_shingles(crowded, sets, least)
+    large = gathered(rare_shingles(crowded, sets, least))
     first = large
     large = large.withColumn("led", F.lit(False))
     discard(met, crowded)
@@ -237,8 +237,9 @@ def node_roots(docs: DataFrame, distinct: DataFrame, prints: DataFrame, least: f
     while not large.isEmpty():
         own = F.coalesce("root", "fp")
         placed = cut(large.join(roots, "fp", "left").select("band", "fp", "n", "rest", "led", own.alias("root")), "near-placed")
-        main = placed.groupBy("band", "root").agg(F.count("*").alias("held")).groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
-        waiting = placed.where("NOT led").join(main, "band").where("root <> main")
+        together = gathered(placed)  # the comparisons below are spread over tasks all the same
+        main = together.groupBy("band", "root").agg(F.count("*").alias("held")).groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
+        waiting = together.where("NOT led").join(main, "band").where("root <> main")
         part = F.pmod(F.xxhash64("fp"), F.lit(1 << 2 * step))
         chosen = waiting.groupBy("band", part.alias("part")).agg(F.min(F.struct("fp", "n", "rest", "root")).alias("lead"))
         lead = {"a": "fp", "na": "n", "rest_a": "rest", "of_a": "root"}
@@ -252,9 +253,10 @@ def node_roots(docs: DataFrame, distinct: DataFrame, prints: DataFrame, least: f
         pairs = cut(facing.select("a", F.col("fp").alias("b")).distinct(), "near-pairs")
         links, old = cut(links.union(verified(pairs, sets, least)), "near-links"), (links, roots)
         roots = rooted(links)
-        again = leaders.select("band", F.col("a").alias("fp"), F.lit(True).alias("now"))
-        still = placed.join(leaders.select("band").distinct(), "band", "left_semi").join(again, ["band", "fp"], "left")
-        large = cut(still.select("band", "fp", "n", "rest", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "near-large")
+        led = gathered(leaders)
+        again = led.select("band", F.col("a").alias("fp"), F.lit(True).alias("now"))
+        still = together.join(led.select("band").distinct(), "band", "left_semi").join(again, ["band", "fp"], "left")
+        large = gathered(cut(still.select("band", "fp", "n", "rest", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "near-large"))
         discard(placed, leaders, pairs, *old)
         release(spark)
         step += 1
