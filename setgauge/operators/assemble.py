@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
@@ -17,6 +18,8 @@ from .tracks import dealt
 HEAD_COLUMNS = ["video_name", "rpe", "rep_change_s", "rep_count"]
 LEAKAGE = ["total_frames", "detection_count"]
 AU_MAX = re.compile(r"AU\d+_max")
+#: Rows of both tables that a parity check joins at once.
+ROWS_JOINED = 16_000_000
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -197,16 +200,19 @@ def table_parity(expected: DataFrame, produced: DataFrame, features: Sequence[st
     agree = F.coalesce((F.col("n") == F.col("n_got")) & (F.col("digest") == F.col("digest_got")), F.lit(False))
     equal = met.filter(agree)
     parts = [equal.agg(*[F.struct(F.sum(f).alias("want"), F.sum(f).alias("got"), F.sum("n").alias("same"), F.lit(True).alias("all")).alias(f) for f in features])]
-    odd = met.filter(~agree).select("bucket")
-    if not odd.isEmpty():
-        left, right = (df.withColumn("bucket", _bucket(key, buckets)).join(odd, "bucket", "left_semi").drop("bucket") for df in (want, got))
-        joined = left.alias("w").join(right.alias("g"), key, "full_outer")
-
-        def compared(f: str) -> Column:
-            same = F.col(f"w.{f}").eqNullSafe(F.col(f"g.{f}"))
-            return F.struct(F.count(f"w.{f}").alias("want"), F.count(f"g.{f}").alias("got"), F.count(F.when(same, F.lit(1))).alias("same"), F.min(same).alias("all")).alias(f)
-
-        parts.append(joined.agg(*[compared(f) for f in features]))
+    odd = met.filter(~agree)
+    rows = odd.agg(F.sum(F.coalesce("n", F.lit(0)) + F.coalesce("n_got", F.lit(0)))).first()[0]
+
+    def compared(f: str) -> Column:
+        same = F.col(f"w.{f}").eqNullSafe(F.col(f"g.{f}"))
+        return F.struct(F.count(f"w.{f}").alias("want"), F.count(f"g.{f}").alias("got"), F.count(F.when(same, F.lit(1))).alias("same"), F.min(same).alias("all")).alias(f)
+
+    slices = math.ceil((rows or 0) / ROWS_JOINED)
+    for i in range(slices):  # one after another, so that the disk holds the shuffle of one slice
+        mine = odd.filter(F.col("bucket") % slices == i).select("bucket")
+        left, right = (df.withColumn("bucket", _bucket(key, buckets)).join(mine, "bucket", "left_semi").drop("bucket") for df in (want, got))
+        joined = left.alias("w").join(right.alias("g"), key, "full_outer").agg(*[compared(f) for f in features])
+        parts.append(cut_lineage(joined, "compared"))
     both = reduce(DataFrame.unionByName, parts)
     rows = both.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("c")) for f in features])).alias("r"))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))

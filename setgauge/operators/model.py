@@ -34,9 +34,7 @@ TOP_FEATURES = 10
 ROWS_AT_ONCE = 32_000_000
 #: Values (rows times features) of a fit that runs in one task, which holds about ten bytes for each; larger fits are spread by MLlib.
 TASK_VALUES = 16_000_000
-#: Files about as large as their rows in memory.
-PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
-#: Bytes of such files that a task of a fit reads at most; what MLlib keeps of the rows is about three times as large.
+#: Bytes of vectors, as they are in memory, that a task of a fit reads at most; what MLlib keeps of the rows is about three times as large.
 VECTOR_BYTES = 32 << 20
 
 
@@ -154,11 +152,11 @@ def training_pipeline(
 def vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """The rows with their features in one column, written once.
 
-    A fit passes over its rows many times, and would assemble them in each pass. The files are about as large as the
-    rows in memory, so that reading them gives tasks of a bounded number of rows.
+    A fit passes over its rows many times, and would assemble them in each pass. Files are compressed and have a bounded
+    number of rows, and so have the tasks that read them.
     """
     made = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-    return cut_lineage(made.drop(*features), "vectors", VECTOR_BYTES, **PLAIN)
+    return cut_lineage(made.drop(*features), "vectors", max(1, VECTOR_BYTES // (8 * max(1, len(features)))), compression="zstd")
 
 
 def fit_scaling(rows: DataFrame, features: Sequence[str]) -> PipelineModel:

@@ -7,6 +7,7 @@ for the side-by-side check. Row numbers go through ``tracks.number_rows``.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,17 +40,23 @@ def frame_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def au_values() -> dict:
+def au_values(of: Callable = lambda raw: raw, key: str = "l_orderkey") -> dict:
+    """Intensities from columns of a line, or, with ``of`` the maximum, the largest ones: none falls where its column rises.
+
+    ``key`` is what the lines are grouped by: one value for all of them.
+    """
+
     def scaled(name, factor, by):
-        return ((F.col(name) * factor) % 500 / by).cast("double")
+        raw = (F.col(key if name == "l_orderkey" else name) * factor) % 500
+        return ((raw if name == "l_orderkey" else of(raw)) / by).cast("double")
 
     return {
-        "AU04": (F.col("l_quantity") / 10.0).cast("double"),
-        "AU06": (F.col("l_discount") * 50).cast("double"),
-        "AU07": (F.col("l_tax") * 60).cast("double"),
+        "AU04": (of(F.col("l_quantity")) / 10.0).cast("double"),
+        "AU06": (of(F.col("l_discount")) * 50).cast("double"),
+        "AU07": (of(F.col("l_tax")) * 60).cast("double"),
         "AU09": scaled("l_partkey", 1, 100.0),
         "AU10": scaled("l_orderkey", 1, 100.0),
-        "AU12": ((F.col("l_linenumber") % 6) * 0.45).cast("double"),
+        "AU12": (of(F.col("l_linenumber") % 6) * 0.45).cast("double"),
         "AU17": scaled("l_partkey", 7, 300.0),
         "AU20": scaled("l_orderkey", 3, 400.0),
         "AU25": scaled("l_orderkey", 11, 100.0),
@@ -108,26 +115,35 @@ def pose_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _lift(no) -> "F.Column":
+    return F.when(no % 3 == 0, "Bench Press").when(no % 3 == 1, "Squat").otherwise("Deadlift")
+
+
+def _set_name(no) -> "F.Column":
+    return F.concat_ws(" ", _lift(no), no.cast("string"))
+
+
 def set_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lift = (
-        F.when(F.col("o_orderkey") % 3 == 0, "Bench Press").when(F.col("o_orderkey") % 3 == 1, "Squat").otherwise("Deadlift")
-    )
+    no = F.col("set_no")
     return (
         table(spark, sf_dir, "orders")
-        .select(F.col("o_orderkey").alias("set_no"), lift.alias("lift"), "o_custkey")
+        .select(F.col("o_orderkey").alias("set_no"), "o_custkey")
         .select(
             "set_no",
-            "lift",
-            F.concat_ws(" ", "lift", F.col("set_no").cast("string")).alias("set_id"),
+            _lift(no).alias("lift"),
+            _set_name(no).alias("set_id"),
             (1 + (F.col("o_custkey") % 19) / 2.0).cast("double").alias("rpe"),
         )
     )
 
 
-def _lines_of_sets(spark: SparkSession, sf_dir: str, columns: list, keep) -> DataFrame:
-    labels = set_label(spark, sf_dir).select("set_no", "set_id").filter(keep)
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("set_no"), *columns)
-    return labels.join(lines, "set_no")
+def _lines_of_sets(spark: SparkSession, sf_dir: str, columns: list, keep, *totals) -> DataFrame:
+    """``totals`` over the lines of each labelled set, with its number of labels: added up by the lines' own key, so that one
+    shuffle carries sums, not lines, and no line is copied to its labels."""
+    labels = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("set_no")).filter(keep).groupBy("set_no").agg(F.count(F.lit(1)).alias("_labels"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("set_no"), *columns).filter(keep)
+    summed = lines.filter("set_no IS NOT NULL").groupBy("set_no").agg(*totals)
+    return summed.join(labels, "set_no").withColumn("set_id", _set_name(F.col("set_no")))
 
 
 def bar_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,14 +152,9 @@ def bar_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bar_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 5 <> 0") -> DataFrame:
-    return (
-        _lines_of_sets(spark, sf_dir, ["l_quantity"], where)
-        .groupBy(F.concat("set_id", F.lit(".mp4")).alias("video_name"))
-        .agg(
-            F.count(F.lit(1)).alias("rep_count"),
-            ((F.max("l_quantity") - F.min("l_quantity")) / 10).alias("rep_change_s"),
-        )
-    )
+    spread = (F.max("l_quantity") - F.min("l_quantity")) / 10
+    sets = _lines_of_sets(spark, sf_dir, ["l_quantity"], where, F.count(F.lit(1)).alias("_lines"), spread.alias("rep_change_s"))
+    return sets.select(F.concat("set_id", F.lit(".mp4")).alias("video_name"), (F.col("_lines") * F.col("_labels")).alias("rep_count"), "rep_change_s")
 
 
 def face_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,18 +163,16 @@ def face_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def face_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 4 <> 3") -> DataFrame:
-    values = [v.alias(au) for au, v in au_values().items()]
-    lines = _lines_of_sets(
+    ok = F.col("set_no") % 11 != 0
+    used = ["l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
+    stats = _lines_of_sets(
         spark,
         sf_dir,
-        [success().cast("double").alias("_ok"), (1.0 - F.col("l_discount") * 5).alias("_conf"), *values],
+        used,
         where,
-    )
-    ok = F.col("set_no") % 11 != 0
-    stats = lines.groupBy("set_id", "set_no").agg(
-        F.avg("_ok").alias("detection_rate"),
-        F.avg("_conf").alias("confidence_mean"),
-        *[F.max(au).alias(f"{au}_max") for au in AUS],
+        F.avg(success().cast("double")).alias("detection_rate"),
+        F.avg(1.0 - F.col("l_discount") * 5).alias("confidence_mean"),
+        *[v.alias(f"{au}_max") for au, v in au_values(F.max, "set_no").items()],
     )
     return stats.select(
         F.concat("set_id", F.lit(".mp4")).alias("video_name"),
@@ -178,11 +187,8 @@ def posture_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posture_set(spark: SparkSession, sf_dir: str, where: str = "set_no % 7 <> 0") -> DataFrame:
-    return (
-        _lines_of_sets(spark, sf_dir, ["l_discount"], where)
-        .groupBy(F.col("set_id").alias("video_name"))
-        .agg((F.avg("l_discount") * 20).alias("d_value"))
-    )
+    sets = _lines_of_sets(spark, sf_dir, ["l_discount"], where, (F.avg("l_discount") * 20).alias("d_value"))
+    return sets.select(F.col("set_id").alias("video_name"), "d_value")
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

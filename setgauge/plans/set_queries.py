@@ -446,15 +446,21 @@ def _master(spark, sf) -> DataFrame:
     )
 
 
-def _whole(spark, sf) -> DataFrame:
-    return asm.master_table(
-        fx.bar_full(spark, sf), fx.face_full(spark, sf), fx.posture_full(spark, sf), fx.set_label(spark, sf).select("set_id", "rpe")
-    )
+FULL_SOURCES = (fx.bar_full, fx.face_full, fx.posture_full)
+
+
+def _written(spark, sf) -> list:
+    """The full sources, each written once, so that the disk holds the shuffles of one at a time; to be discarded after their use."""
+    return [lambda *_, made=cut_lineage(source(spark, sf), "source"): made for source in FULL_SOURCES]
+
+
+def _whole(spark, sf, bar=fx.bar_full, face=fx.face_full, post=fx.posture_full) -> DataFrame:
+    return asm.master_table(bar(spark, sf), face(spark, sf), post(spark, sf), fx.set_label(spark, sf).select("set_id", "rpe"))
 
 
-def _extended(spark, sf) -> DataFrame:
+def _extended(spark, sf, *sources) -> DataFrame:
     no = F.regexp_extract("set_id", r"\d+$", 0).cast("bigint")
-    return _whole(spark, sf).withColumns(
+    return _whole(spark, sf, *sources).withColumns(
         {
             "confidence_std": (no % 7) / 50.0,
             "confidence_min": (no % 11) / 20.0,
