@@ -16,13 +16,9 @@ from setgauge.plans import set_queries
 
 
 def _shuffle_files(spark) -> set:
-    top = Path(spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())).parent
-    return {p for p in top.glob("blockmgr-*/*/shuffle_*.data") if os.path.getsize(p)}
-
-
-def _written(spark, name) -> list:
-    folder = Path(session.shared_dir(spark).removeprefix("file:"))
-    return [p for p in folder.iterdir() if p.name.startswith(f"{name}-")]
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()  # of this session only
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
 
 
 def _size(path) -> int:
@@ -50,11 +46,17 @@ def test_vectors_are_small_and_go_after_the_fits(spark):
     made = model.vectors(rows, names)
     assert _size(Path(made.shared_path.removeprefix("file:"))) < 20_000 * 10 * 8 / 2
     session.discard(made)
-    before = set(_written(spark, "vectors"))
     quick = [model.Booster(loss, rounds=1, depth=2, bins=8) for loss in ("squared", "absolute")]
-    assert model.fit_blend(rows, "rpe", names, *quick).predict(rows).count() == 20_000
-    assert len(model.fit_folds(rows, "rpe", names, *quick, folds=2)) == 2
-    assert set(_written(spark, "vectors")) == before and not _written(spark, "trees")
+    scope = []
+    session.SCOPES.append(scope)  # every path handed out
+    try:
+        assert model.fit_blend(rows, "rpe", names, *quick).predict(rows).count() == 20_000
+        assert len(model.fit_folds(rows, "rpe", names, *quick, folds=2)) == 2
+    finally:
+        session.SCOPES.pop()
+    kinds = [Path(p).name.split("-")[0] for p in scope]
+    assert kinds.count("vectors") == 2 and kinds.count("trees") == 6
+    assert not [p for p in scope if Path(p.removeprefix("file:")).exists()]
 
 
 @pytest.fixture
